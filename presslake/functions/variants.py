@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def script_type(type_name: Column) -> Column:
+def script_type_sql(type_name: str) -> str:
     """JSON type of a ``schema_of_variant`` text, in the words of a script."""
     return (
-        F.when(type_name.isNull(), F.lit(None).cast("string"))
-        .when(type_name == "VOID", F.lit("null"))
-        .when(type_name == "STRING", F.lit("string"))
-        .when(type_name == "BOOLEAN", F.lit("boolean"))
-        .when(type_name.rlike(r"\A(?:ARRAY|OBJECT)"), F.lit("object"))
-        .otherwise(F.lit("number"))
+        f"CASE split_part({type_name}, '<', 1) WHEN 'STRING' THEN 'string' WHEN 'VOID' THEN 'null'"
+        " WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'object' WHEN 'OBJECT' THEN 'object'"
+        f" ELSE CASE WHEN {type_name} IS NOT NULL THEN 'number' END END"
     )
 
 
+def script_type(variant: str) -> Column:
+    """JSON type of a VARIANT column given by name."""
+    return F.expr(script_type_sql(f"schema_of_variant({variant})"))
+
+
 def is_object(type_name: Column) -> Column:
     return F.coalesce(type_name.startswith("OBJECT"), F.lit(False))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from presslake.functions.dates import with_published_at
 from presslake.functions.names import with_source
 from presslake.functions.text import looks_like_html
-from presslake.functions.variants import is_object, number_text, script_type
+from presslake.functions.variants import is_object, number_text, script_type, script_type_sql
 from presslake.schema import DATE_ALIASES, TEXT_ALIASES
 
 # What looks like a number, and how many rows a report shows.
@@ -30,10 +30,10 @@ def field_facts(raw: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("key"),
         F.when(F.col("_shape").startswith("ARRAY"), F.lit("array"))
         .when(F.col("_shape") == "VOID", F.lit("object"))
-        .otherwise(script_type(F.col("_shape"))).alias("type"),
+        .otherwise(F.expr(script_type_sql("_shape"))).alias("type"),
     )
     fields = df.where(F.col("_object")).select(F.explode(F.col("raw").try_cast("map<string,variant>")).alias("key", "_value"))
-    fields = fields.withColumn("type", script_type(F.schema_of_variant("_value")))
+    fields = fields.withColumn("type", script_type("_value"))
     is_date = F.col("key").isin(DATE_ALIASES)
     fields = fields.withColumns({
         "_text": F.when(F.col("type") == "string", F.variant_get("_value", "$", "string")),

@@ -13,6 +13,10 @@ SEMANTIC_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# For sessions we start ourselves: call-site capture costs several round trips per
+# column function, which adds up in plans of this width. It changes no result.
+DRIVER_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 _local_work_dirs: dict[str, str] = {}
 
 
@@ -23,6 +27,16 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def build_session(name: str, master: str | None = None, **settings: str) -> SparkSession:
+    """A session with the settings above and those given as ``**{name: value}``."""
+    builder = SparkSession.builder.appName(name)
+    if master is not None:
+        builder = builder.master(master)
+    for key, value in {**SEMANTIC_SETTINGS, **DRIVER_SETTINGS, **settings}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 def work_dir(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables.
 

@@ -2,23 +2,19 @@ import os
 import sys
 
 import pytest
-from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from presslake.session import apply_settings  # noqa: E402
+from presslake.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (
-        SparkSession.builder.master("local[8]")
-        .appName("presslake-tests")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
-    )
+    session = build_session("presslake-tests", "local[8]", **{
+        "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.driver.memory": "8g",
+    })
     session.sparkContext.setLogLevel("ERROR")
-    yield apply_settings(session)
+    yield session
     session.stop()
