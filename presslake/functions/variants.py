@@ -7,10 +7,11 @@ from pyspark.sql import Column, functions as F
 
 def script_type_sql(type_name: str) -> str:
     """JSON type of a ``schema_of_variant`` text, in the words of a script."""
+    # Numbers are typed BIGINT, DECIMAL(…), DOUBLE or FLOAT.
     return (
-        f"CASE split_part({type_name}, '<', 1) WHEN 'STRING' THEN 'string' WHEN 'VOID' THEN 'null'"
-        " WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'object' WHEN 'OBJECT' THEN 'object'"
-        f" ELSE CASE WHEN {type_name} IS NOT NULL THEN 'number' END END"
+        f"CASE substring({type_name}, 1, 2) WHEN 'ST' THEN 'string' WHEN 'VO' THEN 'null' WHEN 'BO' THEN 'boolean'"
+        " WHEN 'AR' THEN 'object' WHEN 'OB' THEN 'object'"
+        " WHEN 'BI' THEN 'number' WHEN 'DE' THEN 'number' WHEN 'DO' THEN 'number' WHEN 'FL' THEN 'number' END"
     )
 
 

@@ -28,20 +28,22 @@ def _wrong_type(field: str) -> str:
     return f"_type_{field} NOT IN ({allowed})"
 
 
-def _chosen(aliases: list[str]) -> Column:
-    usable = [
-        f"CASE WHEN _type_{a} <> 'null' AND NOT (_type_{a} = 'string' AND variant_get(_value_{a}, '$', 'string') = '')"
-        f" THEN _value_{a} END"
-        for a in aliases
-    ]
-    return F.expr(f"coalesce({', '.join(usable)})")
+def _first_usable(aliases: list[str], value: str) -> Column:
+    """``value`` (with ``{}`` for the alias) of the first usable alias."""
+    cases = [f"WHEN _type_{a} <> 'null' AND NOT (_type_{a} = 'string' AND _text_{a} = '') THEN {value.format(a)}" for a in aliases]
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
 def with_types(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds ``_value_<alias>`` and ``_type_<alias>`` for every alias. These 24
-    pairs are written as SQL text: one call each instead of a dozen."""
-    df = df.withColumns({f"_value_{f}": F.expr(f"variant_get({raw}, '$.{f}', 'variant')") for f in CHECKED_FIELDS})
-    return df.withColumns({f"_type_{f}": F.expr(script_type_sql(f"schema_of_variant(_value_{f})")) for f in CHECKED_FIELDS})
+    """Adds ``_type_<alias>`` and ``_text_<alias>`` (strings and booleans) for
+    every alias, as SQL text: one call each instead of a dozen."""
+    df = df.withColumns({
+        f"_type_{f}": F.expr(script_type_sql(f"schema_of_variant(variant_get({raw}, '$.{f}', 'variant'))")) for f in CHECKED_FIELDS
+    })
+    return df.withColumns({
+        f"_text_{f}": F.expr(f"CASE WHEN _type_{f} IN ('string', 'boolean') THEN variant_get({raw}, '$.{f}', 'string') END")
+        for f in CHECKED_FIELDS
+    })
 
 
 def with_inputs(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -49,26 +51,19 @@ def with_inputs(df: DataFrame, raw: str = "raw") -> DataFrame:
     ``in_published_number`` and ``in_engagement_number`` (double)."""
     df = with_types(df, raw)
     refused = ", ".join(f"CASE WHEN {_wrong_type(f)} THEN '{f}: {BAD_TYPE}' END" for f in CHECKED_FIELDS)
+    number = f"CASE WHEN _type_{{0}} = 'number' THEN variant_get({raw}, '$.{{0}}', 'double') END"
     df = df.withColumns({
         "type_reason": F.when(~is_object(F.schema_of_variant(F.col(raw))), F.lit(NOT_AN_OBJECT)).otherwise(F.expr(f"coalesce({refused})")),
-        **{f"_chosen_{name}": _chosen(aliases) for name, aliases in CONCEPTS.items()},
-    })
-    df = df.drop(*[f"_{kind}_{f}" for kind in ("value", "type") for f in CHECKED_FIELDS])
-    df = df.withColumns({f"_kind_{n}": F.expr(script_type_sql(f"schema_of_variant(_chosen_{n})")) for n in CONCEPTS})
-    df = df.withColumns({
-        f"_number_{n}": F.expr(f"CASE WHEN _kind_{n} = 'number' THEN variant_get(_chosen_{n}, '$', 'double') END")
-        for n in CONCEPTS
-    })
-    df = df.withColumns({
-        f"in_{n}": F.when(F.col(f"_kind_{n}").isin("string", "boolean"), F.variant_get(F.col(f"_chosen_{n}"), "$", "string"))
-        .otherwise(number_text(F.col(f"_number_{n}")))
-        for n in CONCEPTS
+        **{f"_words_{name}": _first_usable(aliases, "_text_{}") for name, aliases in CONCEPTS.items()},
+        **{f"_number_{name}": _first_usable(aliases, number) for name, aliases in CONCEPTS.items()},
     })
+    df = df.drop(*[f"_{kind}_{f}" for kind in ("type", "text") for f in CHECKED_FIELDS])
     df = df.withColumns({
+        **{f"in_{n}": F.coalesce(F.col(f"_words_{n}"), number_text(F.col(f"_number_{n}"))) for n in CONCEPTS},
         "in_published_number": F.col("_number_published"),
         "in_engagement_number": F.col("_number_engagement"),
     })
-    return df.drop(*[f"_{kind}_{n}" for kind in ("chosen", "kind", "number") for n in CONCEPTS])
+    return df.drop(*[f"_{kind}_{n}" for kind in ("words", "number") for n in CONCEPTS])
 
 
 def reject_reason() -> Column:

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from presslake.functions.dates import with_published_at
 from presslake.functions.names import with_source
-from presslake.functions.text import looks_like_html
+from presslake.functions.text import WS, looks_like_html
 from presslake.functions.variants import is_object, number_text, script_type, script_type_sql
 from presslake.schema import DATE_ALIASES, TEXT_ALIASES
 
 # What looks like a number, and how many rows a report shows.
-NUMERIC_TEXT = r"\A[\s\x{a0}\x{feff}]*\d[\d,]*[\s\x{a0}\x{feff}]*\z"
+NUMERIC_TEXT = rf"\A{WS}*\d[\d,]*{WS}*\z"
 REPORT_ROWS = 40
 
 SOURCE_ALIASES = TEXT_ALIASES["source"]
