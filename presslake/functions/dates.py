@@ -60,8 +60,8 @@ SHAPES = [
 _FIRST_MS = 631_152_000_000      # 1990-01-01
 _END_MS = 4_133_980_800_000      # 2101-01-01
 _TEMPORARY = [
-    "_collapsed", "_label", "_value", "_shape", "_parts", "_offset_text", "_year", "_month", "_day",
-    "_hour", "_minute", "_second", "_milli", "_offset", "_midnight", "_wall_ms", "_utc_ms",
+    "_dt_collapsed", "_dt_label", "_dt_value", "_dt_shape", "_dt_parts", "_dt_offset_text", "_dt_year", "_dt_month", "_dt_day",
+    "_dt_hour", "_dt_minute", "_dt_second", "_dt_milli", "_dt_offset", "_dt_midnight", "_dt_wall_ms", "_dt_utc_ms",
 ]
 
 
@@ -97,29 +97,29 @@ def _clock_offset(text: Column) -> Column:
 
 def with_published_at(df: DataFrame, text: str, number: str | None = None, out: str = "published_at") -> DataFrame:
     """Adds ``out``; null when nothing is given or nothing is recognised."""
-    shape = F.col("_shape")
-    value = F.col("_value")
+    shape = F.col("_dt_shape")
+    value = F.col("_dt_value")
     named = shape.isin("day_month", "month_day")
 
     def part(index: int) -> Column:
-        return F.get(F.col("_parts"), F.lit(index))
+        return F.get(F.col("_dt_parts"), F.lit(index))
 
     def whole(c: Column) -> Column:
         return c.try_cast("int")
 
-    df = df.withColumn("_collapsed", collapse_ws(F.col(text)))
+    df = df.withColumn("_dt_collapsed", collapse_ws(F.col(text)))
     df = df.withColumns({
-        "_label": F.regexp_extract(F.col("_collapsed"), r"(?i) (wib|wita|wit)\z", 1),
-        "_value": F.regexp_replace(F.col("_collapsed"), r"(?i) (?:wib|wita|wit)\z", ""),
+        "_dt_label": F.regexp_extract(F.col("_dt_collapsed"), r"(?i) (wib|wita|wit)\z", 1),
+        "_dt_value": F.regexp_replace(F.col("_dt_collapsed"), r"(?i) (?:wib|wita|wit)\z", ""),
     })
     recognised = F.lit(None).cast("string")
     for name, pattern in reversed(SHAPES):
         recognised = F.when(value.rlike(pattern), F.lit(name)).otherwise(recognised)
-    df = df.withColumn("_shape", F.when(F.length(value) > 0, recognised))
+    df = df.withColumn("_dt_shape", F.when(F.length(value) > 0, recognised))
 
     df = df.withColumns({
-        "_parts": F.when(shape != "epoch", F.split(value, "[^0-9A-Za-z]+")),
-        "_offset_text": F.when((shape == "iso") & (F.length(value) > 10), F.regexp_extract(value, r"(Z|[+-]\d{2}:?\d{2})\z", 1))
+        "_dt_parts": F.when(shape != "epoch", F.split(value, "[^0-9A-Za-z]+")),
+        "_dt_offset_text": F.when((shape == "iso") & (F.length(value) > 10), F.regexp_extract(value, r"(Z|[+-]\d{2}:?\d{2})\z", 1))
         .when(shape == "mail", F.upper(F.regexp_extract(value, r"(?i)\d{4} \d{1,2}:\d{2}(?::\d{2})? ?([a-z]*(?:[+-]\d{2}:?\d{2})?)", 1)))
         .otherwise(F.lit("")),
     })
@@ -127,55 +127,55 @@ def with_published_at(df: DataFrame, text: str, number: str | None = None, out:
     a, b = whole(part(0)), whole(part(1))
     month_first = (F.lit(AMBIGUOUS_DATE_ORDER != "day-first") & (a <= 12) | (b > 12)) & (a <= 12)
     df = df.withColumns({
-        "_year": F.when(shape.isin("iso", "year_first"), a)
+        "_dt_year": F.when(shape.isin("iso", "year_first"), a)
         .when(shape == "mail", whole(part(3))).otherwise(whole(part(2))),
-        "_month": F.when(shape.isin("iso", "year_first"), b)
+        "_dt_month": F.when(shape.isin("iso", "year_first"), b)
         .when(shape == "year_last", F.when(month_first, a).otherwise(b))
         .when(shape == "day_month", _month_number(part(1)))
         .when(shape == "month_day", _month_number(part(0)))
         .when(shape == "mail", _month_number(F.substring(part(2), 1, 3))),
-        "_day": F.when(shape == "iso", whole(F.substring(value, 9, 2)))
+        "_dt_day": F.when(shape == "iso", whole(F.substring(value, 9, 2)))
         .when(shape == "year_first", whole(part(2)))
         .when(shape == "year_last", F.when(month_first, b).otherwise(a))
         .when(shape == "day_month", a).when(shape.isin("month_day", "mail"), b),
-        "_hour": F.when(shape == "iso", whole(F.substring(value, 12, 2)))
+        "_dt_hour": F.when(shape == "iso", whole(F.substring(value, 12, 2)))
         .when(named, whole(part(3))).when(shape == "mail", whole(part(4))),
-        "_minute": F.when(shape == "iso", whole(F.substring(value, 15, 2)))
+        "_dt_minute": F.when(shape == "iso", whole(F.substring(value, 15, 2)))
         .when(named, whole(part(4))).when(shape == "mail", whole(part(5))),
-        "_second": F.when((shape == "iso") & (F.substring(value, 17, 1) == ":"), whole(F.substring(value, 18, 2)))
+        "_dt_second": F.when((shape == "iso") & (F.substring(value, 17, 1) == ":"), whole(F.substring(value, 18, 2)))
         .when(named, whole(part(5)))
         .when(shape == "mail", whole(F.regexp_extract(value, r":\d{2}:(\d{2})", 1))),
-        "_milli": F.when(shape == "iso", whole(F.rpad(F.substring(F.regexp_extract(value, r"\.(\d+)", 1), 1, 3), 3, "0"))),
-        "_offset": F.when(
-            shape.isin("iso", "mail") & (F.col("_offset_text") != ""),
-            F.when(F.col("_offset_text").rlike(r"\d\z"), _clock_offset(F.col("_offset_text")))
-            .otherwise(_lookup({k: v * 60 for k, v in MAIL_ZONES.items()}, F.col("_offset_text"))),
-        ).when((shape != "mail") & (F.col("_label") != ""), _lookup({k: v * 60 for k, v in LOCAL_ZONES.items()}, F.col("_label"))),
+        "_dt_milli": F.when(shape == "iso", whole(F.rpad(F.substring(F.regexp_extract(value, r"\.(\d+)", 1), 1, 3), 3, "0"))),
+        "_dt_offset": F.when(
+            shape.isin("iso", "mail") & (F.col("_dt_offset_text") != ""),
+            F.when(F.col("_dt_offset_text").rlike(r"\d\z"), _clock_offset(F.col("_dt_offset_text")))
+            .otherwise(_lookup({k: v * 60 for k, v in MAIL_ZONES.items()}, F.col("_dt_offset_text"))),
+        ).when((shape != "mail") & (F.col("_dt_label") != ""), _lookup({k: v * 60 for k, v in LOCAL_ZONES.items()}, F.col("_dt_label"))),
     })
 
-    hour, minute, second = (F.coalesce(F.col(c), F.lit(0)) for c in ("_hour", "_minute", "_second"))
+    hour, minute, second = (F.coalesce(F.col(c), F.lit(0)) for c in ("_dt_hour", "_dt_minute", "_dt_second"))
     on_clock = (
-        F.col("_year").between(MIN_YEAR, MAX_YEAR)
-        & F.col("_day").between(1, 31) & (hour <= 23) & (minute <= 59)
+        F.col("_dt_year").between(MIN_YEAR, MAX_YEAR)
+        & F.col("_dt_day").between(1, 31) & (hour <= 23) & (minute <= 59)
         & F.when(shape == "mail", second <= 59).otherwise((second <= 60) & ~((second == 60) & (minute == 59) & (hour == 23)))
     )
     # A mail date may run past the end of its month, as mail readers allow.
-    df = df.withColumn("_midnight", F.when(on_clock, F.try_make_timestamp(
-        years=F.col("_year"), months=F.col("_month"),
-        days=F.when(shape == "mail", F.lit(1)).otherwise(F.col("_day")),
+    df = df.withColumn("_dt_midnight", F.when(on_clock, F.try_make_timestamp(
+        years=F.col("_dt_year"), months=F.col("_dt_month"),
+        days=F.when(shape == "mail", F.lit(1)).otherwise(F.col("_dt_day")),
         hours=F.lit(0), mins=F.lit(0), secs=F.lit(0), timezone=F.lit("UTC"),
     )))
     since_midnight = (hour * 60 + minute) * 60 + second
-    overrun_days = F.when(shape == "mail", F.col("_day") - 1).otherwise(0)
-    df = df.withColumn("_wall_ms", (
-        F.unix_millis(F.col("_midnight")) + overrun_days.cast("bigint") * 86_400_000
-        + since_midnight.cast("bigint") * 1000 + F.coalesce(F.col("_milli"), F.lit(0))
+    overrun_days = F.when(shape == "mail", F.col("_dt_day") - 1).otherwise(0)
+    df = df.withColumn("_dt_wall_ms", (
+        F.unix_millis(F.col("_dt_midnight")) + overrun_days.cast("bigint") * 86_400_000
+        + since_midnight.cast("bigint") * 1000 + F.coalesce(F.col("_dt_milli"), F.lit(0))
     ))
     typed = F.lit(None).cast("double") if number is None else F.col(number)
-    df = df.withColumn("_utc_ms", F.coalesce(
+    df = df.withColumn("_dt_utc_ms", F.coalesce(
         epoch_millis(typed),
         F.when(shape == "epoch", epoch_millis(value.try_cast("double")))
-        .otherwise(F.col("_wall_ms") - F.coalesce(F.col("_offset"), F.lit(0)).cast("bigint") * 60_000),
+        .otherwise(F.col("_dt_wall_ms") - F.coalesce(F.col("_dt_offset"), F.lit(0)).cast("bigint") * 60_000),
     ))
-    in_range = (F.col("_utc_ms") >= _FIRST_MS) & (F.col("_utc_ms") < _END_MS)
-    return df.withColumn(out, F.when(in_range, F.timestamp_millis(F.col("_utc_ms")))).drop(*_TEMPORARY)
+    in_range = (F.col("_dt_utc_ms") >= _FIRST_MS) & (F.col("_dt_utc_ms") < _END_MS)
+    return df.withColumn(out, F.when(in_range, F.timestamp_millis(F.col("_dt_utc_ms")))).drop(*_TEMPORARY)

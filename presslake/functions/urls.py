@@ -27,8 +27,8 @@ DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|\z)"
 NUMERIC_HOST = r"(?:\A|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z"
 
 _TEMPORARY = [
-    "_link", "_scheme", "_rest", "_authority", "_tail", "_user", "_place", "_host", "_port",
-    "_ascii_host", "_final_host", "_path", "_query",
+    "_url_link", "_url_scheme", "_url_rest", "_url_authority", "_url_tail", "_url_user", "_url_place", "_url_host", "_url_port",
+    "_url_ascii_host", "_url_final_host", "_url_path", "_url_query",
 ]
 
 
@@ -109,51 +109,51 @@ def with_canonical_url(df: DataFrame, link: str, out: str = "url", raw_out: str
     """Adds the canonical link and the collapsed spelling; both null if the
     value is no http or https address."""
     c = F.col
-    df = df.withColumn("_link", null_if_empty(collapse_ws(c(link))))
+    df = df.withColumn("_url_link", null_if_empty(collapse_ws(c(link))))
     df = df.withColumns({
-        "_scheme": F.lower(F.regexp_extract(c("_link"), r"(?i)\A[\x00-\x20]*(https?):", 1)),
-        "_rest": F.regexp_extract(c("_link"), r"(?is)\A[\x00-\x20]*https?:[/\\]*(.*?)[\x00-\x20]*\z", 1),
+        "_url_scheme": F.lower(F.regexp_extract(c("_url_link"), r"(?i)\A[\x00-\x20]*(https?):", 1)),
+        "_url_rest": F.regexp_extract(c("_url_link"), r"(?is)\A[\x00-\x20]*https?:[/\\]*(.*?)[\x00-\x20]*\z", 1),
     })
     df = df.withColumns({
-        "_authority": F.regexp_extract(c("_rest"), r"\A([^/\\?#]*)", 1),
-        "_tail": F.regexp_replace(c("_rest"), r"\A[^/\\?#]*", ""),
+        "_url_authority": F.regexp_extract(c("_url_rest"), r"\A([^/\\?#]*)", 1),
+        "_url_tail": F.regexp_replace(c("_url_rest"), r"\A[^/\\?#]*", ""),
     })
     df = df.withColumns({
-        "_user": F.when(c("_authority").contains("@"), F.regexp_extract(c("_authority"), r"(?s)\A(.*)@", 1)).otherwise(F.lit("")),
-        "_place": F.regexp_extract(c("_authority"), r"([^@]*)\z", 1),
-        "_path": F.translate(F.regexp_extract(c("_tail"), r"\A([^?#]*)", 1), "\\", "/"),
-        "_query": F.regexp_extract(c("_tail"), r"\A[^?#]*\?([^#]*)", 1),
+        "_url_user": F.when(c("_url_authority").contains("@"), F.regexp_extract(c("_url_authority"), r"(?s)\A(.*)@", 1)).otherwise(F.lit("")),
+        "_url_place": F.regexp_extract(c("_url_authority"), r"([^@]*)\z", 1),
+        "_url_path": F.translate(F.regexp_extract(c("_url_tail"), r"\A([^?#]*)", 1), "\\", "/"),
+        "_url_query": F.regexp_extract(c("_url_tail"), r"\A[^?#]*\?([^#]*)", 1),
     })
     place = r"\A(\[[^\]]*\]|[^:]*)(?::([0-9]*))?\z"
     df = df.withColumns({
-        "_host": F.regexp_extract(c("_place"), place, 1),
-        "_port": F.regexp_replace(F.regexp_extract(c("_place"), place, 2), r"\A0+(?=[0-9])", ""),
+        "_url_host": F.regexp_extract(c("_url_place"), place, 1),
+        "_url_port": F.regexp_replace(F.regexp_extract(c("_url_place"), place, 2), r"\A0+(?=[0-9])", ""),
     })
-    plain = F.when(c("_host").contains("%"), _decode(F.replace(c("_host"), F.lit("+"), F.lit("%2B")))).otherwise(c("_host"))
-    foreign = F.expr("try_reflect('java.net.IDN', 'toASCII', _ascii_host)")
-    df = df.withColumn("_ascii_host", plain)
-    df = df.withColumn("_ascii_host", F.lower(F.when(c("_ascii_host").rlike(r"[^\x00-\x7f]"), foreign).otherwise(c("_ascii_host"))))
-    bare = F.regexp_replace(c("_ascii_host"), r"\Awww\.(?=.)", "")
-    df = df.withColumn("_final_host", F.when(
-        (c("_ascii_host") == "") | (c("_ascii_host").rlike(HOST_FORBIDDEN) & ~c("_ascii_host").rlike(r"\A\[[0-9a-f:.]+\]\z")), F.lit(None)
-    ).when(c("_ascii_host").rlike(NUMERIC_HOST), numeric_host(c("_ascii_host"))).otherwise(bare))
+    plain = F.when(c("_url_host").contains("%"), _decode(F.replace(c("_url_host"), F.lit("+"), F.lit("%2B")))).otherwise(c("_url_host"))
+    foreign = F.expr("try_reflect('java.net.IDN', 'toASCII', _url_ascii_host)")
+    df = df.withColumn("_url_ascii_host", plain)
+    df = df.withColumn("_url_ascii_host", F.lower(F.when(c("_url_ascii_host").rlike(r"[^\x00-\x7f]"), foreign).otherwise(c("_url_ascii_host"))))
+    bare = F.regexp_replace(c("_url_ascii_host"), r"\Awww\.(?=.)", "")
+    df = df.withColumn("_url_final_host", F.when(
+        (c("_url_ascii_host") == "") | (c("_url_ascii_host").rlike(HOST_FORBIDDEN) & ~c("_url_ascii_host").rlike(r"\A\[[0-9a-f:.]+\]\z")), F.lit(None)
+    ).when(c("_url_ascii_host").rlike(NUMERIC_HOST), numeric_host(c("_url_ascii_host"))).otherwise(bare))
     df = df.withColumns({
-        "_final_host": F.when(c("_final_host").rlike(NUMERIC_HOST), numeric_host(c("_final_host"))).otherwise(c("_final_host")),
-        "_path": resolve_dots(_escape(F.when(c("_path") == "", F.lit("/")).otherwise(c("_path")), PATH_ESCAPED)),
-        "_query": canonical_query(c("_query")),
-        "_user": F.when(c("_user") == "", F.lit("")).otherwise(F.regexp_replace(F.concat(
-            _escape(F.substring_index(c("_user"), ":", 1), USER_ESCAPED), F.lit(":"),
-            _escape(F.when(c("_user").contains(":"), F.regexp_replace(c("_user"), r"\A[^:]*:", "")).otherwise(""), USER_ESCAPED),
+        "_url_final_host": F.when(c("_url_final_host").rlike(NUMERIC_HOST), numeric_host(c("_url_final_host"))).otherwise(c("_url_final_host")),
+        "_url_path": resolve_dots(_escape(F.when(c("_url_path") == "", F.lit("/")).otherwise(c("_url_path")), PATH_ESCAPED)),
+        "_url_query": canonical_query(c("_url_query")),
+        "_url_user": F.when(c("_url_user") == "", F.lit("")).otherwise(F.regexp_replace(F.concat(
+            _escape(F.substring_index(c("_url_user"), ":", 1), USER_ESCAPED), F.lit(":"),
+            _escape(F.when(c("_url_user").contains(":"), F.regexp_replace(c("_url_user"), r"\A[^:]*:", "")).otherwise(""), USER_ESCAPED),
             F.lit("@"),
         ), r"\A:@|:(?=@)", "")),
     })
-    default_port = F.when(c("_scheme") == "https", F.lit("443")).otherwise(F.lit("80"))
-    port_ok = (F.length(c("_port")) <= 5) & (F.coalesce(c("_port").try_cast("int"), F.lit(0)) <= 65535)
-    usable = (c("_scheme") != "") & (c("_final_host") != "") & port_ok
+    default_port = F.when(c("_url_scheme") == "https", F.lit("443")).otherwise(F.lit("80"))
+    port_ok = (F.length(c("_url_port")) <= 5) & (F.coalesce(c("_url_port").try_cast("int"), F.lit(0)) <= 65535)
+    usable = (c("_url_scheme") != "") & (c("_url_final_host") != "") & port_ok
     df = df.withColumn(out, F.when(usable, F.concat(
-        c("_scheme"), F.lit("://"), c("_user"), c("_final_host"),
-        F.when((c("_port") == "") | (c("_port") == default_port), F.lit("")).otherwise(F.concat(F.lit(":"), c("_port"))),
-        F.regexp_replace(c("_path"), r"(?<=.)/\z", ""),
-        F.when(c("_query") == "", F.lit("")).otherwise(F.concat(F.lit("?"), c("_query"))),
+        c("_url_scheme"), F.lit("://"), c("_url_user"), c("_url_final_host"),
+        F.when((c("_url_port") == "") | (c("_url_port") == default_port), F.lit("")).otherwise(F.concat(F.lit(":"), c("_url_port"))),
+        F.regexp_replace(c("_url_path"), r"(?<=.)/\z", ""),
+        F.when(c("_url_query") == "", F.lit("")).otherwise(F.concat(F.lit("?"), c("_url_query"))),
     )))
-    return df.withColumn(raw_out, F.when(c(out).isNotNull(), c("_link"))).drop(*_TEMPORARY)
+    return df.withColumn(raw_out, F.when(c(out).isNotNull(), c("_url_link"))).drop(*_TEMPORARY)

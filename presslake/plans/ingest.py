@@ -36,6 +36,10 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stage_name(table: str, batch_id: str) -> str:
+    return f"ingest/{zlib.crc32(table.encode()):x}-{batch_id}"
+
+
 def first_rejects(normalized: DataFrame, limit: int = REPORTED_ERRORS) -> DataFrame:
     return rejected(normalized).orderBy("ordinal").limit(limit).select(F.col("ordinal").alias("index"), "reason")
 
@@ -78,7 +82,7 @@ def ingest(
         return {k: v for k, v in report.items() if k not in ("batch_id", "created_at", "max_id")}
     created_at = created_at or datetime.now(timezone.utc)
 
-    name = f"ingest/{zlib.crc32(table.encode()):x}-{batch_id}"
+    name = stage_name(table, batch_id)
     staged = stage(spark, normalize(raw), f"{name}/normalized")
     if "malformed" in staged.columns:
         bad = staged.where(F.col("malformed").isNotNull()).select("malformed", "file").first()
