@@ -51,19 +51,22 @@ class SearchRequest:
     page_size: int = DEFAULT_PAGE_SIZE
 
 
-def _read_arguments(spark: SparkSession, source: str | None, start: str | None, end: str | None):
+def _read_arguments(spark: SparkSession, texts: dict[str, str]) -> tuple[str | None, datetime | None, datetime | None]:
     """Runs the column functions of the table on the arguments, so that a query
     and the data can never disagree."""
-    df = spark.createDataFrame([(source, start, end)], "source string, start string, end string")
-    df = with_published_at(df, "start", out="start_ts")
-    df = with_published_at(df, "end", out="end_ts")
-    row = df.select(
-        fold_source(F.col("source")).alias("key"),
-        F.unix_millis("start_ts").alias("start"), F.unix_millis("end_ts").alias("end"),
-    ).first()
+    given = [(name, texts[name]) for name in ("source", "from", "to") if texts.get(name)]
+    if not given:
+        return None, None, None
+    df = spark.createDataFrame(given, "name string, text string")
+    df = with_published_at(df, "text", out="at") if texts.get("from") or texts.get("to") else df.withColumn("at", F.lit(None).cast("timestamp"))
+    rows = {r["name"]: r for r in df.select("name", fold_source(F.col("text")).alias("key"), F.unix_millis("at").alias("ms")).collect()}
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
-    moment = lambda ms: None if ms is None else epoch + timedelta(milliseconds=ms)
-    return row.key, moment(row.start), moment(row.end)
+
+    def moment(name: str) -> datetime | None:
+        ms = rows[name]["ms"] if name in rows else None
+        return None if ms is None else epoch + timedelta(milliseconds=ms)
+
+    return rows["source"]["key"] if "source" in rows else None, moment("from"), moment("to")
 
 
 def _whole_number(name: str, value, problems: list, highest: int | None = None) -> int:
@@ -89,7 +92,7 @@ def search_request(spark: SparkSession, **arguments) -> SearchRequest:
     problems += [(n, f"{n} must not be blank") for n, value in texts.items() if not value]
     if len(texts.get("q", "")) > MAX_QUERY_LENGTH:
         problems.append(("q", f"q must be at most {MAX_QUERY_LENGTH} characters"))
-    key, start, end = _read_arguments(spark, texts.get("source"), texts.get("from"), texts.get("to"))
+    key, start, end = _read_arguments(spark, texts)
     if texts.get("source") and not key:
         problems.append(("source", "source must contain at least one alphanumeric character"))
     for name, parsed in (("from", start), ("to", end)):

@@ -96,8 +96,8 @@ def exported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Normalization --------------------------------------------------------------
 
 def normalized_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole narrow pass, straight from the tables."""
-    return _printable(normalize(feed.raw_mentions(apply_settings(spark), sf_dir)).drop("raw"))
+    """The whole narrow pass over the raw records."""
+    return _printable(normalize(raw_feed(spark, sf_dir)).drop("raw"))
 
 
 def coerced_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:

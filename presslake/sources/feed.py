@@ -22,7 +22,12 @@ INDONESIAN_MONTHS = ["Januari", "Februari", "Maret", "April", "Mei", "Juni", "Ju
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table. Work per row is heavy, and a file of one row group is one task,
+    so a table of fewer files than cores is spread. Large tables come in many
+    files and are read as they lie."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def utc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
