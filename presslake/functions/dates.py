@@ -60,7 +60,7 @@ SHAPES = [
 _FIRST_MS = 631_152_000_000      # 1990-01-01
 _END_MS = 4_133_980_800_000      # 2101-01-01
 _TEMPORARY = [
-    "_dt_collapsed", "_dt_label", "_dt_value", "_dt_shape", "_dt_parts", "_dt_offset_text", "_dt_year", "_dt_month", "_dt_day",
+    "_dt_collapsed", "_dt_label", "_dt_value", "_dt_shape", "_dt_parts", "_dt_zone", "_dt_year", "_dt_month", "_dt_day",
     "_dt_hour", "_dt_minute", "_dt_second", "_dt_milli", "_dt_offset", "_dt_midnight", "_dt_wall_ms", "_dt_utc_ms",
 ]
 
@@ -80,102 +80,107 @@ def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def _lookup(table: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.lower(key))
+def _lookup(table: dict[str, int], key: str) -> str:
+    pairs = ", ".join(f"'{name}', {value}" for name, value in table.items())
+    return f"try_element_at(map({pairs}), lower({key}))"
 
 
-def _month_number(name: Column) -> Column:
-    return _lookup({name: number for number, names in MONTH_NAMES for name in names}, name)
+def _part(index: int) -> str:
+    return f"get(_dt_parts, {index})"
 
 
-def _clock_offset(text: Column) -> Column:
-    """Minutes of ``+hh:mm``, ``-hhmm`` and the like at the end of ``text``."""
-    digits = F.regexp_replace(F.regexp_extract(text, r"[+-](\d{2}:?\d{2})\z", 1), ":", "")
-    minutes = F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")
-    return F.when(text.rlike(r"-\d{2}:?\d{2}\z"), -minutes).otherwise(minutes)
+def _number(text: str) -> str:
+    return f"try_cast({text} AS INT)"
 
 
-def with_published_at(df: DataFrame, text: str, number: str | None = None, out: str = "published_at") -> DataFrame:
-    """Adds ``out``; null when nothing is given or nothing is recognised."""
-    shape = F.col("_dt_shape")
-    value = F.col("_dt_value")
-    named = shape.isin("day_month", "month_day")
+def _month(index: int, length: int | None = None) -> str:
+    name = _part(index) if length is None else f"left({_part(index)}, {length})"
+    return _lookup({name: number for number, names in MONTH_NAMES for name in names}, name)
 
-    def part(index: int) -> Column:
-        return F.get(F.col("_dt_parts"), F.lit(index))
 
-    def whole(c: Column) -> Column:
-        return c.try_cast("int")
+_A, _B, _C = (_number(_part(i)) for i in range(3))
+_MONTH_FIRST = f"({_A} <= 12 AND ({_B} > 12 OR {str(AMBIGUOUS_DATE_ORDER != 'day-first').upper()}))"
+_NAMED = "_dt_shape IN ('day_month', 'month_day')"
+_YEAR_FIRST = "_dt_shape IN ('iso', 'year_first')"
+
+# Where each part stands, by shape. ISO parts have fixed places in the text; the
+# other shapes are read as the pieces between separators.
+_PARTS = {
+    "_dt_year": f"WHEN {_YEAR_FIRST} THEN {_A} WHEN _dt_shape = 'mail' THEN {_number(_part(3))} ELSE {_C}",
+    "_dt_month": (
+        f"WHEN {_YEAR_FIRST} THEN {_B} WHEN _dt_shape = 'year_last' THEN CASE WHEN {_MONTH_FIRST} THEN {_A} ELSE {_B} END"
+        f" WHEN _dt_shape = 'day_month' THEN {_month(1)} WHEN _dt_shape = 'month_day' THEN {_month(0)}"
+        f" WHEN _dt_shape = 'mail' THEN {_month(2, 3)}"
+    ),
+    "_dt_day": (
+        f"WHEN _dt_shape = 'iso' THEN {_number('substring(_dt_value, 9, 2)')} WHEN _dt_shape = 'year_first' THEN {_C}"
+        f" WHEN _dt_shape = 'year_last' THEN CASE WHEN {_MONTH_FIRST} THEN {_B} ELSE {_A} END"
+        f" WHEN _dt_shape = 'day_month' THEN {_A} ELSE {_B}"
+    ),
+    "_dt_hour": (
+        f"WHEN _dt_shape = 'iso' THEN {_number('substring(_dt_value, 12, 2)')}"
+        f" WHEN {_NAMED} THEN {_number(_part(3))} WHEN _dt_shape = 'mail' THEN {_number(_part(4))}"
+    ),
+    "_dt_minute": (
+        f"WHEN _dt_shape = 'iso' THEN {_number('substring(_dt_value, 15, 2)')}"
+        f" WHEN {_NAMED} THEN {_number(_part(4))} WHEN _dt_shape = 'mail' THEN {_number(_part(5))}"
+    ),
+    "_dt_second": (
+        f"WHEN _dt_shape = 'iso' AND substring(_dt_value, 17, 1) = ':' THEN {_number('substring(_dt_value, 18, 2)')}"
+        f" WHEN {_NAMED} THEN {_number(_part(5))}"
+        rf" WHEN _dt_shape = 'mail' THEN try_cast(regexp_extract(_dt_value, r':\d{{2}}:(\d{{2}})', 1) AS INT)"
+    ),
+    "_dt_milli": r"WHEN _dt_shape = 'iso' THEN try_cast(rpad(left(regexp_extract(_dt_value, r'\.(\d+)', 1), 3), 3, '0') AS INT)",
+}
+_ZONE_TEXT = (
+    r"CASE WHEN _dt_shape = 'iso' AND length(_dt_value) > 10 THEN regexp_extract(_dt_value, r'(Z|[+-]\d{2}:?\d{2})\z', 1)"
+    r" WHEN _dt_shape = 'mail' THEN"
+    r" regexp_extract(_dt_value, r'(?i)\d{4} \d{1,2}:\d{2}(?::\d{2})? ?([a-z]*(?:[+-]\d{2}:?\d{2})?)', 1) ELSE '' END"
+)
+_DIGITS = r"replace(regexp_extract(_dt_zone, r'[+-](\d{2}:?\d{2})\z', 1), ':', '')"
+_OFFSET_MINUTES = (
+    r"CASE WHEN _dt_zone RLIKE r'\d\z' THEN (CASE WHEN contains(_dt_zone, '-') THEN -1 ELSE 1 END)"
+    f" * (try_cast(left({_DIGITS}, 2) AS INT) * 60 + try_cast(right({_DIGITS}, 2) AS INT))"
+    f" WHEN _dt_zone <> '' THEN {_lookup({zone: hours * 60 for zone, hours in MAIL_ZONES.items()}, '_dt_zone')}"
+    f" WHEN _dt_shape <> 'mail' AND _dt_label <> '' THEN {_lookup({zone: hours * 60 for zone, hours in LOCAL_ZONES.items()}, '_dt_label')} END"
+)
+
 
+def with_published_at(df: DataFrame, text: str, number: str | None = None, out: str = "published_at") -> DataFrame:
+    """Adds ``out``; null when nothing is given or nothing is recognised."""
     df = df.withColumn("_dt_collapsed", collapse_ws(F.col(text)))
     df = df.withColumns({
         "_dt_label": F.regexp_extract(F.col("_dt_collapsed"), r"(?i) (wib|wita|wit)\z", 1),
         "_dt_value": F.regexp_replace(F.col("_dt_collapsed"), r"(?i) (?:wib|wita|wit)\z", ""),
     })
-    recognised = F.lit(None).cast("string")
-    for name, pattern in reversed(SHAPES):
-        recognised = F.when(value.rlike(pattern), F.lit(name)).otherwise(recognised)
-    df = df.withColumn("_dt_shape", F.when(F.length(value) > 0, recognised))
-
+    tried = " ".join(f"WHEN _dt_value RLIKE r'{pattern}' THEN '{name}'" for name, pattern in SHAPES)
+    df = df.withColumn("_dt_shape", F.expr(f"CASE WHEN length(_dt_value) > 0 THEN CASE {tried} END END"))
     df = df.withColumns({
-        "_dt_parts": F.when(shape != "epoch", F.split(value, "[^0-9A-Za-z]+")),
-        "_dt_offset_text": F.when((shape == "iso") & (F.length(value) > 10), F.regexp_extract(value, r"(Z|[+-]\d{2}:?\d{2})\z", 1))
-        .when(shape == "mail", F.upper(F.regexp_extract(value, r"(?i)\d{4} \d{1,2}:\d{2}(?::\d{2})? ?([a-z]*(?:[+-]\d{2}:?\d{2})?)", 1)))
-        .otherwise(F.lit("")),
+        "_dt_parts": F.expr("CASE WHEN _dt_shape <> 'epoch' THEN split(_dt_value, '[^0-9A-Za-z]+') END"),
+        "_dt_zone": F.expr(_ZONE_TEXT),
     })
-
-    a, b = whole(part(0)), whole(part(1))
-    month_first = (F.lit(AMBIGUOUS_DATE_ORDER != "day-first") & (a <= 12) | (b > 12)) & (a <= 12)
-    df = df.withColumns({
-        "_dt_year": F.when(shape.isin("iso", "year_first"), a)
-        .when(shape == "mail", whole(part(3))).otherwise(whole(part(2))),
-        "_dt_month": F.when(shape.isin("iso", "year_first"), b)
-        .when(shape == "year_last", F.when(month_first, a).otherwise(b))
-        .when(shape == "day_month", _month_number(part(1)))
-        .when(shape == "month_day", _month_number(part(0)))
-        .when(shape == "mail", _month_number(F.substring(part(2), 1, 3))),
-        "_dt_day": F.when(shape == "iso", whole(F.substring(value, 9, 2)))
-        .when(shape == "year_first", whole(part(2)))
-        .when(shape == "year_last", F.when(month_first, b).otherwise(a))
-        .when(shape == "day_month", a).when(shape.isin("month_day", "mail"), b),
-        "_dt_hour": F.when(shape == "iso", whole(F.substring(value, 12, 2)))
-        .when(named, whole(part(3))).when(shape == "mail", whole(part(4))),
-        "_dt_minute": F.when(shape == "iso", whole(F.substring(value, 15, 2)))
-        .when(named, whole(part(4))).when(shape == "mail", whole(part(5))),
-        "_dt_second": F.when((shape == "iso") & (F.substring(value, 17, 1) == ":"), whole(F.substring(value, 18, 2)))
-        .when(named, whole(part(5)))
-        .when(shape == "mail", whole(F.regexp_extract(value, r":\d{2}:(\d{2})", 1))),
-        "_dt_milli": F.when(shape == "iso", whole(F.rpad(F.substring(F.regexp_extract(value, r"\.(\d+)", 1), 1, 3), 3, "0"))),
-        "_dt_offset": F.when(
-            shape.isin("iso", "mail") & (F.col("_dt_offset_text") != ""),
-            F.when(F.col("_dt_offset_text").rlike(r"\d\z"), _clock_offset(F.col("_dt_offset_text")))
-            .otherwise(_lookup({k: v * 60 for k, v in MAIL_ZONES.items()}, F.col("_dt_offset_text"))),
-        ).when((shape != "mail") & (F.col("_dt_label") != ""), _lookup({k: v * 60 for k, v in LOCAL_ZONES.items()}, F.col("_dt_label"))),
-    })
-
-    hour, minute, second = (F.coalesce(F.col(c), F.lit(0)) for c in ("_dt_hour", "_dt_minute", "_dt_second"))
-    on_clock = (
-        F.col("_dt_year").between(MIN_YEAR, MAX_YEAR)
-        & F.col("_dt_day").between(1, 31) & (hour <= 23) & (minute <= 59)
-        & F.when(shape == "mail", second <= 59).otherwise((second <= 60) & ~((second == 60) & (minute == 59) & (hour == 23)))
+    df = df.withColumns({name: F.expr(f"CASE {cases} END") for name, cases in _PARTS.items()})
+    df = df.withColumn("_dt_offset", F.expr(_OFFSET_MINUTES))
+
+    hour, minute, second = (f"coalesce(_dt_{part}, 0)" for part in ("hour", "minute", "second"))
+    on_clock = F.expr(
+        f"_dt_year BETWEEN {MIN_YEAR} AND {MAX_YEAR} AND _dt_day BETWEEN 1 AND 31 AND {hour} <= 23 AND {minute} <= 59"
+        f" AND CASE WHEN _dt_shape = 'mail' THEN {second} <= 59"
+        f" ELSE {second} <= 60 AND NOT ({second} = 60 AND {minute} = 59 AND {hour} = 23) END"
     )
     # A mail date may run past the end of its month, as mail readers allow.
-    df = df.withColumn("_dt_midnight", F.when(on_clock, F.try_make_timestamp(
-        years=F.col("_dt_year"), months=F.col("_dt_month"),
-        days=F.when(shape == "mail", F.lit(1)).otherwise(F.col("_dt_day")),
-        hours=F.lit(0), mins=F.lit(0), secs=F.lit(0), timezone=F.lit("UTC"),
+    df = df.withColumn("_dt_midnight", F.when(on_clock, F.expr(
+        "try_make_timestamp(_dt_year, _dt_month, CASE WHEN _dt_shape = 'mail' THEN 1 ELSE _dt_day END, 0, 0, 0, 'UTC')"
     )))
-    since_midnight = (hour * 60 + minute) * 60 + second
-    overrun_days = F.when(shape == "mail", F.col("_dt_day") - 1).otherwise(0)
-    df = df.withColumn("_dt_wall_ms", (
-        F.unix_millis(F.col("_dt_midnight")) + overrun_days.cast("bigint") * 86_400_000
-        + since_midnight.cast("bigint") * 1000 + F.coalesce(F.col("_dt_milli"), F.lit(0))
+    df = df.withColumn("_dt_wall_ms", F.expr(
+        "unix_millis(_dt_midnight) + CASE WHEN _dt_shape = 'mail' THEN (_dt_day - 1) * 86400000L ELSE 0L END"
+        f" + (({hour} * 60 + {minute}) * 60 + {second}) * 1000L + coalesce(_dt_milli, 0)"
     ))
     typed = F.lit(None).cast("double") if number is None else F.col(number)
     df = df.withColumn("_dt_utc_ms", F.coalesce(
         epoch_millis(typed),
-        F.when(shape == "epoch", epoch_millis(value.try_cast("double")))
-        .otherwise(F.col("_dt_wall_ms") - F.coalesce(F.col("_dt_offset"), F.lit(0)).cast("bigint") * 60_000),
+        F.when(F.col("_dt_shape") == "epoch", epoch_millis(F.col("_dt_value").try_cast("double")))
+        .otherwise(F.expr("_dt_wall_ms - coalesce(_dt_offset, 0) * 60000L")),
     ))
     in_range = (F.col("_dt_utc_ms") >= _FIRST_MS) & (F.col("_dt_utc_ms") < _END_MS)
     return df.withColumn(out, F.when(in_range, F.timestamp_millis(F.col("_dt_utc_ms")))).drop(*_TEMPORARY)

@@ -68,50 +68,51 @@ def drop_tags(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(spaced, COMMENT, " "), TAG, "")
 
 
-def _code_point(token: Column) -> Column:
-    """Number of a numeric entity, or null. Leading zeros do not count."""
-    hexa = F.regexp_extract(token, r"\A&#x0*([0-9a-fA-F]*);", 1)
-    deci = F.regexp_extract(token, r"\A&#0*([0-9]*)", 1)
+def _code_point(token: str) -> str:
+    """SQL: number of a numeric entity, or null. Leading zeros do not count."""
+    hexa = rf"regexp_extract({token}, r'\A&#x0*([0-9a-fA-F]*);', 1)"
+    deci = rf"regexp_extract({token}, r'\A&#0*([0-9]*)', 1)"
     return (
-        F.when(token.rlike(r"\A&#x"), F.when(F.length(hexa) <= 6, F.conv(F.concat(F.lit("0"), hexa), 16, 10).cast("int")))
-        .when(token.rlike(r"\A&#\d"), F.when(F.length(deci) <= 7, F.concat(F.lit("0"), deci).cast("int")))
+        f"CASE WHEN {token} LIKE '&#x%' THEN CASE WHEN length({hexa}) <= 6 THEN CAST(conv('0' || {hexa}, 16, 10) AS INT) END"
+        rf" WHEN {token} RLIKE r'\A&#[0-9]' THEN CASE WHEN length({deci}) <= 7 THEN CAST('0' || {deci} AS INT) END END"
     )
 
 
-def _character(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def _character(code: str) -> str:
+    return f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
 
 
-def _decoded(token: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+def _decoded(token: str) -> str:
+    names = ", ".join(f"'{name}', '{chr(92) if char == chr(39) else ''}{char}'" for name, char in NAMED_ENTITIES.items())
     code = _code_point(token)
     return (
-        F.when(~token.startswith("&#"), F.coalesce(F.try_element_at(named, F.lower(F.rtrim(F.ltrim(token, F.lit("&")), F.lit(";")))), token))
-        .when(code.isNull() | (code > 0x10FFFF), token)
-        .when(code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
-        .otherwise(_character(code))
+        f"CASE WHEN {token} NOT LIKE '&#%' THEN coalesce(try_element_at(map({names}), lower(trim(BOTH '&;' FROM {token}))), {token})"
+        f" WHEN ({code}) IS NULL OR ({code}) > 1114111 THEN {token}"
+        f" WHEN ({code}) BETWEEN 55296 AND 57343 THEN '\ufffd' ELSE {_character(code)} END"
     )
 
 
-def _decoded_or_pair(token: Column) -> Column:
-    high, low = _code_point(token), _code_point(F.concat(F.lit("&"), F.substring_index(token, "&", -1)))
-    joined = _character((high - 0xD800) * 1024 + (low - 0xDC00) + 0x10000)
-    return F.when(token.rlike("&.+&"), joined).otherwise(_decoded(token))
+def _decoded_or_pair(token: str) -> str:
+    high, low = _code_point(token), _code_point(f"('&' || substring_index({token}, '&', -1))")
+    joined = _character(f"((({high}) - 55296) * 1024 + (({low}) - 56320) + 65536)")
+    return f"CASE WHEN {token} RLIKE '&.+&' THEN {joined} ELSE {_decoded(token)} END"
 
 
-def _replace_tokens(c: Column, pattern: str, decode) -> Column:
-    tokens = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), decode)
-    return F.array_join(F.zip_with(F.split(c, pattern, -1), tokens, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+def _replace_tokens(column: str, pattern: str, decoded: str) -> str:
+    return (
+        f"array_join(zip_with(split({column}, r'{pattern}', -1),"
+        f" transform(regexp_extract_all({column}, r'{pattern}', 0), t -> {decoded}),"
+        " (a, b) -> concat(a, coalesce(b, ''))), '')"
+    )
 
 
-def decode_entities(c: Column) -> Column:
-    """One pass: decoded text is not looked at again. ``c`` is read several
-    times, so pass a stored column rather than a long expression. The slower
-    pattern with pairs is used only for text that holds one."""
-    return (
-        F.when(c.contains("&#") & c.rlike(_HIGH_UNIT), _replace_tokens(c, _TOKEN, _decoded_or_pair))
-        .when(c.contains("&"), _replace_tokens(c, ENTITY, _decoded))
-        .otherwise(c)
+def decode_entities(column: str) -> Column:
+    """One pass over a column given by name: decoded text is not looked at
+    again. The slower pattern with pairs is used only for text that holds one."""
+    return F.expr(
+        f"CASE WHEN contains({column}, '&#') AND {column} RLIKE r'{_HIGH_UNIT}'"
+        f" THEN {_replace_tokens(column, _TOKEN, _decoded_or_pair('t'))}"
+        f" WHEN contains({column}, '&') THEN {_replace_tokens(column, ENTITY, _decoded('t'))} ELSE {column} END"
     )
 
 
@@ -127,6 +128,6 @@ def with_clean_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
         for out, src in columns.items()
     })
     df = df.withColumns({
-        out: null_if_empty(collapse_ws(decode_entities(F.col(f"_bare_{out}")))) for out in columns
+        out: null_if_empty(collapse_ws(decode_entities(f"_bare_{out}"))) for out in columns
     })
     return df.drop(*[f"_bare_{out}" for out in columns])

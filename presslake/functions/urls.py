@@ -26,83 +26,77 @@ HOST_FORBIDDEN = r"[\x00-\x20#/:<>?@\[\]\\^|%\x{7f}-\x{10ffff}]"
 DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|\z)"
 NUMERIC_HOST = r"(?:\A|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z"
 
+_PLUS_KEPT = "replace(_url_host, '+', '%2B')"
+
 _TEMPORARY = [
     "_url_link", "_url_scheme", "_url_rest", "_url_authority", "_url_tail", "_url_user", "_url_place", "_url_host", "_url_port",
     "_url_ascii_host", "_url_final_host", "_url_path", "_url_query",
 ]
 
 
-def _escape(c: Column, characters: str) -> Column:
-    between = F.split(c, f"{characters}+", -1)
-    runs = F.regexp_extract_all(c, F.lit(f"({characters}+)"), F.lit(1))
-    encoded = F.transform(runs, lambda r: F.replace(F.url_encode(r), F.lit("+"), F.lit("%20")))
-    joined = F.array_join(F.zip_with(between, encoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(c.rlike(characters), joined).otherwise(c)
+def _escape(text: str, characters: str) -> str:
+    """SQL: ``text`` with runs of ``characters`` percent-encoded."""
+    return (
+        f"CASE WHEN {text} RLIKE r'{characters}' THEN array_join(zip_with(split({text}, r'{characters}+', -1),"
+        f" transform(regexp_extract_all({text}, r'{characters}+', 0), run -> replace(url_encode(run), '+', '%20')),"
+        f" (a, b) -> concat(a, coalesce(b, ''))), '') ELSE {text} END"
+    )
 
 
-def _decode(c: Column) -> Column:
-    """Percent decoding that leaves a stray percent sign alone."""
-    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+def _decode(text: str) -> str:
+    """SQL: percent decoding that leaves a stray percent sign alone."""
+    return f"url_decode(regexp_replace({text}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
 
 
-def canonical_query(query: Column) -> Column:
+def canonical_query(query: str) -> Column:
     """Parameters without the tracking ones, in stable order of their names."""
-    pieces = F.filter(F.split(query, "&", -1), lambda p: p != "")
-    entries = F.transform(pieces, lambda p, i: F.struct(
-        _decode(F.substring_index(p, "=", 1)).alias("name"),
-        i.alias("position"),
-        _decode(F.when(p.contains("="), F.regexp_replace(p, r"\A[^=]*=", "")).otherwise("")).alias("value"),
-    ))
-    kept = F.filter(entries, lambda e: ~F.lower(e["name"]).isin(TRACKING_PARAMETERS))
-    written = F.transform(F.array_sort(kept), lambda e: F.concat(F.url_encode(e["name"]), F.lit("="), F.url_encode(e["value"])))
-    return F.when(query == "", F.lit("")).otherwise(F.array_join(written, "&"))
-
-
-def resolve_dots(path: Column) -> Column:
-    segments = F.split(F.substring(path, 2, 2_147_483_647), "/", -1)
-    start = F.array().cast("array<string>")
-
-    def step(done: Column, segment: Column) -> Column:
-        plain = F.regexp_replace(segment, "(?i)%2e", ".")
-        return (
-            F.when(plain == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
-            .when(plain == ".", done)
-            .otherwise(F.array_append(done, segment))
-        )
-
-    folder = F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}\z"), F.lit("/")).otherwise(F.lit(""))
-    kept = F.array_join(F.aggregate(segments, start, step), "/")
-    resolved = F.concat(F.lit("/"), kept, F.when(kept != "", folder).otherwise(F.lit("")))
-    return F.when(path.rlike(DOT_SEGMENT), resolved).otherwise(path)
-
-
-def numeric_host(host: Column) -> Column:
-    """Dotted form of a host written as one to four numbers, or null."""
-    texts = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.", -1)
-
-    def number(t: Column) -> Column:
-        short = F.length(t) <= 13
-        return (
-            F.when(t.rlike(r"\A0x[0-9a-f]*\z") & short, F.conv(F.concat(F.lit("0"), F.substring(t, 3, 13)), 16, 10).cast("bigint"))
-            .when(t.rlike(r"\A0[0-7]*\z") & short, F.conv(t, 8, 10).cast("bigint"))
-            .when(t.rlike(r"\A[1-9][0-9]*\z"), t.try_cast("bigint"))
-        )
-
-    numbers = F.transform(texts, number)
-    count = F.size(numbers)
-    last = F.element_at(numbers, -1)
-    heads = F.slice(numbers, F.lit(1), count - 1)
-    head_sum = F.aggregate(
-        F.transform(heads, lambda n, i: n * F.pow(F.lit(256.0), (F.lit(3) - i).cast("double")).cast("bigint")),
-        F.lit(0).cast("bigint"), lambda total, n: total + n,
+    tracking = ", ".join(f"'{name}'" for name in TRACKING_PARAMETERS)
+    name = _decode("substring_index(p, '=', 1)")
+    value = _decode("substring(p, instr(p, '=') + 1)")
+    value = f"CASE WHEN contains(p, '=') THEN {value} ELSE '' END"
+    entries = (
+        f"transform(filter(split({query}, '&', -1), p -> p <> ''), (p, i) -> named_struct("
+        f"'name', {name}, 'position', i, 'value', {value}))"
+    )
+    return F.expr(
+        f"CASE WHEN {query} = '' THEN '' ELSE array_join(transform(array_sort(filter({entries},"
+        f" e -> lower(e.name) NOT IN ({tracking}))), e -> concat(url_encode(e.name), '=', url_encode(e.value))), '&') END"
+    )
+
+
+def resolve_dots(path: str) -> Column:
+    segment = "regexp_replace(segment, '(?i)%2e', '.')"
+    kept = (
+        f"array_join(aggregate(split(substring({path}, 2), '/', -1), CAST(array() AS ARRAY<STRING>), (done, segment) ->"
+        f" CASE {segment} WHEN '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) WHEN '.' THEN done"
+        " ELSE array_append(done, segment) END), '/')"
+    )
+    # A path that ends in a dot segment names a folder.
+    return F.expr(
+        f"CASE WHEN NOT {path} RLIKE r'{DOT_SEGMENT}' THEN {path}"
+        rf" WHEN {path} RLIKE r'(?i)/(?:\.|%2e){{1,2}}\z' AND {kept} <> '' THEN concat('/', {kept}, '/') ELSE concat('/', {kept}) END"
     )
+
+
+def numeric_host(host: str) -> str:
+    """SQL: dotted form of a host written as one to four numbers, or null. A
+    number may be octal or hexadecimal; the last one fills the bytes left."""
+    number = (
+        r"CASE WHEN t RLIKE r'\A0x[0-9a-f]{0,11}\z' THEN CAST(conv('0' || substring(t, 3), 16, 10) AS BIGINT)"
+        r" WHEN t RLIKE r'\A0[0-7]{0,12}\z' THEN CAST(conv(t, 8, 10) AS BIGINT)"
+        r" WHEN t RLIKE r'\A[1-9][0-9]*\z' THEN try_cast(t AS BIGINT) END"
+    )
+    numbers = rf"transform(split(regexp_replace({host}, r'\.\z', ''), r'\.', -1), t -> {number})"
+    heads = f"slice({numbers}, 1, size({numbers}) - 1)"
     valid = (
-        (count <= 4) & ~F.exists(numbers, lambda n: n.isNull()) & F.forall(heads, lambda n: n <= 255)
-        & (last < F.pow(F.lit(256.0), (F.lit(5) - count).cast("double")))
+        f"size({numbers}) <= 4 AND NOT exists({numbers}, n -> n IS NULL) AND forall({heads}, n -> n <= 255)"
+        f" AND element_at({numbers}, -1) < shiftleft(1L, 8 * (5 - size({numbers})))"
+    )
+    address = (
+        f"(aggregate(transform({heads}, (n, i) -> shiftleft(n, 24 - 8 * i)), 0L, (total, n) -> total + n) + element_at({numbers}, -1))"
     )
-    address = head_sum + last
-    octets = [F.pmod(F.shiftright(address, bits), F.lit(256)).cast("string") for bits in (24, 16, 8, 0)]
-    return F.when(valid, F.concat_ws(".", *octets))
+    octets = ", ".join(f"CAST(shiftright({address}, {bits}) & 255 AS STRING)" for bits in (24, 16, 8, 0))
+    return f"CASE WHEN {valid} THEN concat_ws('.', {octets}) END"
 
 
 def with_canonical_url(df: DataFrame, link: str, out: str = "url", raw_out: str = "url_raw") -> DataFrame:
@@ -129,24 +123,33 @@ def with_canonical_url(df: DataFrame, link: str, out: str = "url", raw_out: str
         "_url_host": F.regexp_extract(c("_url_place"), place, 1),
         "_url_port": F.regexp_replace(F.regexp_extract(c("_url_place"), place, 2), r"\A0+(?=[0-9])", ""),
     })
-    plain = F.when(c("_url_host").contains("%"), _decode(F.replace(c("_url_host"), F.lit("+"), F.lit("%2B")))).otherwise(c("_url_host"))
-    foreign = F.expr("try_reflect('java.net.IDN', 'toASCII', _url_ascii_host)")
-    df = df.withColumn("_url_ascii_host", plain)
-    df = df.withColumn("_url_ascii_host", F.lower(F.when(c("_url_ascii_host").rlike(r"[^\x00-\x7f]"), foreign).otherwise(c("_url_ascii_host"))))
-    bare = F.regexp_replace(c("_url_ascii_host"), r"\Awww\.(?=.)", "")
-    df = df.withColumn("_url_final_host", F.when(
-        (c("_url_ascii_host") == "") | (c("_url_ascii_host").rlike(HOST_FORBIDDEN) & ~c("_url_ascii_host").rlike(r"\A\[[0-9a-f:.]+\]\z")), F.lit(None)
-    ).when(c("_url_ascii_host").rlike(NUMERIC_HOST), numeric_host(c("_url_ascii_host"))).otherwise(bare))
+    # Percent signs first, then letters of other scripts by the JDK's own encoder.
+    df = df.withColumn("_url_ascii_host", F.expr(
+        f"CASE WHEN contains(_url_host, '%') THEN {_decode(_PLUS_KEPT)} ELSE _url_host END"
+    ))
+    df = df.withColumn("_url_ascii_host", F.expr(
+        r"lower(CASE WHEN _url_ascii_host RLIKE r'[^\x00-\x7f]' THEN try_reflect('java.net.IDN', 'toASCII', _url_ascii_host)"
+        " ELSE _url_ascii_host END)"
+    ))
+    df = df.withColumn("_url_final_host", F.expr(
+        rf"CASE WHEN _url_ascii_host = '' OR (_url_ascii_host RLIKE r'{HOST_FORBIDDEN}' AND NOT _url_ascii_host RLIKE r'\A\[[0-9a-f:.]+\]\z')"
+        f" THEN NULL WHEN _url_ascii_host RLIKE r'{NUMERIC_HOST}' THEN {numeric_host('_url_ascii_host')}"
+        r" ELSE regexp_replace(_url_ascii_host, r'\Awww\.(?=.)', '') END"
+    ))
+    word = _escape("substring_index(_url_user, ':', 1)", USER_ESCAPED)
+    secret = _escape("substring(_url_user, instr(_url_user, ':') + 1)", USER_ESCAPED)
     df = df.withColumns({
-        "_url_final_host": F.when(c("_url_final_host").rlike(NUMERIC_HOST), numeric_host(c("_url_final_host"))).otherwise(c("_url_final_host")),
-        "_url_path": resolve_dots(_escape(F.when(c("_url_path") == "", F.lit("/")).otherwise(c("_url_path")), PATH_ESCAPED)),
-        "_url_query": canonical_query(c("_url_query")),
-        "_url_user": F.when(c("_url_user") == "", F.lit("")).otherwise(F.regexp_replace(F.concat(
-            _escape(F.substring_index(c("_url_user"), ":", 1), USER_ESCAPED), F.lit(":"),
-            _escape(F.when(c("_url_user").contains(":"), F.regexp_replace(c("_url_user"), r"\A[^:]*:", "")).otherwise(""), USER_ESCAPED),
-            F.lit("@"),
-        ), r"\A:@|:(?=@)", "")),
+        "_url_final_host": F.expr(f"CASE WHEN _url_final_host RLIKE r'{NUMERIC_HOST}' THEN {numeric_host('_url_final_host')} ELSE _url_final_host END"),
+        "_url_path": F.expr(f"CASE WHEN _url_path = '' THEN '/' ELSE {_escape('_url_path', PATH_ESCAPED)} END"),
+        "_url_query": canonical_query("_url_query"),
+        # An empty password loses its colon, an empty user part its at sign.
+        "_url_user": F.expr(
+            f"CASE WHEN _url_user IN ('', ':') THEN '' WHEN contains(_url_user, ':') AND NOT endswith(_url_user, ':')"
+            f" THEN concat({word}, ':', {secret}, '@') WHEN instr(_url_user, ':') IN (0, length(_url_user)) THEN concat({word}, '@')"
+            f" ELSE concat({word}, ':', {secret}, '@') END"
+        ),
     })
+    df = df.withColumn("_url_path", resolve_dots("_url_path"))
     default_port = F.when(c("_url_scheme") == "https", F.lit("443")).otherwise(F.lit("80"))
     port_ok = (F.length(c("_url_port")) <= 5) & (F.coalesce(c("_url_port").try_cast("int"), F.lit(0)) <= 65535)
     usable = (c("_url_scheme") != "") & (c("_url_final_host") != "") & port_ok

@@ -24,15 +24,13 @@ def is_object(type_name: Column) -> Column:
     return F.coalesce(type_name.startswith("OBJECT"), F.lit(False))
 
 
-def number_text(c: Column) -> Column:
-    """A double the way a script prints it: no trailing zeros, plain digits from
-    1e-6 up to 1e21, exponents beyond."""
-    size = F.abs(c)
-    digits = F.regexp_replace(c.cast("decimal(38,22)").cast("string"), r"\.?0+\z", "")
-    exponent = F.regexp_replace(F.regexp_replace(c.cast("string"), r"\.0E", "E"), r"E(?=[0-9])", "E+")
-    return (
-        F.when(c == 0, F.lit("0"))
-        .when((size < 1e-6) | (size >= 1e21), F.lower(exponent))
-        .when(c == F.rint(c), c.cast("decimal(38,0)").cast("string"))
-        .otherwise(digits)
+def number_text(column: str) -> Column:
+    """A double column, given by name, the way a script prints it: no trailing
+    zeros, plain digits from 1e-6 up to 1e21, exponents beyond."""
+    return F.expr(
+        f"CASE WHEN {column} = 0 THEN '0'"
+        f" WHEN abs({column}) < 1e-6 OR abs({column}) >= 1e21 THEN"
+        rf" lower(regexp_replace(regexp_replace(CAST({column} AS STRING), r'\.0E', 'E'), 'E(?=[0-9])', 'E+'))"
+        f" WHEN {column} = rint({column}) THEN CAST(CAST({column} AS DECIMAL(38, 0)) AS STRING)"
+        rf" ELSE regexp_replace(CAST(CAST({column} AS DECIMAL(38, 22)) AS STRING), r'\.?0+\z', '') END"
     )

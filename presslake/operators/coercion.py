@@ -59,7 +59,7 @@ def with_inputs(df: DataFrame, raw: str = "raw") -> DataFrame:
     })
     df = df.drop(*[f"_{kind}_{f}" for kind in ("type", "text") for f in CHECKED_FIELDS])
     df = df.withColumns({
-        **{f"in_{n}": F.coalesce(F.col(f"_words_{n}"), number_text(F.col(f"_number_{n}"))) for n in CONCEPTS},
+        **{f"in_{n}": F.coalesce(F.col(f"_words_{n}"), number_text(f"_number_{n}")) for n in CONCEPTS},
         "in_published_number": F.col("_number_published"),
         "in_engagement_number": F.col("_number_engagement"),
     })

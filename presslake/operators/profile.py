@@ -49,7 +49,7 @@ def field_facts(raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("_text").rlike(NUMERIC_TEXT), F.lit(False)).alias("numeric"),
         F.when(F.col("key").isin(SOURCE_ALIASES), F.col("_text")).alias("spelling"),
         "date_state",
-        F.when(F.col("date_state") == "unparsable", F.coalesce(number_text(F.col("_number")), F.to_json("_value"))).alias("date_json"),
+        F.when(F.col("date_state") == "unparsable", F.coalesce(number_text("_number"), F.to_json("_value"))).alias("date_json"),
     )
     return fields.unionByName(others, allowMissingColumns=True)
 

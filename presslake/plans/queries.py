@@ -142,7 +142,7 @@ def decoded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = feed.table(spark, sf_dir, "pages")
     messy = F.concat(F.col("html"), F.lit("&#38;amp; &#x41;&#0066;&Hellip;&#xZ; &#12ab &#65ab; &nbsp"))
     pages = pages.select("page_id", messy.alias("html"))
-    return pages.select("page_id", text.decode_entities(F.col("html")).alias("decoded"))
+    return pages.select("page_id", text.decode_entities("html").alias("decoded"))
 
 
 def folded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_clean_text(spark):
 
 def test_decode_once(spark):
     check(spark, [("Tom &amp; &#39; &#x2014;", "Tom & ' —"), ("&am&#112;;", "&amp;"), ("no entity & co", "no entity & co")],
-          lambda df: df.withColumn("got", text.decode_entities(F.col("given"))))
+          lambda df: df.withColumn("got", text.decode_entities("given")))
 
 
 def test_fold_source(spark):
@@ -204,7 +204,7 @@ def test_count_numbers(spark):
 def test_number_text(spark):
     check(spark, [(12.0, "12"), (0.8, "0.8"), (-0.0, "0"), (1e21, "1e+21"), (1.5e-7, "1.5e-7"), (1e-7, "1e-7"), (12345678901234567890.0, "12345678901234567000"),
                   (1.25e-6, "0.00000125"), (-3.75, "-3.75"), (100.0, "100"), (123456789.5, "123456789.5"), (None, None)],
-          lambda df: df.withColumn("got", number_text(F.col("given"))), T.DoubleType())
+          lambda df: df.withColumn("got", number_text("given")), T.DoubleType())
 
 
 def test_comparison_form(spark):
