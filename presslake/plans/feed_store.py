@@ -6,6 +6,7 @@ service reads its database, instead of normalizing the feed on every call.
 
 from __future__ import annotations
 
+import threading
 import zlib
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -22,13 +23,15 @@ BATCH = "feed"
 CREATED_AT = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
 _done: set[tuple[str, str, str]] = set()
+_lock = threading.RLock()
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], object]) -> None:
     key = (spark.sparkContext.applicationId, sf_dir, what)
-    if key not in _done:
-        make()
-        _done.add(key)
+    with _lock:
+        if key not in _done:
+            make()
+            _done.add(key)
 
 
 def _name(sf_dir: str) -> str:
