@@ -77,21 +77,29 @@ def count_text(shape: Column, n: Column) -> Column:
     )
 
 
-def _with_event(df: DataFrame, events: DataFrame, key: str) -> DataFrame:
-    e = events.select(F.col("event_id").alias(key), "ts", "event_type", F.floor(F.col("value") * 100).cast("bigint").alias("n"))
-    df = df.join(e, key, "left")
-    shape, count_shape = F.pmod(F.col(key), F.lit(DATE_SHAPES)), F.pmod(F.col(key), F.lit(COUNT_SHAPES))
-    return df.withColumns({
+def written_columns() -> dict[str, Column]:
+    """Dates and counters of a row that ``_with_event`` prepared. The columns are
+    unresolved, so one set serves all tables."""
+    shape, count_shape = F.pmod(F.col("k"), F.lit(DATE_SHAPES)), F.pmod(F.col("k"), F.lit(COUNT_SHAPES))
+    return {
         "date_text": date_text(shape, F.col("ts"), F.col("event_type")),
         "date_number": F.when(shape == 12, F.unix_millis("ts")),
         "count_text": count_text(count_shape, F.col("n")),
         "count_number": F.when(count_shape == 7, F.col("n")),
-    })
+    }
 
 
-def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_event(spark: SparkSession, sf_dir: str, name: str, key: str, written: dict[str, Column] | None) -> DataFrame:
+    """A table with its key as ``k`` and what the event of that number gives."""
+    e = utc_events(spark, sf_dir).select(
+        F.col("event_id").alias("k"), "ts", "event_type", F.floor(F.col("value") * 100).cast("bigint").alias("n"))
+    df = table(spark, sf_dir, name).withColumn("k", F.col(key)).join(e, "k", "left")
+    return df.withColumns(written_columns() if written is None else written)
+
+
+def document_records(spark: SparkSession, sf_dir: str, written: dict[str, Column] | None = None) -> DataFrame:
     """``ordinal, json``; every key is present, absent values are JSON null."""
-    df = _with_event(table(spark, sf_dir, "documents"), utc_events(spark, sf_dir), "doc_id")
+    df = _with_event(spark, sf_dir, "documents", "doc_id", written)
     k = F.col("doc_id")
     spelling = (
         F.when(k % 97 == 5, F.lit(""))
@@ -111,9 +119,9 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select((k * 3).alias("ordinal"), body.alias("json"))
 
 
-def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_records(spark: SparkSession, sf_dir: str, written: dict[str, Column] | None = None) -> DataFrame:
     """Two records per page, the second a repost under a tracked link."""
-    df = _with_event(table(spark, sf_dir, "pages"), utc_events(spark, sf_dir), "page_id")
+    df = _with_event(spark, sf_dir, "pages", "page_id", written)
     df = df.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     joiner = F.when(F.col("url").contains("?"), F.lit("&")).otherwise(F.lit("?"))
     bare, fragment = F.substring_index("url", "#", 1), F.regexp_extract("url", "(#.*)?$", 1)
@@ -130,9 +138,9 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select((F.col("page_id") * 6 + F.col("copy") * 3 + 1).alias("ordinal"), F.to_json(record).alias("json"))
 
 
-def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_records(spark: SparkSession, sf_dir: str, written: dict[str, Column] | None = None) -> DataFrame:
     """Posts without a link; author with markup, date as a number or missing."""
-    df = _with_event(table(spark, sf_dir, "conversations"), utc_events(spark, sf_dir), "conv_id")
+    df = _with_event(spark, sf_dir, "conversations", "conv_id", written)
     record = F.struct(
         F.col("role").alias("source_name"), F.col("text").alias("content"),
         F.when(F.col("turn") % 2 == 0, F.unix_seconds("ts")).alias("published_date"),
@@ -144,7 +152,8 @@ def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [make(spark, sf_dir) for make in (document_records, page_records, conversation_records)]
+    written = written_columns()
+    parts = [make(spark, sf_dir, written) for make in (document_records, page_records, conversation_records)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
