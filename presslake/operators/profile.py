@@ -24,7 +24,8 @@ SOURCE_ALIASES = TEXT_ALIASES["source"]
 def field_facts(raw: DataFrame) -> DataFrame:
     """One row per top-level field of each object, and one per other record with
     a null key: ``key, type, html, numeric, spelling, date_state, date_json``."""
-    df = raw.select(F.col("raw"), F.schema_of_variant("raw").alias("_shape"))
+    # An unreadable document holds no records; it has no value at all, not a JSON null.
+    df = raw.where(F.col("raw").isNotNull()).select(F.col("raw"), F.schema_of_variant("raw").alias("_shape"))
     df = df.withColumn("_object", is_object(F.col("_shape")))
     others = df.where(~F.col("_object")).select(
         F.lit(None).cast("string").alias("key"),

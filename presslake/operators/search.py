@@ -17,10 +17,14 @@ from presslake.functions.names import fold_source
 from presslake.operators.export import listing
 from presslake.session import work_dir
 
-# Limits of the search arguments.
-MAX_QUERY_LENGTH = 200
+# Limits of the search arguments, and the white space around them.
+MAX_QUERY_LENGTH = 200   # UTF-16 units
 DEFAULT_PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
+WHITE_SPACE = (
+    "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 # Pages that end within this many rows are cut from a top-k; deeper ones are
 # located by counting (see ``page_of``).
@@ -88,9 +92,9 @@ def search_request(spark: SparkSession, **arguments) -> SearchRequest:
     problems: list[tuple[str, str]] = []
     known = {"q", "source", "from", "to", "page", "page_size"}
     problems += [(name, "unknown argument") for name in arguments if name not in known]
-    texts = {n: arguments[n].strip() for n in ("q", "source", "from", "to") if arguments.get(n) is not None}
+    texts = {n: arguments[n].strip(WHITE_SPACE) for n in ("q", "source", "from", "to") if arguments.get(n) is not None}
     problems += [(n, f"{n} must not be blank") for n, value in texts.items() if not value]
-    if len(texts.get("q", "")) > MAX_QUERY_LENGTH:
+    if len(texts.get("q", "").encode("utf-16-le")) > 2 * MAX_QUERY_LENGTH:
         problems.append(("q", f"q must be at most {MAX_QUERY_LENGTH} characters"))
     key, start, end = _read_arguments(spark, texts)
     if texts.get("source") and not key:

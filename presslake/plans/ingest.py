@@ -84,15 +84,17 @@ def ingest(
 
     name = stage_name(table, batch_id)
     staged = stage(spark, normalize(raw), f"{name}/normalized")
-    if "malformed" in staged.columns:
-        bad = staged.where(F.col("malformed").isNotNull()).select("malformed", "file").first()
-        if bad is not None:
-            raise BatchError(f"{bad['malformed']} ({bad['file']})")
-        staged = with_ordinal(staged.drop("malformed"))
+    from_text = "malformed" in staged.columns
     totals = staged.agg(
         F.count("*").alias("received"), F.count_if(F.col("reason").isNull()).alias("accepted"),
-        F.max("ordinal").alias("last"),
+        (F.max("malformed") if from_text else F.lit(None)).alias("malformed"),
     ).first()
+    if totals["malformed"] is not None:
+        bad = staged.where(F.col("malformed").isNotNull()).select("file", "malformed").first()
+        raise BatchError(f"{bad['malformed']} ({bad['file']})")
+    if from_text:
+        staged = with_ordinal(staged.drop("malformed"))
+    last_ordinal = staged.agg(F.max("ordinal")).first()[0]
     rows = accepted(staged)
 
     firsts = stage(spark, first_by_fingerprint(rows, ["ordinal"]), f"{name}/firsts")
@@ -112,7 +114,7 @@ def ingest(
 
     counts = {"received": totals["received"], "accepted": totals["accepted"], "distinct": distinct, "inserted": inserted}
     report = report_row(counts, first_rejects(staged).collect())
-    max_id = start if totals["last"] is None else start + 1 + totals["last"]
+    max_id = start if last_ordinal is None else start + 1 + last_ordinal
     entry = {"batch_id": batch_id, "created_at": created_at, "max_id": max_id, **report}
     write_part(spark.createDataFrame([entry], COMMITTED_SCHEMA).coalesce(1), table, "committed", batch_id)
     return report

@@ -86,7 +86,7 @@ def test_keyset_walk(spark, table):
 @pytest.mark.parametrize("arguments, name", [
     ({"page": 0}, "page"), ({"page": "-1"}, "page"), ({"page": "abc"}, "page"), ({"page_size": 0}, "page_size"), ({"page_size": 101}, "page_size"),
     ({"from": "not-a-date"}, "from"), ({"to": "32/13/2024"}, "to"), ({"from": "2024-03-15", "to": "2024-03-01"}, "from"), ({"q": " "}, "q"),
-    ({"q": "x" * 201}, "q"), ({"source": ""}, "source"), ({"source": "!!!"}, "source"), ({"colour": "1"}, "colour"),
+    ({"q": "x" * 201}, "q"), ({"q": "𝒜" * 101}, "q"), ({"q": "\ufeff"}, "q"), ({"source": ""}, "source"), ({"source": "!!!"}, "source"), ({"colour": "1"}, "colour"),
 ])
 def test_refused_arguments(spark, arguments, name):
     with pytest.raises(search.SearchError) as error:
