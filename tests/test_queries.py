@@ -20,7 +20,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="tables are
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.registered.queries()) == set(entry.oracle_queries.oracle_sql())
 
 
 @needs_tables
