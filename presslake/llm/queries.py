@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presslake.llm.contamination import contained_items
+from presslake.llm.mixing import mixed
 from presslake.llm.packed_ids import packed_documents
 from presslake.llm.quality_ledger import judged, ledger
 from presslake.llm.simhash_links import near_duplicates
 from presslake.llm.token_counts import encoded_lengths, length_histogram
+from presslake.llm.toxicity import toxicity
+from presslake.llm.warc import archived_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +27,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(encoded_lengths(_table(spark, sf_dir, "documents")))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -37,5 +57,7 @@ def op10_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op8_simhash_near_dedup, op9_quality_rules, op10_packed_token_ids]
+    found = [
+        op1_token_counts, op2_source_mixing, op4_benchmark_decontamination, op5_toxicity, op6_warc_writer, op8_simhash_near_dedup, op9_quality_rules, op10_packed_token_ids,
+    ]
     return {f.__name__: f for f in found}
