@@ -1,21 +1,54 @@
-"""The training-corpus pipeline: filters, mixes and encodes ``documents`` in written stages."""
+"""The training-corpus pipeline: filters, mixes and encodes ``documents`` in written stages.
+
+Every stage keeps the columns of ``documents`` but the last, whose rows are read back from the
+packed files. Null texts count as empty; extra columns are dropped; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presslake.llm.contamination import without_items
+from presslake.llm.mixing import mixed
 from presslake.llm.packed_ids import packed_documents
 from presslake.llm.simhash_links import near_duplicates
 from presslake.llm.staging import written
+from presslake.llm.toxicity import with_score
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOXIC = 0.5
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose toxicity score is 0.5 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return with_score(docs.select(COLUMNS), labels, "toxicity").where(F.col("toxicity") < TOXIC).select(COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each near-duplicate component, the document that names it."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Keeps, of each near-duplicate component, the document whose id names it; rows repeated whole become one.
+
+    Rows without an id cannot name a component; all of them stay.
+    """
+    named = near_duplicates(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.select(COLUMNS).join(named, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(COLUMNS)
+    return kept.unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item."""
+    return without_items(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it; those not taken go."""
+    key = ["doc_id", "text_hash"]
+    keyed = docs.select(COLUMNS).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(key)
+    taken = mixed(docs).where("copies > 0").groupBy(*key).agg(F.sum("copies").alias("copies"))
+    same = keyed["doc_id"].eqNullSafe(taken["doc_id"]) & (keyed["text_hash"] == taken["text_hash"])
+    each = keyed.join(taken, same).select(*[keyed[c] for c in COLUMNS], taken["copies"])
+    return each.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +56,15 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_documents(docs)
 
 
-STAGES = [("near_duplicates", one_of_each_group), ("token_ids", token_ids)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("source_mixing", to_target_weights),
+    ("token_ids", token_ids),
+]
 
-#: Classifier, SimHash components, knapsack and tokenizer are beyond SQL.
+#: Classifier, components, knapsack and tokenizer are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -144,6 +144,11 @@ def _passes(items: list) -> Iterator[list]:
         yield part
 
 
+def _item_passes(benchmark: DataFrame) -> Iterator[list]:
+    chosen = benchmark.select(F.col("item_id").cast("long"), F.encode(F.col("text").cast("string"), "utf-8")).where("text IS NOT NULL")
+    return _passes([(r[0], bytes(r[1])) for r in chosen.toLocalIterator()])
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINED) -> DataFrame:
     """Rows ``doc_id, item_id, shared, item_shingles``: items of whose five-word shingles a share of at least ``least`` is in the document.
 
@@ -155,9 +160,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = CONTAI
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = benchmark.select(F.col("item_id").cast("long"), F.encode(F.col("text").cast("string"), "utf-8")).where("text IS NOT NULL")
-    out = None
-    for items in _passes([(r[0], bytes(r[1])) for r in chosen.toLocalIterator()]):
+    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shared long, item_shingles long")
+    for items in _item_passes(benchmark):
 
         def search(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(items)
@@ -167,8 +171,21 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = CONTAI
                 columns = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "shared", "item_shingles"])
 
-        found = texts.mapInArrow(search, "doc_id long, item_id long, shared long, item_shingles long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shared long, item_shingles long")
+        out = out.unionByName(texts.mapInArrow(search, "doc_id long, item_id long, shared long, item_shingles long"))
     return out
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINED) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no item by the rule of ``contained_items``."""
+    bounded_batches(docs.sparkSession)
+    for items in _item_passes(benchmark):
+
+        def drop(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(items)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[at for at, *_ in index.matches(binary(batch, "text"), least)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(drop, docs.schema)
+    return docs

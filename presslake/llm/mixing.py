@@ -109,20 +109,20 @@ def _with_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
 def mixed(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42
 ) -> DataFrame:
-    """Per row: ``doc_id``, ``size`` (words), ``source_size``, ``target`` of its source, and the words ``taken``.
+    """Per row: ``doc_id``, ``size`` (words), ``source_size``, ``target`` of its source, words ``taken``, ``copies``, and ``text_hash``.
 
     Sources in code point order, null last, weigh ``weights`` in turn and share ``share`` times
     all words; what exceeds ``most`` times a source's words goes to the others by weight. A
     source takes all its documents as often as fits whole, and then, once more, documents whose
     lengths add up to the rest: how many of each length comes from the histogram of lengths,
-    which of them from the order of a seeded hash of the id. No document exceeds ``most`` times
-    its size. Null texts have size 0; a null id is hashed as null; repeated rows count as rows;
+    which of them from the order of a seeded hash of id and text. No document exceeds ``most`` times
+    its size. Null texts have size 0; null ids are hashed as null; repeated rows count as rows;
     an empty table gives no rows; other columns are ignored.
     """
     sizes = written(
         docs.select(
             F.col("doc_id"), F.col("source").isNull().alias("no_source"),
-            F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), word_count(F.col("text")).alias("size"),
+            F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"),
         ),
         "mix-sizes",
     )
@@ -151,7 +151,7 @@ def mixed(
     partly = (F.col("k") > 0) & (F.col("k") < F.col("n"))
     sure = planned.where(~partly).withColumn("extra", (F.col("k") > 0).cast("long"))
     cell = [*KEY, "size"]
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash"))
     split = planned.where(partly).withColumn("h", hashed).withColumn(
         "bucket", F.pmod(F.col("h"), F.ceil(F.col("n") / RANKED).cast("long"))
     )
@@ -160,9 +160,10 @@ def mixed(
         *cell, "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("first")
     )
     ranked = split.join(small_side(buckets), [*cell, "bucket"]).withColumn(
-        "row", F.row_number().over(Window.partitionBy(*cell, "bucket").orderBy("h", "doc_id")) + F.col("first")
+        "row", F.row_number().over(Window.partitionBy(*cell, "bucket").orderBy("h", "doc_id", "text_hash")) + F.col("first")
     )
     chosen = ranked.withColumn("extra", (F.col("row") <= F.col("k")).cast("long")).select(sure.columns)
     result = sure.unionByName(chosen)
     forget(histogram, sources)
-    return result.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("rounds") + F.col("extra"))).alias("taken"))
+    copies = F.col("rounds") + F.col("extra")
+    return result.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "text_hash")

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslake.llm.contamination import contained_items
+from presslake.llm.fm_dedup import without_repeats
 from presslake.llm.mixing import mixed
 from presslake.llm.packed_ids import packed_documents
 from presslake.llm.quality_ledger import judged, ledger
 from presslake.llm.simhash_links import near_duplicates
+from presslake.llm.suffix_dedup import without_repeated_bytes
 from presslake.llm.token_counts import encoded_lengths, length_histogram
 from presslake.llm.toxicity import toxicity
 from presslake.llm.warc import archived_pages
@@ -28,7 +30,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(_table(spark, sf_dir, "documents"))
+    return mixed(_table(spark, sf_dir, "documents")).drop("copies", "text_hash")
+
+
+def op3_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +49,10 @@ def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(_table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +68,7 @@ def op10_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
-        op1_token_counts, op2_source_mixing, op4_benchmark_decontamination, op5_toxicity, op6_warc_writer, op8_simhash_near_dedup, op9_quality_rules, op10_packed_token_ids,
+        op1_token_counts, op2_source_mixing, op3_fm_index_dedup, op4_benchmark_decontamination, op5_toxicity, op6_warc_writer,
+        op7_suffix_array_dedup, op8_simhash_near_dedup, op9_quality_rules, op10_packed_token_ids,
     ]
     return {f.__name__: f for f in found}

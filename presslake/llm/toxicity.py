@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from presslake.llm.staging import bounded_batches, forget, written
 
@@ -175,14 +176,8 @@ def learned_lexicon(training: DataFrame) -> dict[str, float]:
     return {r.term: r.odds for r in rows}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``held_out``, ``score`` and ``predicted``, from the text alone.
-
-    Labels are read only where crc32 of the id is not divisible by 5, from at most
-    ``training_rows`` rows. Null and empty texts match no clause and get the score of such
-    texts; a null id is not held out; repeated rows are scored alike; without labels the
-    grammar's prior weights hold and no insult is known. Other columns are ignored.
-    """
+def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """All columns of ``docs`` and the score of ``text``, learned from the labelled rows among them."""
     bounded_batches(docs.sparkSession)
     training = written(_training(docs, labels, training_rows), "toxic-training")
     lexicon = learned_lexicon(training)
@@ -203,16 +198,29 @@ def toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_R
     rows = training.mapInArrow(featured, "f array<int>, n long, toxic long").groupBy("f").agg(F.sum("n"), F.sum("toxic")).collect()
     weights = fitted_weights(sorted((tuple(f), n, t) for f, n, t in rows))
     forget(training)
+    at = docs.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)
         for batch in batches:
-            x = np.array([[1, *np.sqrt(grammar.features(t or ""))] for t in batch.column(1).to_pylist()], float).reshape(-1, len(PRIOR))
+            x = np.array([[1, *np.sqrt(grammar.features(t or ""))] for t in batch.column(at).to_pylist()], float).reshape(-1, len(PRIOR))
             score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(scored, schema)
 
+
+def toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``held_out``, ``score`` and ``predicted``, from the text alone.
+
+    Labels are read only where crc32 of the id is not divisible by 5, from at most
+    ``training_rows`` rows. Null and empty texts match no clause and get the score of such
+    texts; a null id is not held out; repeated rows are scored alike; without labels the
+    grammar's prior weights hold and no insult is known. Other columns are ignored.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return texts.mapInArrow(scored, "doc_id long, score double").select(
+    return with_score(texts, labels, training_rows=training_rows).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
