@@ -1,7 +1,7 @@
 """Token ids of the tokenizers library, with every distinct piece of text encoded once.
 
 A byte-level tokenizer first cuts the text; no cut piece holds white space after another
-character. A text may therefore be cut before any white space that follows another character
+character, nor an ASCII mark or digit after a letter. A text may therefore be cut there
 without changing its ids. Pieces recur, so their ids are kept; new pieces of a batch are
 encoded by the library in one call and told apart by the bytes that each id stands for.
 """
@@ -16,9 +16,12 @@ import numpy as np
 
 # The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+# Letters of the Latin blocks; all of them are letters to the tokenizer too.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+ASCII_OTHER = "!-@\\[-`{-~"
+PIECE = re.compile(f"[{WHITE_SPACE}]*[{LATIN}]+(?=[{WHITE_SPACE}{ASCII_OTHER}]|\\Z)|[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 #: Pieces kept in one Python worker; beyond that the store starts anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 800_000
 
 
 def default_tokenizer() -> str:
