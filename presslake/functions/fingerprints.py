@@ -33,23 +33,25 @@ def content_prefix(form: Column) -> Column:
     return F.when(short.rlike(r"[\x{10000}-\x{10ffff}]"), exact).otherwise(short)
 
 
-def identity_text(source: Column, url: Column, title_form: Column, content_form: Column) -> Column:
-    by_url = F.concat_ws(SEPARATOR, F.lit(VERSION), F.lit("url"), schemeless(url))
+def identity_text(
+    source: Column, url: Column, title_form: Column, content_form: Column, version: str = VERSION
+) -> Column:
+    by_url = F.concat_ws(SEPARATOR, F.lit(version), F.lit("url"), schemeless(url))
     by_content = F.concat_ws(
-        SEPARATOR, F.lit(VERSION), F.lit("content"), source, title_form, content_prefix(content_form)
+        SEPARATOR, F.lit(version), F.lit("content"), source, title_form, content_prefix(content_form)
     )
     return F.when(url.isNotNull(), by_url).otherwise(by_content)
 
 
-def with_fingerprint(df: DataFrame) -> DataFrame:
+def with_fingerprint(df: DataFrame, version: str | None = None) -> DataFrame:
     """Adds ``fingerprint`` and ``fingerprint_strategy`` from source, url, title
-    and content. Comparison forms are built only where the link is missing."""
+    and content. The version is part of the hashed text. Comparison forms are built only where the link is missing."""
     no_url = F.col("url").isNull()
     df = df.withColumns({
         "_title_form": F.when(no_url, comparison_form(F.col("title"))),
         "_content_form": F.when(no_url, comparison_form(F.col("content"))),
     })
-    text = identity_text(F.col("source"), F.col("url"), F.col("_title_form"), F.col("_content_form"))
+    text = identity_text(F.col("source"), F.col("url"), F.col("_title_form"), F.col("_content_form"), version or VERSION)
     return df.withColumns({
         "fingerprint": F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)),
         "fingerprint_strategy": F.when(no_url, F.lit("content")).otherwise(F.lit("url")),

@@ -29,8 +29,8 @@ def first_wins(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def canonical_mentions(stored: DataFrame) -> DataFrame:
-    """Read view in which the earliest stored row of a fingerprint stands, for a
-    table that broke the one-writer contract."""
+    """Read view in which the earliest stored row of a fingerprint stands, for rows
+    gathered from several tables."""
     return first_wins(stored, ["created_at", "batch_id", "ordinal"])
 
 
@@ -47,8 +47,11 @@ def already_stored(firsts: DataFrame, stored: DataFrame, firsts_rows: int | None
 
 
 def not_stored(firsts: DataFrame, stored: DataFrame, firsts_rows: int | None = None) -> DataFrame:
-    """Rows of ``firsts`` whose fingerprint is not stored yet."""
-    return firsts.join(already_stored(firsts, stored, firsts_rows), "fingerprint", "left_anti")
+    """Rows of ``firsts`` whose fingerprint is not stored yet: one anti-join, or for
+    a batch that may be broadcast a scan of the stored side that moves only hits."""
+    if firsts_rows is not None and firsts_rows <= BROADCAST_ROWS:
+        stored = already_stored(firsts, stored, firsts_rows)
+    return firsts.join(stored.select("fingerprint"), "fingerprint", "left_anti")
 
 
 def fingerprint_groups(df: DataFrame) -> DataFrame:

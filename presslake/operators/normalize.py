@@ -14,13 +14,14 @@ from presslake.operators.coercion import reject_reason, with_inputs
 from presslake.schema import NORMALIZED_COLUMNS
 
 
-def normalize(raw: DataFrame) -> DataFrame:
+def normalize(raw: DataFrame, version: str | None = None) -> DataFrame:
     """``(…, raw VARIANT)`` to the same rows with ``reason`` (null when accepted)
     and the mention fields. No shuffle, no Python worker; other columns of the
     input are carried along.
 
     A published number in text form is a date text, not an epoch number, so the
-    text parser sees it only when the value was not a JSON number.
+    text parser sees it only when the value was not a JSON number. ``version`` is
+    that of the fingerprints.
     """
     carried = [c for c in raw.columns if c not in NORMALIZED_COLUMNS]
     df = with_inputs(raw)
@@ -37,7 +38,7 @@ def normalize(raw: DataFrame) -> DataFrame:
         "published_at_raw": F.when(F.col("published_at").isNull(), F.col("in_published")),
         "reason": reject_reason(),
     })
-    df = with_fingerprint(df)
+    df = with_fingerprint(df, version)
     accepted = F.col("reason").isNull()
     return df.withColumns({
         "fingerprint": F.when(accepted, F.col("fingerprint")),

@@ -45,7 +45,7 @@ def feed_table(spark: SparkSession, sf_dir: str) -> str:
 
     def make() -> None:
         raw = stage(spark, raw_mentions(spark, sf_dir), f"{_name(sf_dir)}/raw")
-        ingest(spark, raw, path, BATCH, CREATED_AT)
+        ingest(spark, raw, path, BATCH, CREATED_AT, keep_stages=True)
 
     _once(spark, sf_dir, "table", make)
     return path

@@ -4,29 +4,36 @@ One wide pass normalizes the batch into a staged table. Duplicates are decided
 on narrow rows. The survivors are written by a second pass that moves wide rows
 only if the duplicates are too many to broadcast. Every step that is used again
 is a table in the shared work folder, so a lost executor costs a task, not the
-batch.
+batch; the staged tables go once the batch is committed.
+
+Writers do not wait for each other. A writer decides against the log it has read,
+writes its part and takes the next number of the log. If another writer was
+faster, it decides again against what that one stored.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from presslake.operators.dedup import BROADCAST_ROWS, already_stored, first_by_fingerprint
+from presslake.operators.dedup import BROADCAST_ROWS, first_by_fingerprint, first_wins, not_stored
 from presslake.operators.keys import with_ids
 from presslake.operators.normalize import accepted, normalize, rejected
-from presslake.schema import COMMITTED_SCHEMA, STORED_SCHEMA
+from presslake.schema import STORED_SCHEMA
 from presslake.session import apply_settings, work_dir
 from presslake.sources.batches import BatchError, with_ordinal
 from presslake.sources.mentions_table import (
-    check_batch_id, committed_report, last_id, read_log, read_mentions, write_part,
+    Log, check_batch_id, commit, delete_folder, read_log, read_mentions, write_part,
 )
 
 # Fixed value: how many refused records a report lists.
 REPORTED_ERRORS = 50
 
+REPORT = ["received", "accepted", "rejected", "inserted", "duplicates", "duplicate_breakdown", "errors"]
+
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the work folder and reads it back: a table that survives
@@ -68,55 +75,94 @@ def report_row(counts: dict[str, int], errors: list[Row]) -> dict:
     }
 
 
+def _record_hash() -> Column:
+    return F.xxhash64(F.to_json("raw")).cast("decimal(20,0)")
+
+
+def _digest(row: Row) -> str:
+    """What tells one input from another under the same batch id."""
+    return f"{row['received']}:{row['hashes'] or 0}"
+
+
+def _logged_report(entry: dict, digest: str) -> dict:
+    if entry["input"] != digest:
+        raise BatchError(f"batch id {entry['batch_id']} is committed for another input")
+    return {name: entry[name] for name in REPORT}
+
+
 def ingest(
-    spark: SparkSession, raw: DataFrame, table: str, batch_id: str, created_at: datetime | None = None
+    spark: SparkSession, raw: DataFrame, table: str, batch_id: str, created_at: datetime | None = None,
+    bad_lines: str = "refuse", keep_stages: bool = False,
 ) -> dict:
     """Stores a batch of ``ordinal, raw`` rows, or of what the batch readers
-    yield, and returns its report. A batch id that is committed already is not
-    stored again; its logged report is returned."""
+    yield, and returns its report.
+
+    A batch id that is committed for the same records is not stored again and its
+    logged report is returned; with other records it raises. ``bad_lines`` says
+    whether text that is no JSON refuses the batch (``"refuse"``) or is a
+    rejected record of its own (``"reject"``).
+    """
+    if bad_lines not in ("refuse", "reject"):
+        raise ValueError("bad_lines must be 'refuse' or 'reject'")
     apply_settings(spark)
     check_batch_id(batch_id)
-    logged = committed_report(spark, table, batch_id)
-    if logged is not None:
-        report = logged.asDict(recursive=True)
-        return {k: v for k, v in report.items() if k not in ("batch_id", "created_at", "max_id")}
+    log = Log(spark, table)
+    if log.batch(batch_id):
+        seen = raw.agg(F.count("*").alias("received"), F.sum(_record_hash()).alias("hashes")).first()
+        return _logged_report(log.batch(batch_id), _digest(seen))
     created_at = created_at or datetime.now(timezone.utc)
 
-    name = stage_name(table, batch_id)
-    staged = stage(spark, normalize(raw), f"{name}/normalized")
-    from_text = "malformed" in staged.columns
+    from_text = "malformed" in raw.columns
+    if from_text and bad_lines == "refuse":
+        bad = raw.where(F.col("malformed").isNotNull()).select("file", "malformed").first()
+        if bad is not None:
+            raise BatchError(f"{bad['malformed']} ({bad['file']})")
+    name = f"{stage_name(table, batch_id)}" if keep_stages else f"{stage_name(table, batch_id)}-{uuid.uuid4().hex}"
+    normalized = normalize(raw).withColumn("record_hash", _record_hash())
+    if from_text:
+        normalized = normalized.withColumn("reason", F.coalesce("malformed", "reason")).drop("malformed")
+    staged = stage(spark, normalized, f"{name}/normalized")
     totals = staged.agg(
-        F.count("*").alias("received"), F.count_if(F.col("reason").isNull()).alias("accepted"),
-        (F.max("malformed") if from_text else F.lit(None)).alias("malformed"),
+        F.count("*").alias("received"), F.count_if(F.col("reason").isNull()).alias("accepted"), F.sum("record_hash").alias("hashes"),
     ).first()
-    if totals["malformed"] is not None:
-        bad = staged.where(F.col("malformed").isNotNull()).select("file", "malformed").first()
-        raise BatchError(f"{bad['malformed']} ({bad['file']})")
     if from_text:
-        staged = with_ordinal(staged.drop("malformed"))
+        staged = with_ordinal(staged)
     last_ordinal = staged.agg(F.max("ordinal")).first()[0]
     rows = accepted(staged)
-
     firsts = stage(spark, first_by_fingerprint(rows, ["ordinal"]), f"{name}/firsts")
     distinct = firsts.count()
-    kept, inserted = firsts, distinct
-    if read_log(spark, table).limit(1).count():
-        known = already_stored(firsts, read_mentions(spark, table), distinct)
-        kept = stage(spark, firsts.join(known, "fingerprint", "left_anti"), f"{name}/kept")
-        inserted = kept.count()
-
-    start = last_id(spark, table)
-    new = with_ids(survivors(rows, kept, totals["accepted"] - inserted), start, created_at)
+    errors = first_rejects(staged).collect()
     columns = [c for c in STORED_SCHEMA.names if c != "batch_id"]
-    # Sorted files let min/max statistics skip row groups for source and date filters.
-    write_part(new.select(*columns).sortWithinPartitions("source", "published_at"), table, "mentions", batch_id)
-    write_part(rejected(staged), table, "rejects", batch_id)
-
-    counts = {"received": totals["received"], "accepted": totals["accepted"], "distinct": distinct, "inserted": inserted}
-    report = report_row(counts, first_rejects(staged).collect())
-    max_id = start if last_ordinal is None else start + 1 + last_ordinal
-    entry = {"batch_id": batch_id, "created_at": created_at, "max_id": max_id, **report}
-    write_part(spark.createDataFrame([entry], COMMITTED_SCHEMA).coalesce(1), table, "committed", batch_id)
+    attempt, refused = 0, f"{batch_id}-{uuid.uuid4().hex}"
+    write_part(rejected(staged).withColumn("batch_id", F.lit(batch_id)), table, "rejects", refused)
+
+    while True:
+        log = Log(spark, table)
+        if log.batch(batch_id):  # the same batch, by a faster writer
+            report = _logged_report(log.batch(batch_id), _digest(totals))
+            break
+        kept, inserted = firsts, distinct
+        if log.parts:
+            attempt += 1
+            kept = stage(spark, not_stored(firsts, read_mentions(spark, table, log), distinct), f"{name}/kept-{attempt}")
+            inserted = kept.count()
+        new = with_ids(survivors(rows, kept, totals["accepted"] - inserted), log.last_id, created_at)
+        part = f"{batch_id}-{uuid.uuid4().hex}"
+        # Sorted files let min/max statistics skip row groups for source and date filters.
+        ordered = new.select(*columns, F.lit(batch_id).alias("batch_id")).sortWithinPartitions("source", "published_at")
+        write_part(ordered, table, "mentions", part)
+        counts = {"received": totals["received"], "accepted": totals["accepted"], "distinct": distinct, "inserted": inserted}
+        report = report_row(counts, errors)
+        max_id = log.last_id if last_ordinal is None else log.last_id + 1 + last_ordinal
+        entry = {
+            "kind": "batch", "batch_id": batch_id, "created_at": created_at, "max_id": max_id, **report,
+            "part": part, "rejects": refused, "input": _digest(totals),
+        }
+        if commit(spark, table, log.head + 1, [entry]):
+            break
+        delete_folder(spark, f"{table}/mentions/{part}")
+    if not keep_stages:
+        delete_folder(spark, f"{work_dir(spark)}/{name}")
     return report
 
 
@@ -125,7 +171,22 @@ def report_frame(spark: SparkSession, table: str) -> DataFrame:
     return read_log(spark, table).drop("max_id", "created_at")
 
 
-def refingerprint(stored: DataFrame) -> DataFrame:
-    """Applies the present rules to the kept originals: ``id, ordinal`` and the
-    mention fields anew. Follow with ``first_wins(…, ["id"])`` after storing it."""
-    return normalize(stored.select("id", "created_at", "batch_id", "ordinal", "raw"))
+def refingerprint(stored: DataFrame, version: str | None = None) -> DataFrame:
+    """Applies the present rules, under a fingerprint version, to the kept
+    originals: the stored columns, derived anew, of every stored row."""
+    fresh = normalize(stored.select("id", "created_at", "batch_id", "ordinal", "raw"), version)
+    return fresh.select(*STORED_SCHEMA.names)
+
+
+def refingerprint_table(spark: SparkSession, table: str, target: str, version: str) -> DataFrame:
+    """Stores ``table`` under another fingerprint version as a new table and returns
+    its rows. Rows that agree under the new rules are one: the smallest id stays."""
+    log = Log(spark, table)
+    fresh = stage(spark, refingerprint(read_mentions(spark, table, log), version), f"refingerprint/{uuid.uuid4().hex}")
+    part = f"refingerprint-{uuid.uuid4().hex}"
+    write_part(first_wins(fresh, ["id"]).sortWithinPartitions("source", "published_at"), target, "mentions", part)
+    entries = [{**e, "part": None, "rejects": None} for e in log.entries if e["kind"] == "batch"]
+    entries.append({"kind": "compact", "part": part, "max_id": log.last_id})
+    if not commit(spark, target, 1, entries):
+        raise BatchError(f"{target} is not empty")
+    return read_mentions(spark, target)

@@ -56,6 +56,7 @@ STORED_SCHEMA = T.StructType(
     + [T.StructField("created_at", T.TimestampType()), T.StructField("batch_id", T.StringType())]
 )
 
+# A batch as the log shows it to readers.
 COMMITTED_SCHEMA = T.StructType([
     T.StructField("batch_id", T.StringType()),
     T.StructField("created_at", T.TimestampType()),
@@ -74,3 +75,10 @@ COMMITTED_SCHEMA = T.StructType([
         T.StructField("reason", T.StringType()),
     ]))),
 ])
+
+# Entries of the log: a batch, or a compaction of all before it. ``part`` and
+# ``rejects`` name the folders that hold the rows, ``input`` tells inputs apart.
+LOG_SCHEMA = T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("part", T.StringType()),
+    T.StructField("rejects", T.StringType()), T.StructField("input", T.StringType()),
+] + [T.StructField("created_at", T.StringType()) if f.name == "created_at" else f for f in COMMITTED_SCHEMA.fields])

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# The split table has one row per input split. Up to this many rows it is sent to
-# every executor; a larger one is joined by shuffle.
-BROADCAST_SPLITS = 500_000
+# The split table has one narrow row (three numbers) per input split. Up to this many
+# rows, about 100 MB, it is sent to every executor; that is 500 TB in splits of 128 MB.
+# A larger one is joined by shuffle.
+BROADCAST_SPLITS = 4_000_000
 
 NOT_JSON = "text is not valid JSON"
 NOT_A_BATCH = "document is neither an array nor an object with a mentions array"
@@ -64,16 +65,34 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     return explode_documents(docs).withColumn("block", F.lit(0).cast("bigint"))
 
 
+def natural_order(name: str) -> Column:
+    """A sort key for file names in which runs of digits count by value."""
+    return F.expr(
+        f"transform(transform(regexp_extract_all({name}, '[0-9]+|[^0-9]+', 0), "
+        "t -> regexp_replace(t, '^0+(?=[0-9])', '')), t -> CASE WHEN t RLIKE '^[0-9]' THEN concat(lpad(CAST(length(t) AS STRING), 5, '0'), t) ELSE t END)"
+    )
+
+
 def with_ordinal(stored: DataFrame) -> DataFrame:
     """Replaces ``file, block, row`` of a stored batch by its 0-based position.
 
-    Only the table of splits is ordered in one task; the rows are not moved.
+    Files follow each other by name, numbers in a name by value (``part-99999`` before
+    ``part-100000``). Only the narrow table of splits is ordered in one task; the rows
+    are not moved. Splits are joined by a 64-bit hash of file and block; if two share
+    one, by file and block.
     """
     splits = stored.groupBy("file", "block").agg(F.min("row").alias("_low"), F.max("row").alias("_high"))
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_before", F.coalesce(F.sum(F.col("_high") - F.col("_low") + 1).over(before), F.lit(0))).drop("_high")
-    if splits.count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    df = stored.join(offsets, ["file", "block"])
+    before = Window.orderBy(natural_order("file"), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumns({
+        "_before": F.coalesce(F.sum(F.col("_high") - F.col("_low") + 1).over(before), F.lit(0)), "_split": F.xxhash64("file", "block"),
+    })
+    number, distinct = offsets.agg(F.count("*"), F.countDistinct("_split")).first()
+    if number == distinct:
+        keys = ["_split"]
+        stored = stored.withColumn("_split", F.xxhash64("file", "block"))
+    else:
+        keys = ["file", "block"]
+    offsets = offsets.select(*keys, "_low", "_before")
+    df = stored.join(F.broadcast(offsets) if number <= BROADCAST_SPLITS else offsets, keys)
     ordinal = F.col("row") - F.col("_low") + F.col("_before")
-    return df.withColumn("ordinal", ordinal).drop("file", "block", "row", "_low", "_before")
+    return df.withColumn("ordinal", ordinal).drop("file", "block", "row", "_split", "_low", "_before")
