@@ -30,9 +30,9 @@ def parse_count(trimmed: Column) -> Column:
     factor = F.try_element_at(factors, F.lower(F.regexp_extract(trimmed, SUFFIXED_COUNT, 3)))
     whole = F.regexp_extract(trimmed, SUFFIXED_COUNT, 1).cast("double")
     digits = F.regexp_extract(trimmed, SUFFIXED_COUNT, 2)
-    share = F.when(digits == "", F.lit(0.0)).when(
-        F.length(digits) <= 300, digits.cast("double") / F.pow(F.lit(10.0), F.length(digits).cast("double"))
-    )
+    # Digits beyond the 300th are far below what a double can tell apart.
+    leading = F.substring(digits, 1, 300)
+    share = F.when(digits == "", F.lit(0.0)).otherwise(leading.cast("double") / F.pow(F.lit(10.0), F.length(leading).cast("double")))
     scaled = whole * factor + F.floor(share * factor + F.lit(0.5))
     return F.when(trimmed.rlike(PLAIN_COUNT), _as_count(plain)).when(
         trimmed.rlike(SUFFIXED_COUNT), _as_count(scaled)

@@ -24,6 +24,9 @@ PATH_ESCAPED = r"[\x00-\x20\"#<>?^`{}\x{7f}-\x{10ffff}]"
 USER_ESCAPED = r"[\x00-\x20\"#<>?^`{}/:;=@\[\]\\|\x{7f}-\x{10ffff}]"
 HOST_FORBIDDEN = r"[\x00-\x20#/:<>?@\[\]\\^|%\x{7f}-\x{10ffff}]"
 DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|\z)"
+# Characters that the JDK's host encoder (the 2003 rules) folds away or drops, which
+# would make one host of two. Hosts with them stay in their own letters.
+DEVIATING = r"[\x{df}\x{1e9e}\x{3c2}\x{200c}\x{200d}]"
 NUMERIC_HOST = r"(?:\A|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z"
 
 _PLUS_KEPT = "replace(_url_host, '+', '%2B')"
@@ -82,8 +85,8 @@ def numeric_host(host: str) -> str:
     """SQL: dotted form of a host written as one to four numbers, or null. A
     number may be octal or hexadecimal; the last one fills the bytes left."""
     number = (
-        r"CASE WHEN t RLIKE r'\A0x[0-9a-f]{0,11}\z' THEN CAST(conv('0' || substring(t, 3), 16, 10) AS BIGINT)"
-        r" WHEN t RLIKE r'\A0[0-7]{0,12}\z' THEN CAST(conv(t, 8, 10) AS BIGINT)"
+        r"CASE WHEN t RLIKE r'\A0x0*[0-9a-f]{0,11}\z' THEN CAST(conv('0' || regexp_replace(substring(t, 3), r'\A0+', ''), 16, 10) AS BIGINT)"
+        r" WHEN t RLIKE r'\A0+[0-7]{0,12}\z' THEN CAST(conv('0' || regexp_replace(t, r'\A0+', ''), 8, 10) AS BIGINT)"
         r" WHEN t RLIKE r'\A[1-9][0-9]*\z' THEN try_cast(t AS BIGINT) END"
     )
     numbers = rf"transform(split(regexp_replace({host}, r'\.\z', ''), r'\.', -1), t -> {number})"
@@ -99,6 +102,35 @@ def numeric_host(host: str) -> str:
     return f"CASE WHEN {valid} THEN concat_ws('.', {octets}) END"
 
 
+def address_host(host: str) -> str:
+    """SQL: an IPv6 host in its shortest form, brackets included, or null if it is none."""
+    octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    tail = r"regexp_extract(t, '([^:]*)$', 1)"
+    pair = "lower(hex(CAST(split({0}, '[.]')[{1}] AS INT) * 256 + CAST(split({0}, '[.]')[{2}] AS INT)))"
+    # A last part in dotted form is two groups.
+    plain = (
+        f"CASE WHEN NOT contains(t, '.') THEN t WHEN {tail} RLIKE r'\\A{octet}(?:[.]{octet}){{3}}\\z' THEN"
+        f" concat(substring(t, 1, length(t) - length({tail})), {pair.format(tail, 0, 1)}, ':', {pair.format(tail, 2, 3)}) END"
+    )
+    # One double colon stands for the groups that are missing, at least one.
+    given = "size(filter(split(t, ':'), g -> g <> ''))"
+    zeros = f"array_join(array_repeat('0', 8 - {given}), ':')"
+    whole = (
+        f"CASE WHEN NOT contains(t, '::') THEN t WHEN {given} < 8 AND instr(substring(t, instr(t, '::') + 1), '::') = 0"
+        f" THEN trim(BOTH ':' FROM concat(substring_index(t, '::', 1), ':', {zeros}, ':', substring(t, instr(t, '::') + 2))) END"
+    )
+    groups = r"transform(split(t, ':', -1), g -> regexp_replace(g, '^0+(?=.)', ''))"
+    checked = rf"CASE WHEN t RLIKE r'\A[0-9a-f]{{1,4}}(?::[0-9a-f]{{1,4}}){{7}}\z' THEN array_join({groups}, ':') END"
+    runs = " ".join(
+        rf"WHEN t RLIKE r'(?:\A|:)0(?::0){{{k}}}(?::|\z)' THEN regexp_replace(t, r'\A(.*?)(?:\A|:)0(?::0){{{k}}}(?::|\z)(.*)\z', '$1::$2')"
+        for k in range(7, 0, -1)
+    )
+    value = f"substring({host}, 2, length({host}) - 2)"
+    for step in (plain, whole, checked, f"CASE {runs} ELSE t END"):
+        value = f"transform(array({value}), t -> {step})[0]"
+    return f"concat('[', {value}, ']')"
+
+
 def with_canonical_url(df: DataFrame, link: str, out: str = "url", raw_out: str = "url_raw") -> DataFrame:
     """Adds the canonical link and the collapsed spelling; both null if the
     value is no http or https address."""
@@ -128,12 +160,14 @@ def with_canonical_url(df: DataFrame, link: str, out: str = "url", raw_out: str
         f"CASE WHEN contains(_url_host, '%') THEN {_decode(_PLUS_KEPT)} ELSE _url_host END"
     ))
     df = df.withColumn("_url_ascii_host", F.expr(
-        r"lower(CASE WHEN _url_ascii_host RLIKE r'[^\x00-\x7f]' THEN try_reflect('java.net.IDN', 'toASCII', _url_ascii_host)"
+        rf"lower(CASE WHEN _url_ascii_host RLIKE r'{DEVIATING}' THEN _url_ascii_host"
+        r" WHEN _url_ascii_host RLIKE r'[^\x00-\x7f]' THEN try_reflect('java.net.IDN', 'toASCII', _url_ascii_host)"
         " ELSE _url_ascii_host END)"
     ))
     df = df.withColumn("_url_final_host", F.expr(
-        rf"CASE WHEN _url_ascii_host = '' OR (_url_ascii_host RLIKE r'{HOST_FORBIDDEN}' AND NOT _url_ascii_host RLIKE r'\A\[[0-9a-f:.]+\]\z')"
-        f" THEN NULL WHEN _url_ascii_host RLIKE r'{NUMERIC_HOST}' THEN {numeric_host('_url_ascii_host')}"
+        rf"CASE WHEN _url_ascii_host RLIKE r'\A\[[0-9a-f:.]+\]\z' THEN {address_host('_url_ascii_host')}"
+        rf" WHEN _url_ascii_host = '' OR regexp_replace(_url_ascii_host, CASE WHEN _url_ascii_host RLIKE r'{DEVIATING}'"
+        rf" THEN r'[\x{{80}}-\x{{10ffff}}]' ELSE r'\A\z' END, '') RLIKE r'{HOST_FORBIDDEN}' THEN NULL WHEN _url_ascii_host RLIKE r'{NUMERIC_HOST}' THEN {numeric_host('_url_ascii_host')}"
         r" ELSE regexp_replace(_url_ascii_host, r'\Awww\.(?=.)', '') END"
     ))
     word = _escape("substring_index(_url_user, ':', 1)", USER_ESCAPED)

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 from operator import and_
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from presslake.functions.dates import with_published_at
 from presslake.functions.names import fold_source
 from presslake.operators.export import listing
-from presslake.session import work_dir
 
 # Limits of the search arguments, and the white space around them.
 MAX_QUERY_LENGTH = 200   # UTF-16 units
@@ -26,10 +23,12 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
-# Pages that end within this many rows are cut from a top-k; deeper ones are
-# located by counting (see ``page_of``).
-TOP_K_ROWS = 100_000
-ROWS_PER_RANGE = 500_000
+# What a refused argument is told. The rest of a message is its name.
+NOT_WHOLE, TOO_SMALL, OUT_OF_RANGE = "must be a positive integer", "must be 1 or greater", "must be between 1 and {}"
+BLANK, TOO_LONG, UNKNOWN = "must not be blank", "must be at most {} characters", "unknown argument"
+NO_LETTER = "must contain at least one alphanumeric character"
+NO_DATE = "is not a recognised date (expected e.g. 2024-03-15 or 2024-03-15T08:30:00Z)"
+REVERSED = "must be earlier than or equal to to"
 
 
 class SearchError(ValueError):
@@ -74,9 +73,9 @@ def _read_arguments(spark: SparkSession, texts: dict[str, str]) -> tuple[str | N
 
 
 def _whole_number(name: str, value, problems: list, highest: int | None = None) -> int:
-    message = f"{name} must be 1 or greater" if highest is None else f"{name} must be between 1 and {highest}"
+    message = f"{name} {TOO_SMALL if highest is None else OUT_OF_RANGE.format(highest)}"
     if not re.fullmatch("[0-9]+", str(value)):
-        problems.append((name, f"{name} must be a positive integer"))
+        problems.append((name, f"{name} {NOT_WHOLE}"))
         return 1
     if int(value) < 1 or (highest is not None and int(value) > highest):
         problems.append((name, message))
@@ -91,23 +90,23 @@ def search_request(spark: SparkSession, **arguments) -> SearchRequest:
     """
     problems: list[tuple[str, str]] = []
     known = {"q", "source", "from", "to", "page", "page_size"}
-    problems += [(name, "unknown argument") for name in arguments if name not in known]
+    problems += [(name, UNKNOWN) for name in arguments if name not in known]
     texts = {n: arguments[n].strip(WHITE_SPACE) for n in ("q", "source", "from", "to") if arguments.get(n) is not None}
-    problems += [(n, f"{n} must not be blank") for n, value in texts.items() if not value]
+    problems += [(n, f"{n} {BLANK}") for n, value in texts.items() if not value]
     if len(texts.get("q", "").encode("utf-16-le")) > 2 * MAX_QUERY_LENGTH:
-        problems.append(("q", f"q must be at most {MAX_QUERY_LENGTH} characters"))
+        problems.append(("q", f"q {TOO_LONG.format(MAX_QUERY_LENGTH)}"))
     key, start, end = _read_arguments(spark, texts)
     if texts.get("source") and not key:
-        problems.append(("source", "source must contain at least one alphanumeric character"))
+        problems.append(("source", f"source {NO_LETTER}"))
     for name, parsed in (("from", start), ("to", end)):
         if texts.get(name) and parsed is None:
-            problems.append((name, f"{name} is not a recognised date (expected e.g. 2024-03-15 or 2024-03-15T08:30:00Z)"))
+            problems.append((name, f"{name} {NO_DATE}"))
     if end is not None and re.fullmatch(r"\d{4}-\d{2}-\d{2}", texts["to"], re.ASCII):
         end += timedelta(days=1)
     page = _whole_number("page", arguments.get("page", 1), problems)
     page_size = _whole_number("page_size", arguments.get("page_size", DEFAULT_PAGE_SIZE), problems, MAX_PAGE_SIZE)
     if start is not None and end is not None and start > end:
-        problems.append(("from", "from must be earlier than or equal to to"))
+        problems.append(("from", f"from {REVERSED}"))
     if problems:
         raise SearchError(problems)
     return SearchRequest(SearchFilters(texts.get("q"), key if texts.get("source") else None, start, end), page, page_size)
@@ -171,35 +170,15 @@ def next_page(rows: DataFrame, page_size: int, after: tuple[datetime | None, int
     return listing(rows).orderBy(*listing_order()).limit(page_size)
 
 
-def _deep_page(rows: DataFrame, offset: int, page_size: int) -> DataFrame:
-    """Finds the key at ``offset`` by counting ranges of narrow keys, then reads
-    one keyset page from it; no task sees more than one range."""
-    spark = rows.sparkSession
-    keys = rows.select("published_at", "id")
-    total = keys.count()
-    if offset >= total:
-        return listing(rows).limit(0)
-    path = f"{work_dir(spark)}/page-{uuid4().hex}"
-    ranges = math.ceil(total / ROWS_PER_RANGE)
-    keys.repartitionByRange(ranges, *listing_order()).withColumn("range", F.spark_partition_id()).write.parquet(path)
-    keys = spark.read.parquet(path)
-    skipped = offset
-    for part, size in keys.groupBy("range").count().orderBy("range").collect():
-        if skipped < size:
-            break
-        skipped -= size
-    first = keys.where(F.col("range") == part).orderBy(*listing_order()).offset(skipped).limit(1)
-    start = first.select(F.unix_micros("published_at").alias("at"), "id").first()
-    moment = None if start["at"] is None else datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=start["at"])
-    return listing(rows.where(at_or_after(moment, start["id"], inclusive=True))).orderBy(*listing_order()).limit(page_size)
-
-
 def page_of(rows: DataFrame, page: int, page_size: int) -> DataFrame:
-    """Rows of one page; empty past the end."""
-    offset = (page - 1) * page_size
-    if offset + page_size > TOP_K_ROWS:
-        return _deep_page(rows, offset, page_size)
-    return listing(rows).orderBy(*listing_order()).offset(offset).limit(page_size)
+    """Rows of one page; empty past the end.
+
+    The page is found on times and ids alone; only its rows, ``page_size`` at most,
+    are then read whole. For a deep page Spark itself turns the top-k of narrow rows
+    into a distributed sort.
+    """
+    keys = rows.select("published_at", "id").orderBy(*listing_order()).offset((page - 1) * page_size).limit(page_size)
+    return listing(rows).join(F.broadcast(keys.select("id")), "id", "left_semi").orderBy(*listing_order())
 
 
 def pagination(rows: DataFrame, page: int, page_size: int) -> DataFrame:

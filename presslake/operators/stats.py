@@ -25,9 +25,12 @@ def count_by_source(stored: DataFrame) -> DataFrame:
 
 def count_by_day(stored: DataFrame) -> DataFrame:
     """``group, count`` per UTC day of the dated rows; only groups are formatted."""
-    dated = stored.where(F.col("published_at").isNotNull())
-    days = dated.groupBy(F.to_date("published_at").alias("day")).agg(F.count("*").alias("count"))
-    return days.select(utc_day(F.col("day")).alias("group"), "count").orderBy("group")
+    return _days(stored.where(F.col("published_at").isNotNull())).select(utc_day(F.col("day")).alias("group"), "count").orderBy("group")
+
+
+def _days(stored: DataFrame) -> DataFrame:
+    """Rows per UTC day, the undated ones under null."""
+    return stored.groupBy(F.to_date("published_at").alias("day")).agg(F.count("*").alias("count"))
 
 
 def missing_dates(stored: DataFrame) -> DataFrame:
@@ -39,7 +42,11 @@ def stats(stored: DataFrame, group_by: str) -> tuple[DataFrame, DataFrame | None
     if group_by == "source":
         return count_by_source(stored), None
     if group_by == "day":
-        return count_by_day(stored), missing_dates(stored)
+        # One scan: the few day groups are kept and read twice.
+        days = _days(stored).persist()
+        buckets = days.where("day IS NOT NULL").select(utc_day(F.col("day")).alias("group"), "count").orderBy("group")
+        missing = days.agg(F.coalesce(F.sum(F.when(F.col("day").isNull(), F.col("count"))), F.lit(0)).alias("missing_published_at"))
+        return buckets, missing
     raise ValueError("group_by must be one of: 'source', 'day'")
 
 
