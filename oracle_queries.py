@@ -7,6 +7,7 @@ independent account of the same results.
 
 from __future__ import annotations
 
+# White space, tags, entities, elements and tracking names of the records' rules.
 WS = r"[\t\n\v\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 TAG = r"</?[a-zA-Z][^>]*>"
 ENTITY = r"&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);"
@@ -101,21 +102,21 @@ COUNT_TEXT = """CASE k % 8 WHEN 0 THEN n::VARCHAR WHEN 1 THEN format('{:,}', n)
 FEED = f"""
 ev AS (SELECT event_id, ts, event_type, CAST(floor(value * 100) AS BIGINT) AS n FROM events),
 doc AS (
-    SELECT doc_id * 3 AS ordinal, doc_id AS k, doc_id % 107 = 13 AS not_object, doc_id % 101 = 11 AS bad, lang,
-        CASE WHEN doc_id % 97 = 5 THEN '' WHEN doc_id % 3 = 1 THEN '  ' || upper(source) || ' '
+    SELECT doc_id * 3 AS ordinal, doc_id AS k, doc_id % 47 = 13 AS not_object, doc_id % 43 = 11 AS bad, lang,
+        CASE WHEN doc_id % 37 = 5 THEN '' WHEN doc_id % 3 = 1 THEN '  ' || upper(source) || ' '
              WHEN doc_id % 3 = 2 THEN 'www.' || source || '.com' ELSE source END AS source_in,
-        CASE WHEN doc_id % 103 <> 7 THEN text END AS content_in, ts, event_type, n
-    FROM documents LEFT JOIN ev ON event_id = doc_id),
+        CASE WHEN doc_id % 41 <> 7 THEN text END AS content_in, ts, event_type, n
+    FROM documents LEFT JOIN ev ON event_id = (doc_id * 7919) % (SELECT count(*) FROM events)),
 page AS (
     SELECT page_id * 6 + copy * 3 + 1 AS ordinal, page_id AS k, regexp_extract(url, '://([^/?#]+)', 1) AS source_in,
         regexp_extract(html, '<title>([^<]*)</title>', 1) AS title_in, html AS content_in,
         CASE WHEN copy = 0 THEN url ELSE regexp_extract(url, '^[^#]*') || (CASE WHEN contains(url, '?') THEN '&' ELSE '?' END)
              || 'utm_campaign=repost&FBCLID=' || page_id || regexp_extract(url, '(#.*)?$') END AS url_in,
         copy, ts, event_type, n
-    FROM pages LEFT JOIN ev ON event_id = page_id, (VALUES (0), (1)) c(copy)),
+    FROM pages LEFT JOIN ev ON event_id = (page_id * 7919) % (SELECT count(*) FROM events), (VALUES (0), (1)) c(copy)),
 conv AS (
     SELECT (conv_id * 1000000 + turn) * 3 + 2 AS ordinal, conv_id AS k, turn, role AS source_in, text AS content_in, ts, n
-    FROM conversations LEFT JOIN ev ON event_id = conv_id),
+    FROM conversations LEFT JOIN ev ON event_id = (conv_id * 7919) % (SELECT count(*) FROM events)),
 feed AS (
     SELECT ordinal, not_object, bad,
         CASE WHEN NOT not_object THEN nullif(source_in, '') END AS source_in, NULL::VARCHAR AS title_in,
@@ -208,7 +209,7 @@ def _dates(cases: str) -> str:
 
 
 def _stored(select: str) -> str:
-    return f"WITH {STORED} {select}"
+    return f"WITH {STORED}{select if select.startswith(',') else ' ' + select}"
 
 
 def _norm(select: str) -> str:
@@ -240,19 +241,31 @@ def oracle_sql() -> dict[str, str]:
         "json_lines_batch": f"""WITH {FEED}, names AS (
             SELECT ordinal, CASE WHEN NOT not_object THEN source_in END AS name FROM doc
             UNION ALL SELECT ordinal, source_in FROM page UNION ALL SELECT ordinal, source_in FROM conv)
-            SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, NULL::VARCHAR AS malformed, name FROM names""",
+            SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, CASE WHEN ordinal % 53 = 1 THEN 'text is not valid JSON' END AS malformed,
+                CASE WHEN ordinal % 53 <> 1 THEN name END AS name FROM names""",
         "json_document_batch": """SELECT page_id, r::BIGINT AS row, NULL::VARCHAR AS malformed,
-            CASE r WHEN 0 THEN url ELSE page_id::VARCHAR END AS link FROM pages, (VALUES (0), (1)) c(r)""",
+            CASE r WHEN 0 THEN url ELSE page_id::VARCHAR END AS link FROM pages, (VALUES (0), (1)) c(r) WHERE page_id % 11 NOT IN (3, 5)
+            UNION ALL SELECT page_id, 0, CASE page_id % 11 WHEN 3 THEN 'text is not valid JSON'
+                ELSE 'document is neither an array nor an object with a mentions array' END, NULL FROM pages WHERE page_id % 11 IN (3, 5)""",
+        "whole_file_documents": """SELECT NULL::VARCHAR AS malformed, url AS link FROM pages WHERE page_id // 100 % 2 = 0
+            UNION ALL SELECT 'text is not valid JSON', NULL FROM pages WHERE page_id // 100 % 2 = 1 GROUP BY page_id // 100""",
         "stored_mentions": _stored(f"SELECT {LISTING} FROM stored"),
         "surrogate_keys": _stored(f"SELECT id, fp AS fingerprint, {iso('created_at')} AS created_at, 'feed' AS batch_id FROM stored"),
         "idempotent_append": _stored("SELECT id, fp AS fingerprint FROM stored"),
-        "constraint_check": _stored("""SELECT rule, violations FROM (
+        "constraint_check": _stored(""", changed AS (
+            SELECT CASE ordinal % 100 WHEN 1 THEN substring(fp, 1, 62) WHEN 5 THEN NULL ELSE fp END AS fp,
+                CASE ordinal % 100 WHEN 2 THEN '  ' WHEN 6 THEN NULL ELSE source END AS source,
+                CASE WHEN ordinal % 100 = 3 THEN -1 ELSE engagement END AS engagement,
+                CASE WHEN ordinal % 100 <> 4 THEN id END AS id, CASE WHEN ordinal % 100 <> 7 THEN source_raw END AS source_raw,
+                CASE WHEN ordinal % 100 <> 8 THEN 1 END AS raw, CASE WHEN ordinal % 100 <> 9 THEN created_at END AS created_at
+            FROM stored UNION ALL SELECT fp, source, engagement, id, source_raw, 1, created_at FROM stored WHERE ordinal % 100 = 10)
+            SELECT rule, violations FROM (
             SELECT count(*) FILTER (length(fp) <> 64) AS fingerprint_length, count(*) FILTER (trim(source) = '') AS source_not_blank,
                 count(*) FILTER (engagement < 0) AS engagement_natural, count(*) FILTER (id IS NULL) AS id_not_null,
                 count(*) FILTER (fp IS NULL) AS fingerprint_not_null, count(*) FILTER (source IS NULL) AS source_not_null,
-                count(*) FILTER (source_raw IS NULL) AS source_raw_not_null, 0::BIGINT AS raw_not_null,
-                count(*) FILTER (created_at IS NULL) AS created_at_not_null, count(*) - count(DISTINCT fp) AS fingerprint_unique
-            FROM stored) UNPIVOT (violations FOR rule IN (fingerprint_length, source_not_blank, engagement_natural, id_not_null,
+                count(*) FILTER (source_raw IS NULL) AS source_raw_not_null, count(*) FILTER (raw IS NULL) AS raw_not_null,
+                count(*) FILTER (created_at IS NULL) AS created_at_not_null, count(fp) - count(DISTINCT fp) AS fingerprint_unique
+            FROM changed) UNPIVOT (violations FOR rule IN (fingerprint_length, source_not_blank, engagement_natural, id_not_null,
                 fingerprint_not_null, source_not_null, source_raw_not_null, raw_not_null, created_at_not_null, fingerprint_unique))"""),
         "raw_retention": _stored("""SELECT id, lang, CASE WHEN url IS NOT NULL THEN page_id::VARCHAR END AS page_id, html AS body FROM stored
             LEFT JOIN (SELECT ordinal AS d, lang FROM doc) ON d = ordinal
@@ -285,7 +298,10 @@ def oracle_sql() -> dict[str, str]:
                 WHEN 2 THEN ' The\t' || upper(source) || ' ' ELSE 'WWW.' || source || '-x.net' END AS spelling
             FROM documents, (VALUES (0), (1), (2), (3)) c(f))""",
         "canonical_links": f"""SELECT page_id, 0::INTEGER AS form, {LINK.replace('url_in', 'url')} AS url, url AS url_raw FROM pages
-            UNION ALL SELECT page_id, 1, {_BASE_LINK} || '?a=%C3%A9+b%7E&a=2&flag=&z=' || page_id, {_MESSY_LINK} FROM pages""",
+            UNION ALL SELECT page_id, 1, {_BASE_LINK} || '?a=%C3%A9+b%7E&a=2&flag=&z=' || page_id, {_MESSY_LINK} FROM pages
+            UNION ALL SELECT page_id, form, 'http://' || host || '/' || page_id, 'http://' || written || '/' || page_id
+            FROM pages, (VALUES (2, '127.0.0.1', '0x0000000000000007f.0.0.1'), (3, '[::1]', '[0:0:0:0:0:0:0:1]'),
+                (4, 'straße.de', 'Straße.de')) h(form, host, written)""",
         "epoch_dates": _dates("CASE WHEN event_id % 3 = 0 THEN date_trunc('second', t) ELSE date_trunc('millisecond', t) END"),
         "iso_dates": _dates("""CASE event_id % 6 WHEN 0 THEN date_trunc('second', t) WHEN 1 THEN date_trunc('second', t)
             WHEN 2 THEN date_trunc('millisecond', t) WHEN 3 THEN date_trunc('minute', t) WHEN 4 THEN date_trunc('day', t)::TIMESTAMP END"""),
@@ -297,8 +313,8 @@ def oracle_sql() -> dict[str, str]:
         "local_zone_dates": _dates("date_trunc('second', t) - to_hours(7 + (event_id % 3)::INTEGER)"),
         "mail_dates": _dates("""date_trunc('second', t) + to_hours(CASE event_id % 4 WHEN 1 THEN -7 WHEN 3 THEN 5 ELSE 0 END)"""),
         "utc_days": f"WITH {EVENT_DATES} SELECT strftime(t, '%Y-%m-%d') AS day, count(*) AS count FROM d GROUP BY 1",
-        "parsed_counts": f"""SELECT event_id, form::INTEGER AS form, ({SHAPE_COUNT.replace('k % 8', 'form')})::INTEGER AS count
-            FROM (SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS n FROM events), range(8) r(form)""",
+        "parsed_counts": f"""SELECT event_id, form::INTEGER AS form, (CASE WHEN form = 8 THEN 1000 ELSE {SHAPE_COUNT.replace('k % 8', 'form')} END)::INTEGER AS count
+            FROM (SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS n FROM events), range(9) r(form)""",
         "schemeless_links": "SELECT page_id, regexp_replace(url, '^https?://', '') AS link FROM pages",
         "comparison_forms": f"SELECT doc_id, {form('text')} AS form FROM documents",
         "mention_fingerprints": _norm("""SELECT ordinal, CASE WHEN reason IS NULL THEN fp END AS fingerprint,
@@ -312,7 +328,7 @@ def oracle_sql() -> dict[str, str]:
         "ingestion_report": _stored("""SELECT received, accepted, received - accepted AS rejected, inserted, accepted - inserted AS duplicates,
             accepted - inserted AS within_batch, 0::BIGINT AS already_stored, least(received - accepted, 50) AS errors_listed
             FROM (SELECT count(*) AS received, count(*) FILTER (reason IS NULL) AS accepted FROM norm), (SELECT count(*) AS inserted FROM stored)"""),
-        "incremental_ingest": _norm("SELECT DISTINCT fp AS fingerprint, source FROM norm WHERE reason IS NULL AND ordinal IN (SELECT ordinal FROM doc)"),
+        "incremental_ingest": _norm("SELECT DISTINCT fp AS fingerprint, source FROM norm WHERE reason IS NULL"),
         "search_text": _stored(_FOUND + _WORD),
         "search_wildcards": _stored(_FOUND + "(contains(coalesce(title, ''), '%') OR contains(coalesce(content, ''), '%'))"),
         "search_source": _stored(_FOUND + "source = 'src3'"),
@@ -337,7 +353,7 @@ def oracle_sql() -> dict[str, str]:
             count(DISTINCT source) AS sources, count(*) FILTER (published_at IS NULL) AS undated FROM stored"""),
         "share_of_maximum": _stored(f"""SELECT *, floor(count / (max(count) OVER ()) * 100 + 0.5)::INTEGER AS share FROM ({_BY_SOURCE} GROUP BY source)"""),
         "undated_worklist": _stored("SELECT id, published_at_raw FROM stored WHERE published_at_raw IS NOT NULL"),
-        "refingerprinted": _stored("SELECT id, fp AS fingerprint FROM stored"),
+        "refingerprinted": _stored("SELECT id, fp AS fingerprint FROM stored").replace("'v1'", "'v2'"),
         "field_frequency": _facts("SELECT key, count(*) AS count FROM facts WHERE key IS NOT NULL GROUP BY 1"),
         "value_types": _facts("SELECT coalesce(key, 'non-object') || ': ' || type AS key, count(*) AS count FROM facts GROUP BY 1"),
         "date_fields": _facts("SELECT key, count(*) AS count FROM facts WHERE state IS NOT NULL GROUP BY 1"),

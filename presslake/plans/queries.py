@@ -17,7 +17,7 @@ from presslake.plans import ingest as ingestion
 from presslake.plans.feed_store import CREATED_AT, feed_facts, feed_table, normalized_feed, raw_feed, stored_feed
 from presslake.session import apply_settings, work_dir
 from presslake.sources import batches, feed
-from presslake.sources.mentions_table import read_mentions
+from presslake.sources.mentions_table import copy_table, read_mentions
 from presslake.streaming.incremental import ingest_stream
 
 # Arguments of the search queries.
@@ -37,7 +37,8 @@ def _printable(df: DataFrame) -> DataFrame:
 
 def json_lines_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{work_dir(spark)}/lines-{uuid4().hex}"
-    feed.feed_lines(spark, sf_dir).orderBy("ordinal").select("json").write.text(folder)
+    lines = feed.feed_lines(spark, sf_dir).orderBy("ordinal")
+    lines.select(F.when(F.col("ordinal") % 53 == 1, F.lit('{"cut": ')).otherwise(F.col("json"))).write.text(folder)
     stored = ingestion.stage(spark, batches.read_json_lines(spark, folder), f"lines-{uuid4().hex}")
     rows = batches.with_ordinal(stored)
     field = lambda name: F.variant_get("raw", f"$.{name}", "string")
@@ -51,11 +52,26 @@ def json_document_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = feed.table(spark, sf_dir, "pages")
     records = F.to_json(F.array(F.struct(F.col("url").alias("link")), F.struct(F.col("page_id").cast("string").alias("link"))))
     wrapped = F.concat(F.lit('{"total": 2, "mentions": '), records, F.lit("}"))
-    docs = pages.select("page_id", F.when(F.col("page_id") % 2 == 0, records).otherwise(wrapped).alias("value"))
-    rows = batches.explode_documents(docs)
+    form = F.col("page_id") % 11
+    value = (
+        F.when(form == 3, F.lit('{"mentions": [')).when(form == 5, F.lit('{"items": []}'))
+        .when(F.col("page_id") % 2 == 0, records).otherwise(wrapped)
+    )
+    rows = batches.explode_documents(pages.select("page_id", value.alias("value")))
     return rows.select("page_id", "row", "malformed", F.variant_get("raw", "$.link", "string").alias("link"))
 
 
+def whole_file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per hundred pages, each one JSON document; every second one is cut off."""
+    folder = f"{work_dir(spark)}/documents-{uuid4().hex}"
+    pages = feed.table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 100).alias("g"), F.struct(F.col("url").alias("link")).alias("r"))
+    docs = pages.groupBy("g").agg(F.to_json(F.collect_list("r")).alias("value"))
+    cut = F.when(F.col("g") % 2 == 1, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value")
+    docs.select("g", cut).write.partitionBy("g").text(folder)
+    rows = batches.read_json_documents(spark, folder)
+    return rows.select("malformed", F.variant_get("raw", "$.link", "string").alias("link"))
+
+
 def stored_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _printable(listing(stored_feed(spark, sf_dir)))
 
@@ -65,14 +81,23 @@ def surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feed again under a new batch id, then the table it leaves."""
-    table = feed_table(spark, sf_dir)
+    """The feed again under a new batch id into a copy of its table, and the table this leaves."""
+    table = copy_table(spark, feed_table(spark, sf_dir), f"{work_dir(spark)}/append-{uuid4().hex}")
     ingestion.ingest(spark, raw_feed(spark, sf_dir), table, f"again{uuid4().hex}", CREATED_AT)
     return _printable(read_mentions(spark, table).select("id", "fingerprint"))
 
 
 def constraint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return constraint_violations(stored_feed(spark, sf_dir))
+    """The stored feed with one rule broken in every tenth of a hundred rows."""
+    stored, broken = stored_feed(spark, sf_dir), F.col("ordinal") % 100
+    changed = {
+        "fingerprint": F.when(broken == 1, F.substring("fingerprint", 1, 31)).when(broken != 5, F.col("fingerprint")),
+        "source": F.when(broken == 2, F.lit("  ")).when(broken != 6, F.col("source")),
+        "engagement": F.when(broken == 3, F.lit(-1)).otherwise(F.col("engagement")),
+        "id": F.when(broken != 4, F.col("id")), "source_raw": F.when(broken != 7, F.col("source_raw")),
+        "raw": F.when(broken != 8, F.col("raw")), "created_at": F.when(broken != 9, F.col("created_at")),
+    }
+    return constraint_violations(stored.withColumns(changed).unionByName(stored.where(broken == 10)))
 
 
 def raw_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +190,9 @@ def canonical_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("  "), F.upper(scheme), F.lit("://"), F.upper(host), port, F.lit("/x/.."), path,
         F.lit("?z="), F.col("page_id").cast("string"), F.lit("&a=é%20b~&GCLID=1&&a=2&flag&ref=9#part"),
     )
-    pages = pages.select("page_id", F.posexplode(F.array(F.col("url"), messy)).alias("form", "link"))
+    number = F.col("page_id").cast("string")
+    hosts = [F.concat(F.lit(f"http://{host}/"), number) for host in ("0x0000000000000007f.0.0.1", "[0:0:0:0:0:0:0:1]", "Straße.de")]
+    pages = pages.select("page_id", F.posexplode(F.array(F.col("url"), messy, *hosts)).alias("form", "link"))
     return urls.with_canonical_url(pages, "link").select("page_id", "form", "url", "url_raw")
 
 
@@ -248,9 +275,10 @@ def utc_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every counter in every shape, suffixes included."""
     events = feed.table(spark, sf_dir, "events").select("event_id", F.floor(F.col("value") * 100).cast("bigint").alias("n"))
-    events = events.select("event_id", "n", F.explode(F.sequence(F.lit(0), F.lit(feed.COUNT_SHAPES - 1))).alias("form"))
+    events = events.select("event_id", "n", F.explode(F.sequence(F.lit(0), F.lit(feed.COUNT_SHAPES))).alias("form"))
     events = events.withColumns({
-        "written": feed.count_text(F.col("form"), F.col("n")),
+        "written": F.when(F.col("form") == feed.COUNT_SHAPES, F.concat(F.lit("1."), F.repeat(F.lit("0"), 305), F.lit("k"))).otherwise(
+            feed.count_text(F.col("form"), F.col("n"))),
         "number": F.when(F.col("form") == 7, F.col("n").cast("double")),
     })
     return counts.with_count(events, "written", "number", out="count").select("event_id", "form", "count")
@@ -308,9 +336,9 @@ def ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of lines, ingested one file per micro-batch."""
+    """The whole feed as files of lines, ingested two files per micro-batch."""
     base = f"{work_dir(spark)}/stream-{uuid4().hex}"
-    feed.document_records(apply_settings(spark), sf_dir).select("json").repartition(3).write.text(f"{base}/lines")
+    feed.feed_lines(apply_settings(spark), sf_dir).select("json").repartition(3).write.text(f"{base}/lines")
     ingest_stream(spark, f"{base}/lines", f"{base}/table", f"{base}/checkpoint", files_per_batch=2,
                   created_at=lambda n: CREATED_AT).awaitTermination()
     return _printable(read_mentions(spark, f"{base}/table").select("fingerprint", "source"))
@@ -427,7 +455,9 @@ def undated_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _printable(ingestion.refingerprint(stored_feed(spark, sf_dir)).select("id", "fingerprint"))
+    """The table stored anew under a second version of the fingerprint."""
+    target = f"{work_dir(spark)}/refingerprinted-{uuid4().hex}"
+    return _printable(ingestion.refingerprint_table(spark, feed_table(spark, sf_dir), target, "v2").select("id", "fingerprint"))
 
 
 # Profile --------------------------------------------------------------------
@@ -481,7 +511,7 @@ def rows_beyond_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
-    json_lines_batch, json_document_batch, stored_mentions, surrogate_keys, constraint_check,
+    json_lines_batch, json_document_batch, whole_file_documents, stored_mentions, surrogate_keys, constraint_check,
     raw_retention, rejected_records, first_rejects, exported_rows, normalized_mentions, coerced_inputs,
     reject_reasons, accept_reject_split, collapsed_whitespace, html_detection, content_elements, cleaned_pages,
     decoded_entities, folded_sources, canonical_links, epoch_dates, iso_dates, numeric_dates, named_month_dates,

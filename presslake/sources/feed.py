@@ -3,7 +3,7 @@
 ``documents``, ``pages`` (each with a repost of itself under a tracked link) and
 ``conversations`` become raw records with aliases, misspelt sources, markup,
 links, dates and counters in many shapes, and some records that must be refused.
-Dates and counters come from the row of ``events`` with the same number.
+Dates and counters come from a row of ``events``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 DATE_SHAPES = 13
 COUNT_SHAPES = 8
 
+# Records of neighbouring numbers take their dates from events this far apart (a
+# prime), so that a feed of any size spans the whole time of the events.
+EVENT_STEP = 7919
+SPREAD_BYTES = 128 << 20
+
 ENGLISH_MONTHS = ["January", "February", "March", "April", "May", "June", "July",
                   "August", "September", "October", "November", "December"]
 INDONESIAN_MONTHS = ["Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli",
@@ -22,12 +27,13 @@ INDONESIAN_MONTHS = ["Januari", "Februari", "Maret", "April", "Mei", "Juni", "Ju
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table. Work per row is heavy, and a file of one row group is one task,
-    so a table of fewer files than cores is spread. Large tables come in many
-    files and are read as they lie."""
+    """One table. Work per row is heavy, and a file of one row group is one task, so a
+    table of at most ``SPREAD_BYTES`` is spread over the cores. A larger one is read as
+    it lies, without a shuffle."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(str(size)) <= SPREAD_BYTES
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 
 def utc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +96,12 @@ def written_columns() -> dict[str, Column]:
 
 
 def _with_event(spark: SparkSession, sf_dir: str, name: str, key: str, written: dict[str, Column] | None) -> DataFrame:
-    """A table with its key as ``k`` and what the event of that number gives."""
+    """A table with its key as ``k`` and what its event gives."""
     e = utc_events(spark, sf_dir).select(
-        F.col("event_id").alias("k"), "ts", "event_type", F.floor(F.col("value") * 100).cast("bigint").alias("n"))
-    df = table(spark, sf_dir, name).withColumn("k", F.col(key)).join(e, "k", "left")
+        F.col("event_id").alias("event"), "ts", "event_type", F.floor(F.col("value") * 100).cast("bigint").alias("n"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    df = table(spark, sf_dir, name).withColumn("k", F.col(key))
+    df = df.withColumn("event", F.pmod(F.col("k") * EVENT_STEP, F.lit(events))).join(e, "event", "left").drop("event")
     return df.withColumns(written_columns() if written is None else written)
 
 
@@ -102,20 +110,20 @@ def document_records(spark: SparkSession, sf_dir: str, written: dict[str, Column
     df = _with_event(spark, sf_dir, "documents", "doc_id", written)
     k = F.col("doc_id")
     spelling = (
-        F.when(k % 97 == 5, F.lit(""))
+        F.when(k % 37 == 5, F.lit(""))
         .when(k % 3 == 1, F.concat(F.lit("  "), F.upper("source"), F.lit(" ")))
         .when(k % 3 == 2, F.concat(F.lit("www."), F.col("source"), F.lit(".com")))
         .otherwise(F.col("source"))
     )
     record = F.struct(
         spelling.alias("source"),
-        F.when(k % 103 != 7, F.col("text")).alias("text"),
-        F.when(k % 101 == 11, F.struct(k.alias("of"))).alias("description"),
+        F.when(k % 41 != 7, F.col("text")).alias("text"),
+        F.when(k % 43 == 11, F.struct(k.alias("of"))).alias("description"),
         F.col("date_text").alias("published_at"), F.col("date_number").alias("created_at"),
         F.col("count_text").alias("engagement"), F.col("count_number").alias("views"),
         F.col("lang"),
     )
-    body = F.when(k % 107 == 13, F.to_json(F.array(k))).otherwise(F.to_json(record, {"ignoreNullFields": "false"}))
+    body = F.when(k % 47 == 13, F.to_json(F.array(k))).otherwise(F.to_json(record, {"ignoreNullFields": "false"}))
     return df.select((k * 3).alias("ordinal"), body.alias("json"))
 
 
