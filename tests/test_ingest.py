@@ -4,94 +4,156 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from data import MESSY
+from data import ACCEPTED, MESSY, REFUSED, STORED
 from presslake.operators.constraints import constraint_violations
-from presslake.operators.stats import count_by_day, count_by_source, missing_dates
 from presslake.operators.dedup import canonical_mentions
+from presslake.operators.stats import count_by_day, count_by_source, missing_dates
 from presslake.plans import ingest as ingest_plan
-from presslake.plans.ingest import ingest, refingerprint, survivors
+from presslake.plans.ingest import ingest, refingerprint, refingerprint_table
+from presslake.sources import batches
 from presslake.sources.batches import BatchError, read_json_documents, read_json_lines, with_ordinal
-from presslake.sources.mentions_table import read_log, read_mentions, read_rejects
+from presslake.sources.mentions_table import Log, compact, copy_table, read_log, read_mentions, read_rejects, vacuum
 from presslake.streaming.incremental import ingest_stream
 
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
 
-def document(tmp_path, body, name="batch.json"):
-    path = tmp_path / "in"
-    path.mkdir(exist_ok=True)
-    (path / name).write_text(body if isinstance(body, str) else json.dumps(body))
-    return str(path)
+def put(folder, name, body):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(body if isinstance(body, str) else json.dumps(body))
+    return str(folder / name)
 
 
-def lines(tmp_path, records, name="batch.jsonl"):
-    return document(tmp_path, "\n".join(json.dumps(r) for r in records) + "\n", name)
+def as_lines(records):
+    return "".join(json.dumps(r) + "\n" for r in records)
 
 
-def store(spark, tmp_path, records, batch_id="b1"):
-    path = document(tmp_path, records, f"{batch_id}.json")
-    raw = read_json_documents(spark, f"{path}/{batch_id}.json")
-    return ingest(spark, raw, str(tmp_path / "table"), batch_id, NOW)
+def store(spark, tmp_path, records, batch_id="b1", table="table"):
+    raw = read_json_documents(spark, put(tmp_path / "in", f"{batch_id}-{table}.json", records))
+    return ingest(spark, raw, str(tmp_path / table), batch_id, NOW)
 
 
-def test_report_table_and_stats(spark, tmp_path):
+def test_report_and_rows(spark, tmp_path):
     report = store(spark, tmp_path, MESSY)
-    assert {k: report[k] for k in ("received", "accepted", "rejected", "inserted", "duplicates")} == {
-        "received": 17, "accepted": 15, "rejected": 2, "inserted": 13, "duplicates": 2}
+    assert [report[k] for k in ("received", "accepted", "rejected", "inserted", "duplicates")] == [13, 10, 3, 8, 2]
     assert report["duplicate_breakdown"] == {"within_batch": 2, "already_stored": 0}
-    assert [e["index"] for e in report["errors"]] == [15, 16]
-    assert "source" in report["errors"][0]["reason"] and "title or content" in report["errors"][1]["reason"]
+    assert [e["index"] for e in report["errors"]] == sorted(REFUSED)
+    assert all(REFUSED[e["index"]] in e["reason"] for e in report["errors"])
+    table = str(tmp_path / "table")
+    rows = {r["ordinal"]: r for r in read_mentions(spark, table).withColumn("at", F.date_format("published_at", "dd HH:mm:ss")).collect()}
+    assert sorted(rows) == STORED
+    assert {i: r["engagement"] for i, r in rows.items() if r["engagement"] is not None} == {0: 98765, 1: 17, 4: 2500, 7: 1500}
+    assert {i: r["at"] for i, r in rows.items()} == {
+        0: "07 21:05:30", 1: "07 21:00:00", 4: "07 00:00:00", 7: None, 8: "08 00:00:00", 9: "07 21:45:00", 11: "08 21:20:00", 12: "09 05:00:00"}
+    assert (rows[0]["url"], rows[0]["content"], rows[0]["source_raw"]) == ("http://orbitweekly.net/sky/comet?lang=en", "Green tail", "Orbit Weekly")
+    assert (rows[9]["source"], rows[9]["title"], rows[9]["content"], rows[9]["author"]) == ("saltsail", "Regatta results", "Won by ⛵", "Ida Moe")
+    assert rows[4]["source"] == "hutanlestari" and rows[11]["source"] == "7" and rows[7]["published_at_raw"] == "soon"
+    assert rows[0]["raw"].toPython() == MESSY[0]
+    stored = read_mentions(spark, table)
+    assert {r["group"]: r["count"] for r in count_by_source(stored).collect()} == {
+        "reefradio": 2, "lighthouse": 2, "orbitweekly": 1, "hutanlestari": 1, "saltsail": 1, "7": 1}
+    assert [(r["group"], r["count"]) for r in count_by_day(stored).collect()] == [("2023-10-07", 4), ("2023-10-08", 2), ("2023-10-09", 1)]
+    assert missing_dates(stored).first()[0] == 1
+    assert {r["violations"] for r in constraint_violations(stored).collect()} == {0}
+    assert {r["ordinal"] for r in read_rejects(spark, table).collect()} == set(REFUSED)
+
+
+def test_each_rule_can_be_broken(spark, tmp_path):
+    store(spark, tmp_path, MESSY)
+    stored = read_mentions(spark, str(tmp_path / "table"))
+    broken = stored.withColumns({
+        "source": F.when(F.col("ordinal") != 7, F.col("source")), "engagement": F.when(F.col("ordinal") == 8, F.lit(-4)),
+        "fingerprint": F.when(F.col("ordinal") == 9, F.unhex(F.lit("00"))).otherwise(F.col("fingerprint")),
+    }).unionByName(stored.where("ordinal = 12"))
+    found = {r["rule"]: r["violations"] for r in constraint_violations(broken).collect() if r["violations"]}
+    assert found == {"source_not_null": 1, "engagement_natural": 1, "fingerprint_length": 1, "fingerprint_unique": 1}
 
-    table = read_mentions(spark, str(tmp_path / "table"))
-    rows = {r["ordinal"]: r for r in table.collect()}
-    assert len(rows) == report["inserted"] and set(rows) == set(range(15)) - {1, 7}
-    assert {i: r["engagement"] for i, r in rows.items()} == {
-        0: 1240, 2: 870, 3: None, 4: 2015, 5: 640, 6: 58, 8: 310, 9: 1200, 10: 455, 11: 1240, 12: 12000, 13: 1500000, 14: 3210}
-    first = rows[0]
-    assert (first["source"], first["source_raw"], first["content"]) == ("harian", "Harian.com", "Trade in digital goods rose.")
-    assert first["url"] == "https://harian.com/trade/2024/03/15/digital"
-    assert "<b>" in first["raw"].toPython()["content"]
-    assert rows[14]["content"] == "Quick service, thanks team! 👍"
-    assert (rows[8]["published_at_raw"], rows[9]["published_at_raw"]) == (None, "some day last week")
-    assert [(r["group"], r["count"]) for r in count_by_source(table).collect()] == [
-        ("kilat", 3), ("harian", 2), ("thedailypost", 2), ("waktu", 2), ("wartanews", 2), ("chirper", 1), ("lensa", 1)]
-    assert [(r["group"], r["count"]) for r in count_by_day(table).collect()] == [
-        ("2024-03-11", 1), ("2024-03-12", 1), ("2024-03-13", 1), ("2024-03-14", 2), ("2024-03-15", 3),
-        ("2024-03-16", 1), ("2024-08-14", 1), ("2024-11-03", 1)]
-    assert missing_dates(table).first()[0] == 2
-    assert {r["violations"] for r in constraint_violations(table).collect()} == {0}
-    assert {r["ordinal"] for r in read_rejects(spark, str(tmp_path / "table")).collect()} == {15, 16}
-
-
-def test_again_is_a_no_op_and_the_same_data_adds_nothing(spark, tmp_path):
+
+def test_a_committed_batch_is_not_stored_again(spark, tmp_path):
     first = store(spark, tmp_path, MESSY)
     assert store(spark, tmp_path, MESSY) == first
-    second = store(spark, tmp_path, {"mentions": MESSY, "extra": 1}, "b2")
-    assert second["inserted"] == 0
-    assert second["duplicate_breakdown"] == {"within_batch": 2, "already_stored": 13}
+    second = store(spark, tmp_path, {"mentions": MESSY[::-1], "note": "same records"}, "b2")
+    assert (second["inserted"], second["duplicate_breakdown"]) == (0, {"within_batch": 2, "already_stored": 8})
     table = str(tmp_path / "table")
-    assert read_mentions(spark, table).count() == 13
-    assert {r["batch_id"] for r in read_log(spark, table).collect()} == {"b1", "b2"}
+    assert read_mentions(spark, table).count() == 8
+    assert sorted(r["batch_id"] for r in read_log(spark, table).collect()) == ["b1", "b2"]
+
+
+def test_a_batch_id_with_other_records_raises(spark, tmp_path):
+    store(spark, tmp_path, MESSY[:2])
+    with pytest.raises(BatchError, match="another input"):
+        store(spark, tmp_path, MESSY[:3])
+    assert read_mentions(spark, str(tmp_path / "table")).count() == 2
 
 
-def test_second_batch_keeps_first_values_and_ids_grow(spark, tmp_path):
-    store(spark, tmp_path, MESSY[:3])
-    report = store(spark, tmp_path, [{**MESSY[0], "title": "changed"}, MESSY[4], MESSY[5]], "b2")
+def test_later_batches_keep_first_values_and_ids_grow(spark, tmp_path):
+    store(spark, tmp_path, MESSY[:2])
+    report = store(spark, tmp_path, [MESSY[12], {**MESSY[0], "headline": "Comet fades"}, MESSY[8]], "b2")
     assert report["inserted"] == 2 and report["duplicate_breakdown"]["already_stored"] == 1
     rows = read_mentions(spark, str(tmp_path / "table")).orderBy("id").collect()
-    assert [(r["batch_id"], r["ordinal"]) for r in rows] == [("b1", 0), ("b1", 2), ("b2", 1), ("b2", 2)]
-    assert rows[0]["title"] == MESSY[0]["title"]
+    assert [(r["batch_id"], r["ordinal"]) for r in rows] == [("b1", 0), ("b1", 1), ("b2", 0), ("b2", 2)]
+    assert rows[0]["title"] == "Comet brightens"
 
 
-def test_retry_of_an_unfinished_batch_replaces_it(spark, tmp_path):
+def test_parts_without_a_log_entry_do_not_count(spark, tmp_path):
     table = str(tmp_path / "table")
     store(spark, tmp_path, MESSY[:2])
-    rows = read_mentions(spark, table)
-    rows.drop("batch_id").write.parquet(f"{table}/mentions/batch_id=b2")   # died before its log entry
-    assert read_mentions(spark, table).count() == 1
-    report = store(spark, tmp_path, MESSY[:2], "b2")
-    assert report["inserted"] == 0
-    assert read_mentions(spark, table).count() == 1
+    read_mentions(spark, table).write.parquet(f"{table}/mentions/b2-dead")  # a writer that died
+    assert read_mentions(spark, table).count() == 2
+    assert store(spark, tmp_path, MESSY[:2], "b2")["inserted"] == 0
+    assert vacuum(spark, table) == ["mentions/b2-dead"]
+    assert read_mentions(spark, table).count() == 2
+
+
+def test_two_writers_at_once(spark, tmp_path, monkeypatch):
+    """While one writer is between its decision and its log entry, another commits."""
+    real, done = ingest_plan.write_part, []
+
+    def interrupted(df, table, folder, part):
+        real(df, table, folder, part)
+        if folder == "mentions" and not done:
+            done.append(1)
+            done.append(store(spark, tmp_path, MESSY[4:], "fast"))
+
+    monkeypatch.setattr(ingest_plan, "write_part", interrupted)
+    slow = store(spark, tmp_path, MESSY[:9], "slow")
+    rows = read_mentions(spark, str(tmp_path / "table")).collect()
+    assert len(rows) == len({r["fingerprint"] for r in rows}) == len({r["id"] for r in rows}) == slow["inserted"] + done[1]["inserted"] == 8
+    assert [r["batch_id"] for r in read_log(spark, str(tmp_path / "table")).collect()] == ["fast", "slow"]
+    assert vacuum(spark, str(tmp_path / "table")) == []
+
+
+def test_the_same_batch_by_two_writers(spark, tmp_path, monkeypatch):
+    real, reports = ingest_plan.write_part, []
+
+    def interrupted(df, table, folder, part):
+        real(df, table, folder, part)
+        if folder == "mentions" and not reports:
+            reports.append(None)
+            reports.append(store(spark, tmp_path, MESSY))
+
+    monkeypatch.setattr(ingest_plan, "write_part", interrupted)
+    assert store(spark, tmp_path, MESSY) == reports[1]
+    assert read_mentions(spark, str(tmp_path / "table")).count() == 8
+
+
+def test_compaction(spark, tmp_path):
+    table = str(tmp_path / "table")
+    for i in (0, 4, 8):
+        store(spark, tmp_path, MESSY[i : i + 5], f"b{i}")
+    before = sorted(map(tuple, read_mentions(spark, table).drop("raw").collect()), key=str)
+    log = sorted(map(str, read_log(spark, table).collect()))
+    part = compact(spark, table)
+    assert Log(spark, table).parts == [part]
+    assert sorted(map(tuple, read_mentions(spark, table).drop("raw").collect()), key=str) == before
+    assert sorted(map(str, read_log(spark, table).collect())) == log
+    assert len(vacuum(spark, table)) == 3 and read_mentions(spark, table).count() == len(before)
+    (tmp_path / "table/log/compacted").unlink()  # died before the pointer was written
+    assert Log(spark, table).parts == [part]
+    assert store(spark, tmp_path, MESSY, "again")["inserted"] == 0 and compact(spark, table) is not None
+    assert read_rejects(spark, table).count() == 6
+    copied = copy_table(spark, table, str(tmp_path / "copy"))
+    assert read_mentions(spark, copied).count() == len(before) and Log(spark, copied).last_id == Log(spark, table).last_id
 
 
 def test_empty_batch(spark, tmp_path):
@@ -99,75 +161,110 @@ def test_empty_batch(spark, tmp_path):
     assert report["received"] == report["inserted"] == report["duplicates"] == 0 and report["errors"] == []
     table = read_mentions(spark, str(tmp_path / "table"))
     assert count_by_source(table).collect() == [] and missing_dates(table).first()[0] == 0
-    assert store(spark, tmp_path, MESSY, "b2")["inserted"] == 13
+    assert store(spark, tmp_path, MESSY, "b2")["inserted"] == len(STORED)
 
 
-@pytest.mark.parametrize("body", [{"foo": "bar"}, "{ not json", "3", {"mentions": {"a": 1}}])
+@pytest.mark.parametrize("body", [{"records": []}, "[1, 2", '"text"', {"mentions": 5}])
 def test_unusable_document_is_refused_whole(spark, tmp_path, body):
-    path = document(tmp_path, body)
     with pytest.raises(BatchError):
-        ingest(spark, read_json_documents(spark, path), str(tmp_path / "table"), "b1", NOW)
+        store(spark, tmp_path, body)
     assert read_mentions(spark, str(tmp_path / "table")).count() == 0
 
 
-def test_malformed_line_is_refused_whole(spark, tmp_path):
-    path = document(tmp_path, json.dumps(MESSY[0]) + "\n{ not json\n")
+def test_bad_lines(spark, tmp_path):
+    put(tmp_path / "in", "a.jsonl", as_lines(MESSY[:1]) + "{cut\n\n" + as_lines(MESSY[7:9]))
+    raw = read_json_lines(spark, str(tmp_path / "in"))
     with pytest.raises(BatchError):
-        ingest(spark, read_json_lines(spark, path), str(tmp_path / "table"), "b1", NOW)
+        ingest(spark, raw, str(tmp_path / "table"), "b1", NOW)
+    report = ingest(spark, raw, str(tmp_path / "table"), "b1", NOW, bad_lines="reject")
+    assert [report[k] for k in ("received", "accepted", "inserted")] == [4, 3, 3]
+    assert report["errors"] == [{"index": 1, "reason": batches.NOT_JSON}]
+    with pytest.raises(ValueError):
+        ingest(spark, raw, str(tmp_path / "table"), "b2", NOW, bad_lines="skip")
 
 
-def test_lines_keep_their_order_across_splits(spark, tmp_path):
-    for part in range(3):
-        lines(tmp_path, [{"source": f"s{part}", "title": f"t{i} " + "x" * (i % 40)} for i in range(800 * (part + 1))], f"p{part}.jsonl")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+def test_staged_tables_go_after_the_commit(spark, tmp_path):
+    import os
+
+    from presslake.session import work_dir
+    folder = f"{work_dir(spark)}/ingest"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    store(spark, tmp_path, MESSY)
+    assert set(os.listdir(folder)) == before
+
+
+@pytest.mark.parametrize("splits", [4_000_000, 0])
+def test_lines_keep_their_order_across_splits_and_files(spark, tmp_path, monkeypatch, splits):
+    monkeypatch.setattr(batches, "BROADCAST_SPLITS", splits)
+    want = []
+    for part in (8, 9, 10, 101):  # by number, not by letter
+        records = [{"source": f"s{part}", "title": f"t{i} " + "y" * (i % 50)} for i in range(50 * part)]
+        put(tmp_path / "in", f"part-{part}.jsonl", as_lines(records))
+        want += [(r["source"], r["title"]) for r in records]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
     try:
-        stored = read_json_lines(spark, str(tmp_path / "in"))
-        stored.write.parquet(str(tmp_path / "stored"))
+        read_json_lines(spark, str(tmp_path / "in")).write.parquet(str(tmp_path / "stored"))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     got = with_ordinal(spark.read.parquet(str(tmp_path / "stored"))).orderBy("ordinal").collect()
-    assert [r["ordinal"] for r in got] == list(range(4800))
-    want = [(f"s{p}", f"t{i} " + "x" * (i % 40)) for p in range(3) for i in range(800 * (p + 1))]
+    assert [r["ordinal"] for r in got] == list(range(len(want)))
     assert [(v["source"], v["title"]) for v in (r["raw"].toPython() for r in got)] == want
 
 
 def test_many_duplicates_take_the_shuffled_way(spark, tmp_path, monkeypatch):
-    records = [{"source": "A", "content": f"text {i % 7}"} for i in range(200)]
+    records = [{"source": "Tide", "content": f"wave {i % 11}"} for i in range(300)]
     small = store(spark, tmp_path, records)
     monkeypatch.setattr(ingest_plan, "BROADCAST_ROWS", 10)
-    path = document(tmp_path, records, "again.json")
-    large = ingest(spark, read_json_documents(spark, f"{path}/again.json"), str(tmp_path / "other"), "b1", NOW)
-    assert small == large and large["inserted"] == 7
-    kept = read_mentions(spark, str(tmp_path / "other"))
-    assert sorted(r["ordinal"] for r in kept.collect()) == list(range(7))
+    large = store(spark, tmp_path, records, "b1", "other")
+    assert small == large and large["inserted"] == 11
+    assert sorted(r["ordinal"] for r in read_mentions(spark, str(tmp_path / "other")).collect()) == list(range(11))
 
 
-def test_canonical_view_after_two_writers(spark, tmp_path):
-    table = str(tmp_path / "table")
-    store(spark, tmp_path, MESSY[:4])
-    twice = read_mentions(spark, table)
-    both = twice.unionByName(twice.withColumns({"batch_id": F.lit("b2"), "id": F.col("id") + 100}))
-    assert sorted(r["id"] for r in canonical_mentions(both).collect()) == sorted(r["id"] for r in twice.collect())
+def test_canonical_view_over_two_tables(spark, tmp_path):
+    store(spark, tmp_path, MESSY[:5])
+    one = read_mentions(spark, str(tmp_path / "table"))
+    both = one.unionByName(one.withColumns({"batch_id": F.lit("b2"), "id": F.col("id") + 100}))
+    assert sorted(r["id"] for r in canonical_mentions(both).collect()) == sorted(r["id"] for r in one.collect())
 
 
-def test_refingerprint_from_raw_agrees(spark, tmp_path):
+def test_refingerprint(spark, tmp_path):
+    table = str(tmp_path / "table")
     store(spark, tmp_path, MESSY)
-    table = read_mentions(spark, str(tmp_path / "table"))
-    old = {r["id"]: r["fingerprint"] for r in table.collect()}
-    new = {r["id"]: r["fingerprint"] for r in refingerprint(table).collect()}
-    assert old == new
+    old = {r["id"]: r["fingerprint"] for r in read_mentions(spark, table).collect()}
+    assert {r["id"]: r["fingerprint"] for r in refingerprint(read_mentions(spark, table)).collect()} == old
+    fresh = refingerprint_table(spark, table, str(tmp_path / "second"), "v2")
+    new = {r["id"]: r["fingerprint"] for r in fresh.collect()}
+    assert new.keys() == old.keys() and not set(new.values()) & set(old.values())
+    with pytest.raises(BatchError):
+        refingerprint_table(spark, table, str(tmp_path / "second"), "v2")
+
+
+def _stream(spark, folder, table, checkpoint, **options):
+    ingest_stream(spark, str(folder), table, str(checkpoint), created_at=lambda n: NOW, **options).awaitTermination()
 
 
 def test_stream_ingests_files_once(spark, tmp_path):
-    lines(tmp_path, MESSY[:9], "a.jsonl")
-    lines(tmp_path, MESSY[6:], "b.jsonl")
-    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    put(tmp_path / "in", "a.jsonl", as_lines(MESSY[:6]))
+    put(tmp_path / "in", "b.jsonl", as_lines(MESSY[3:]))
+    table = str(tmp_path / "table")
     for _ in range(2):
-        query = ingest_stream(spark, str(tmp_path / "in"), table, checkpoint, files_per_batch=1, created_at=lambda n: NOW)
-        query.awaitTermination()
-    assert read_mentions(spark, table).count() == 13
+        _stream(spark, tmp_path / "in", table, tmp_path / "checkpoint", files_per_batch=1)
+    assert read_mentions(spark, table).count() == len(STORED)
     reports = read_log(spark, table).collect()
-    assert len(reports) == 2 and sum(r["inserted"] for r in reports) == 13
-    lines(tmp_path, MESSY[:1], "c.jsonl")
-    ingest_stream(spark, str(tmp_path / "in"), table, checkpoint, created_at=lambda n: NOW).awaitTermination()
-    assert read_mentions(spark, table).count() == 13 and read_log(spark, table).count() == 3
+    assert len(reports) == 2 and sum(r["inserted"] for r in reports) == len(STORED)
+    put(tmp_path / "in", "c.jsonl", as_lines(MESSY[:1]))
+    _stream(spark, tmp_path / "in", table, tmp_path / "checkpoint")
+    assert read_mentions(spark, table).count() == len(STORED) and read_log(spark, table).count() == 3
+
+
+def test_two_streams_into_one_table(spark, tmp_path):
+    """Each stream counts its batches from 0; nothing is taken for a repetition."""
+    put(tmp_path / "one", "a.jsonl", as_lines(MESSY[:2]))
+    put(tmp_path / "two", "a.jsonl", as_lines(MESSY[7:]))
+    table = str(tmp_path / "table")
+    _stream(spark, tmp_path / "one", table, tmp_path / "c1")
+    _stream(spark, tmp_path / "two", table, tmp_path / "c2")
+    assert sorted(r["ordinal"] for r in read_mentions(spark, table).collect()) == [0, 0, 1, 1, 2, 4, 5]
+    _stream(spark, tmp_path / "two", table, tmp_path / "c3")  # a new checkpoint reads all again
+    assert read_mentions(spark, table).count() == 7 and read_log(spark, table).count() == 3
+    assert len(ACCEPTED) == 10

@@ -9,21 +9,24 @@ from presslake.operators.export import export_rows
 from presslake.plans.ingest import ingest
 from presslake.sources.mentions_table import read_mentions
 
-NEWS = [
-    {"source": "Harian", "title": "Digital economy grows", "content": "Tech is up", "url": "https://h.com/1", "published_at": "2024-03-15T10:00:00Z"},
-    {"source": "Harian", "title": "Markets stable", "content": "The INDEX is flat 50%", "url": "https://h.com/2", "published_at": "2024-03-15T10:00:00Z"},
-    {"source": "harian.com", "title": "Exports rise", "content": "ECONOMY improves", "url": "https://h.com/3", "published_at": "2024-03-14T23:59:00Z"},
-    {"source": "Waktu", "title": "Foreign funds", "content": "Capital came in", "url": "https://w.co/1", "published_at": "2024-03-13T08:00:00Z"},
-    {"source": "Waktu", "title": None, "content": "Tax rules", "url": "https://w.co/2", "published_at": "2024-03-12T08:00:00Z"},
-    {"source": "Kilat", "title": "No date", "content": "A story without a date", "url": "https://k.com/1", "published_at": None},
-    {"source": "Kilat", "title": "Bad date", "content": "A story", "url": "https://k.com/2", "published_at": "not a date"},
+# Ids follow the order of the list, from 1. Three stories share a time, two have no usable one.
+STORIES = [
+    {"source": "Tern", "title": "Kelp harvest", "content": "A good year", "url": "https://tern.is/k", "published_at": "2022-05-01T12:00:00Z"},
+    {"source": "tern.is", "title": "Boats", "content": "Old boats 100% rebuilt", "url": "https://tern.is/b", "published_at": "2022-05-03T06:30:00Z"},
+    {"source": "Gull Post", "title": "HARVEST MOON", "content": "A walk", "url": "https://gull.fo/h", "published_at": "2022-05-03T06:30:00Z"},
+    {"source": "Gull Post", "title": "Undated", "content": "kelp_soup", "url": "https://gull.fo/u", "published_at": "around spring"},
+    {"source": "Skua", "title": None, "content": "Harvest of ice", "url": "https://skua.gl/i", "published_at": "2022-05-03T06:30:00Z"},
+    {"source": "TERN", "title": "Late boat", "content": "came at night", "url": "https://tern.is/l", "published_at": "2022-05-02T23:59:59Z"},
+    {"source": "Auk", "title": "Blank", "content": "nothing", "url": "https://auk.no/b"},
+    {"source": "Auk", "title": "First light", "content": "at sea", "url": "https://auk.no/f", "published_at": "2022-04-30"},
 ]
+ORDER = [5, 3, 2, 6, 1, 8, 7, 4]
 
 
 @pytest.fixture(scope="module")
 def table(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("search") / "table")
-    lines = [(i, json.dumps(r)) for i, r in enumerate(NEWS)]
+    lines = [(i, json.dumps(r)) for i, r in enumerate(STORIES)]
     raw = spark.createDataFrame(lines, "ordinal long, j string").select("ordinal", F.parse_json("j").alias("raw"))
     ingest(spark, raw, path, "b1", datetime(2024, 6, 1, tzinfo=timezone.utc))
     return read_mentions(spark, path).cache()
@@ -34,59 +37,61 @@ def found(spark, table, **arguments):
     return [r["id"] for r in rows.collect()], page.first()
 
 
-def test_default_page_order_and_metadata(spark, table):
+def test_everything_on_one_page(spark, table):
     ids, page = found(spark, table)
-    assert ids == [2, 1, 3, 4, 5, 7, 6]
-    assert page.asDict() == {"page": 1, "page_size": 20, "total": 7, "total_pages": 1, "has_next": False, "has_previous": False}
+    assert ids == ORDER
+    assert page.asDict() == {"page": 1, "page_size": 20, "total": 8, "total_pages": 1, "has_next": False, "has_previous": False}
 
 
 @pytest.mark.parametrize("arguments, ids", [
-    ({"q": "economy"}, [1, 3]), ({"q": "INDEX"}, [2]), ({"q": "%"}, [2]), ({"q": "_"}, []), ({"q": "tax"}, [5]), ({"q": "is  up"}, []),
-    ({"source": "HARIAN.com"}, [2, 1, 3]), ({"from": "2024-03-14"}, [2, 1, 3]), ({"to": "2024-03-13"}, [4, 5]),
-    ({"to": "13 March 2024"}, [5]), ({"from": "2024-03-15", "to": "2024-03-15"}, [2, 1]), ({"from": "2024-01-01"}, [2, 1, 3, 4, 5]),
-    ({"q": "economy", "source": "harian", "from": "2024-03-15"}, [1]), ({"from": "2024-03-02", "to": "2024-03-01"}, []),
+    ({"q": "harvest"}, [5, 3, 1]), ({"q": "HARVEST m"}, [3]), ({"q": "%"}, [2]), ({"q": "_"}, [4]), ({"q": "kelp  h"}, []),
+    ({"source": "www.TERN.is/x"}, [2, 6, 1]), ({"from": "2022-05-02"}, [5, 3, 2, 6]), ({"to": "2022-05-01"}, [1, 8]),
+    ({"to": "1 May 2022"}, [8]), ({"from": "2022-05-02", "to": "2022-05-02"}, [6]), ({"to": "2023-01-01"}, [5, 3, 2, 6, 1, 8]),
+    ({"q": "boat", "source": "tern", "to": "2022-05-02"}, [6]), ({"from": "2022-06-01"}, []),
 ])
 def test_filters(spark, table, arguments, ids):
     assert found(spark, table, **arguments)[0] == ids
 
 
-def test_pages_do_not_overlap(spark, table):
-    seen = []
-    for number in range(1, 5):
-        ids, page = found(spark, table, page=number, page_size=2)
-        assert (page["total"], page["total_pages"], page["has_next"], page["has_previous"]) == (7, 4, number < 4, number > 1)
-        seen += ids
-    assert seen == [2, 1, 3, 4, 5, 7, 6]
-    ids, page = found(spark, table, page=99, page_size=2)
-    assert ids == [] and page["total"] == 7 and page["has_previous"]
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_pages_cut_the_order_into_pieces(spark, table, size):
+    pages = -(-len(ORDER) // size)
+    for number in range(1, pages + 2):
+        ids, page = found(spark, table, page=number, page_size=size)
+        assert ids == ORDER[(number - 1) * size : number * size]
+        assert (page["total"], page["total_pages"], page["has_next"], page["has_previous"]) == (8, pages, number < pages, number > 1)
+
+
+def test_no_rows_no_pages(spark, table):
     ids, page = found(spark, table.limit(0))
-    assert ids == [] and page["total_pages"] == 0 and not page["has_previous"]
+    assert ids == [] and (page["total"], page["total_pages"], page["has_previous"]) == (0, 0, False)
 
 
-@pytest.mark.parametrize("rows_per_range", [1, 3, 100])
-def test_deep_pages_agree_with_shallow_ones(spark, table, monkeypatch, rows_per_range):
-    monkeypatch.setattr(search, "TOP_K_ROWS", 0)
-    monkeypatch.setattr(search, "ROWS_PER_RANGE", rows_per_range)
-    got = [[r["id"] for r in search.page_of(table, page, 3).collect()] for page in (1, 2, 3, 4)]
-    assert got == [[2, 1, 3], [4, 5, 7], [6], []]
+def test_a_page_is_found_on_narrow_rows(spark, table):
+    """The sort that finds a page does not carry the texts."""
+    rows = read_mentions(spark, table.inputFiles()[0].rsplit("/mentions/", 1)[0])
+    plan = search.page_of(rows, 900, 100)._jdf.queryExecution().optimizedPlan().toString()
+    narrow = plan[plan.index("GlobalLimit") :]
+    assert "Project [published_at" in narrow and "Relation" in narrow
+    assert not any("content" in line for line in narrow.splitlines() if "Relation" not in line)
 
 
 def test_keyset_walk(spark, table):
     after, seen = None, []
     while True:
-        rows = search.next_page(table, 2, after).collect()
+        rows = search.next_page(table, 3, after).collect()
         if not rows:
             break
         seen += [r["id"] for r in rows]
         at = rows[-1]["published_at"]
         after = (None if at is None else at.replace(tzinfo=timezone.utc), rows[-1]["id"])
-    assert seen == [2, 1, 3, 4, 5, 7, 6]
+    assert seen == ORDER
 
 
 @pytest.mark.parametrize("arguments, name", [
-    ({"page": 0}, "page"), ({"page": "-1"}, "page"), ({"page": "abc"}, "page"), ({"page_size": 0}, "page_size"), ({"page_size": 101}, "page_size"),
-    ({"from": "not-a-date"}, "from"), ({"to": "32/13/2024"}, "to"), ({"from": "2024-03-15", "to": "2024-03-01"}, "from"), ({"q": " "}, "q"),
-    ({"q": "x" * 201}, "q"), ({"q": "𝒜" * 101}, "q"), ({"q": "\ufeff"}, "q"), ({"source": ""}, "source"), ({"source": "!!!"}, "source"), ({"colour": "1"}, "colour"),
+    ({"page": -3}, "page"), ({"page": "2.0"}, "page"), ({"page": ""}, "page"), ({"page_size": "0"}, "page_size"), ({"page_size": 250}, "page_size"),
+    ({"from": "last week"}, "from"), ({"to": "2022-02-30"}, "to"), ({"from": "2022-05-09", "to": "2022-05-02"}, "from"), ({"q": "　"}, "q"),
+    ({"q": "é" * 201}, "q"), ({"q": "😀" * 101}, "q"), ({"source": " "}, "source"), ({"source": "***"}, "source"), ({"order": "asc"}, "order"),
 ])
 def test_refused_arguments(spark, arguments, name):
     with pytest.raises(search.SearchError) as error:
@@ -95,28 +100,31 @@ def test_refused_arguments(spark, arguments, name):
 
 
 def test_accepted_limits(spark):
-    assert search.search_request(spark, page_size=100).page_size == 100
+    request = search.search_request(spark, page_size=100, q="😀" * 100)
+    assert request.page_size == 100 and len(request.filters.q) == 100
 
 
 def test_stats(spark, table):
     buckets, missing = stats.stats(table, "source")
-    assert [tuple(r) for r in buckets.collect()] == [("harian", "Harian", 3), ("kilat", "Kilat", 2), ("waktu", "Waktu", 2)] and missing is None
+    assert [tuple(r) for r in buckets.collect()] == [("tern", "TERN", 3), ("auk", "Auk", 2), ("gullpost", "Gull Post", 2), ("skua", "Skua", 1)]
+    assert missing is None
     days, missing = stats.stats(table, "day")
-    assert [tuple(r) for r in days.collect()] == [("2024-03-12", 1), ("2024-03-13", 1), ("2024-03-14", 1), ("2024-03-15", 2)]
+    assert [tuple(r) for r in days.collect()] == [("2022-04-30", 1), ("2022-05-01", 1), ("2022-05-02", 1), ("2022-05-03", 3)]
     assert missing.first()[0] == 2
-    assert [r["group"] for r in stats.recent_days(days, 2).collect()] == ["2024-03-14", "2024-03-15"]
+    assert [r["group"] for r in stats.recent_days(days, 3).collect()] == ["2022-05-01", "2022-05-02", "2022-05-03"]
     with pytest.raises(ValueError):
-        stats.stats(table, "week")
+        stats.stats(table, "month")
 
 
 def test_summary_and_worklist(spark, table):
-    figures = summary.key_figures(table, search.matching(search.SearchFilters(q="economy"))).first()
-    assert tuple(figures) == (7, 2, 3, 2)
-    assert [r["share"] for r in summary.share_of_maximum(stats.count_by_source(table)).orderBy("group").collect()] == [100, 67, 67]
-    assert [r["published_at_raw"] for r in search.undated_worklist(table).collect()] == ["not a date"]
+    figures = summary.key_figures(table, search.matching(search.SearchFilters(q="harvest"))).first()
+    assert tuple(figures) == (8, 3, 4, 2)
+    shares = {r["group"]: r["share"] for r in summary.share_of_maximum(stats.count_by_source(table)).collect()}
+    assert shares == {"tern": 100, "auk": 67, "gullpost": 67, "skua": 33}
+    assert [r["published_at_raw"] for r in search.undated_worklist(table).collect()] == ["around spring"]
 
 
 def test_export(spark, table):
     rows = {r["id"]: json.loads(r["json"]) for r in export_rows(table).collect()}
-    assert rows[1]["published_at"] == "2024-03-15T10:00:00.000Z" and rows[6]["published_at"] is None and rows[5]["title"] is None
+    assert rows[6]["published_at"] == "2022-05-02T23:59:59.000Z" and rows[7]["published_at"] is None and rows[5]["title"] is None
     assert list(rows[1]) == ["id", "source", "source_raw", "title", "content", "url", "published_at", "author", "engagement", "created_at"]
