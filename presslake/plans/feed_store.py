@@ -1,4 +1,4 @@
-"""The feed of ``sources.feed`` ingested once per application.
+"""The feed of ``plans.feed`` ingested once per application.
 
 Searches, counts and profiles read the stored table and the staged frames, as a
 service reads its database, instead of normalizing the feed on every call.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from presslake.operators.profile import field_facts
 from presslake.plans.ingest import ingest, stage, stage_name
 from presslake.session import apply_settings, work_dir
-from presslake.sources.feed import raw_mentions
+from presslake.plans.feed import raw_mentions
 from presslake.sources.mentions_table import read_mentions
 
 BATCH = "feed"

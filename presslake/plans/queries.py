@@ -16,7 +16,8 @@ from presslake.operators.normalize import normalize, rejected
 from presslake.plans import ingest as ingestion
 from presslake.plans.feed_store import CREATED_AT, feed_facts, feed_table, normalized_feed, raw_feed, stored_feed
 from presslake.session import apply_settings, work_dir
-from presslake.sources import batches, feed
+from presslake.plans import feed
+from presslake.sources import batches
 from presslake.sources.mentions_table import copy_table, read_mentions
 from presslake.streaming.incremental import ingest_stream
 
