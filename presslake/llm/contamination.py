@@ -1,9 +1,10 @@
 """Benchmark items inside documents: size-partitioned MinHash search, verified by exact containment.
 
 Items are partitioned by their number of shingles. For the class of up to u shingles a document
-is cut into blocks of u shingles, and every two neighbouring blocks are one domain: a passage of
-an item's length lies whole in one of them, however long the document, so the Jaccard
-similarity of an item and its domain has a floor set by the class and not by the document.
+is cut into domains of 2u shingles, each beginning u after the one before: a passage of an item's
+length lies whole in one of them, however long the document, so the Jaccard similarity of an
+item and its domain has a floor set by the class and not by the document. The minima of all
+classes are put together from those of blocks of ``BLOCK`` shingles.
 """
 
 from __future__ import annotations
@@ -21,20 +22,17 @@ from presslake.llm.words import LONG, WORDS, mixed, prefix_sums, range_hashes, w
 SHINGLE = 5
 CONTAINED = 0.8
 #: Minima of an item and a domain; one that agrees makes a candidate. At a containment of 0.8
-#: the least similar domain has a Jaccard similarity of 0.8 / (2 * GROWTH + 0.2) = 0.25, so all
-#: HASHES differ with a chance of 0.75 ** 48, about 1e-6.
+#: the least similar domain has a Jaccard similarity of 0.8 / (4 + 0.2) = 0.19, so all HASHES
+#: differ with a chance of 0.81 ** 48, about 4e-5; for a whole item it is 0.75 ** 48, 1e-6.
 HASHES = 48
-GROWTH = 1.5
+BLOCK = 8
 #: Items and bytes of one pass; more items are searched in several passes over the documents.
 PASS_ITEMS, PASS_BYTES = 20_000, 16 << 20
 
 
 def size_class(n: int) -> int:
-    """Upper bound of the class of ``n`` shingles: 8, 12, 18, 27, …"""
-    bound = 8
-    while bound < n:
-        bound = int(bound * GROWTH)
-    return bound
+    """Upper bound of the class of ``n`` shingles: 8, 16, 32, …"""
+    return max(BLOCK, 1 << (n - 1).bit_length())
 
 
 def shingles(words: list[bytes], width: int = SHINGLE) -> set[bytes]:
@@ -51,11 +49,25 @@ def _shingle_hashes(data: bytes, width: int) -> np.ndarray:
     return range_hashes(sums, first, first + width, WORDS)
 
 
-def _keyed(minimum: np.ndarray, k: int) -> np.ndarray:
-    return minimum >> np.uint64(6) << np.uint64(6) | np.uint64(k)
+_FACTORS = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(LONG.base)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-_FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(LONG.base)) | np.uint64(1)
+class _Table:
+    """Minima of the items of one class under one hash function, and a filter of their low bits."""
+
+    def __init__(self, minima: np.ndarray, items: np.ndarray) -> None:
+        order = np.argsort(minima, kind="stable")
+        self.minima, self.items = minima[order], items[order]
+        self.filter = np.zeros(1 << 16, bool)
+        self.filter[self.minima & np.uint32(0xFFFF)] = True
+
+    def hits(self, minima: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Positions of minima that are in the table, with the items that have them."""
+        at = np.flatnonzero(self.filter[minima & np.uint32(0xFFFF)])
+        low, high = (np.searchsorted(self.minima, minima[at], side=side) for side in ("left", "right"))
+        for position, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
+            for item in self.items[a:b].tolist():
+                yield position, item
 
 
 class ItemIndex:
@@ -68,52 +80,54 @@ class ItemIndex:
             width = min(SHINGLE, len(words))
             if width:
                 wanted = shingles(words, width)
-                minima = self._minima(_shingle_hashes(b" ".join(words), width))
-                by_class.setdefault(width, {}).setdefault(size_class(len(wanted)), []).append((len(self.items), minima))
+                hashes = self._short(_shingle_hashes(b" ".join(words), width))
+                minima = np.array([(hashes * f).min() for f in _FACTORS], np.uint32)
+                by_class.setdefault(width, {}).setdefault(size_class(len(words) - width + 1), []).append((len(self.items), minima))
                 self.items.append((item_id, width, wanted))
         self.tables = {}
         for width, classes in by_class.items():
-            for bound, members in classes.items():
-                values = np.concatenate([m for _, m in members])
-                owners = np.repeat([i for i, _ in members], HASHES)
-                order = np.argsort(values, kind="stable")
-                self.tables.setdefault(width, {})[bound] = values[order], owners[order]
+            for bound, members in sorted(classes.items()):
+                numbers = np.array([i for i, _ in members])
+                self.tables.setdefault(width, {})[bound] = [_Table(np.array([m[k] for _, m in members]), numbers) for k in range(HASHES)]
 
     @staticmethod
-    def _minima(hashes: np.ndarray) -> np.ndarray:
-        """The minimum under each hash function, with the function's number in the low bits."""
-        return np.array([_keyed((hashes * f).min(), k) for k, f in enumerate(_FACTORS)], np.uint64)
+    def _short(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(32)).astype(np.uint32)
 
     def candidates(self, texts: list[bytes]) -> set[tuple[int, int]]:
         """Positions of lower-cased texts and of items that agree in a minimum of some domain."""
         found: set[tuple[int, int]] = set()
         for width, classes in self.tables.items():
-            parts = [_shingle_hashes(t, width) for t in texts]
+            parts = [self._short(_shingle_hashes(t, width)) for t in texts]
             sizes = np.array([len(x) for x in parts])
             filled = np.flatnonzero(sizes)
             if not len(filled):
                 continue
             hashes, sizes = np.concatenate(parts), sizes[filled]
-            starts = np.cumsum(sizes) - sizes
-            blocks = {}
+            blocks = -(-sizes // BLOCK)
+            first = np.cumsum(blocks) - blocks  # number of each text's first block
+            text = np.repeat(np.arange(len(sizes)), blocks)
+            cuts = (np.cumsum(sizes) - sizes)[text] + (np.arange(len(text)) - first[text]) * BLOCK
+            domains = {}  # by class: the blocks at which domains begin, and their texts
             for bound in classes:
-                n = -(-sizes // bound)
-                text = np.repeat(np.arange(len(sizes)), n)
-                cuts = starts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * bound
-                blocks[bound] = text, cuts, text[1:] == text[:-1]
+                n = -(-blocks // (bound // BLOCK))
+                owner = np.repeat(np.arange(len(sizes)), n)
+                domains[bound] = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * (bound // BLOCK), owner
+            within = {}  # by step: the blocks whose text goes on for so many blocks
+            step = 1
+            while step <= max(classes) // BLOCK:
+                within[step] = np.flatnonzero(text[: max(0, len(text) - step)] == text[step:])
+                step *= 2
             for k, f in enumerate(_FACTORS):
-                under = hashes * f
-                for bound, (text, cuts, neighbours) in blocks.items():
-                    values, owners = classes[bound]
-                    minima = np.minimum.reduceat(under, cuts)
-                    pairs = np.minimum(minima, np.concatenate((np.where(neighbours, minima[1:], minima[:-1]), minima[-1:])))
-                    keys = _keyed(np.concatenate((minima, pairs)), k)
-                    low = np.searchsorted(values, keys)
-                    hit = np.flatnonzero(values[np.minimum(low, len(values) - 1)] == keys)
-                    for at, a, key in zip((hit % len(cuts)).tolist(), low[hit].tolist(), keys[hit].tolist()):
-                        while a < len(values) and int(values[a]) == key:
-                            found.add((int(filled[text[at]]), int(owners[a])))
-                            a += 1
+                minima, step = np.minimum.reduceat(hashes * f, cuts), 1
+                while step <= max(classes) // BLOCK:
+                    longer, go_on = minima.copy(), within[step]
+                    longer[go_on] = np.minimum(minima[go_on], minima[go_on + step])
+                    minima = longer  # over twice as many blocks, or to the end of the text
+                    if step * BLOCK in classes:
+                        at, owner = domains[step * BLOCK]
+                        found.update((int(filled[owner[i]]), item) for i, item in classes[step * BLOCK][k].hits(minima[at]))
+                    step *= 2
         return found
 
     def matches(self, texts: list[bytes], least: float) -> list[tuple[int, int | None, int, int]]:
