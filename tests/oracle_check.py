@@ -54,11 +54,13 @@ def main():
         start = time.time()
         try:
             df = query(spark, sf_dir)
-            text = difference(df, con, sqls[name]) if name in sqls else f"no SQL, {df.count()} rows"
+            text = difference(df, con, sqls[name]) if name in sqls else ""
+            note = "" if name in sqls else f"no SQL, {df.count()} rows"
         except Exception as error:  # noqa: BLE001
             text = f"{type(error).__name__}: {str(error)[:600]}"
         bad += bool(text)
-        print(f"{'ok ' if not text else 'BAD'} {name:24} {time.time() - start:6.1f}s {text}", flush=True)
+        note = text or note
+        print(f"{'ok ' if not text else 'BAD'} {name:24} {time.time() - start:6.1f}s {note}", flush=True)
     print(f"{bad} bad")
 
 
