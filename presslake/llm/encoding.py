@@ -21,7 +21,7 @@ LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 ASCII_OTHER = "!-@\\[-`{-~"
 PIECE = re.compile(f"[{WHITE_SPACE}]*[{LATIN}]+(?=[{WHITE_SPACE}{ASCII_OTHER}]|\\Z)|[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 #: Pieces kept in one Python worker; beyond that the store starts anew.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 600_000
 
 
 def default_tokenizer() -> str:

@@ -186,7 +186,7 @@ def write_packed(
         )
 
     dealt = docs.select(range_shard("doc_id", bounds).alias("shard"), "doc_id", "text")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
     manifest = sorted((r.asDict() for r in dealt.mapInArrow(write, MANIFEST).collect()), key=lambda x: x["shard"])
     first = 0
     for entry in manifest:
