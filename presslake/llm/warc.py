@@ -166,7 +166,7 @@ def write_warc(
             done += roller.done
         yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64())]))
 
-    dealt = marked.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "url", "sha1", "mark")
+    dealt = marked.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "url", "sha1", "mark")
     found = sorted(dealt.mapInArrow(write, "path string, records long, bytes long, crc32 long").collect())
     temporary = f"{place}/.manifest.{os.urandom(8).hex()}.tmp"
     with files.open_output_stream(temporary) as out:
