@@ -19,7 +19,7 @@ f AS (SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_wo
              + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (2 * word_chars < 3 * n_words)::INT
              + 32 * (word_chars > 40 * n_words)::INT + 64 * (n_words > 1000000)::INT AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed,
-       (failures & 63) = 0 AS kept, failures, CAST(2 AS INTEGER) AS policy_version FROM f
+       (failures & 55) = 0 AS kept, failures, CAST(3 AS INTEGER) AS policy_version FROM f
 """
 
 
