@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslake.llm.staging import binary, bounded_batches
+from presslake.llm.staging import binary, ready_for_python
 from presslake.llm.words import LONG, WORDS, mixed, prefix_sums, range_hashes, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -172,7 +172,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = CONTAI
     are carried; other columns are ignored. Nothing is shuffled: the items, cut into passes of
     bounded size, travel to the documents.
     """
-    bounded_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shared long, item_shingles long")
     for items in _item_passes(benchmark):
@@ -191,7 +191,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = CONTAI
 
 def without_items(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINED) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item by the rule of ``contained_items``."""
-    bounded_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
     for items in _item_passes(benchmark):
 
         def drop(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:

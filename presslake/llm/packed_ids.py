@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presslake.llm.encoding import default_tokenizer, encoder
-from presslake.llm.staging import bounded_batches, new_folder, open_folder, publish, range_bounds, range_shard, shards_for
+from presslake.llm.staging import ready_for_python, new_folder, open_folder, publish, range_bounds, range_shard, shards_for
 
 MAGIC, VERSION = b"PKID", 1
 BLOCK_IDS = 1 << 16
@@ -152,7 +152,7 @@ def write_packed(
     file (20,000 at most), is written last: a folder without it is not complete.
     """
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
-    bounded_batches(spark)
+    ready_for_python(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = shards_for(total, shard_bytes)
@@ -201,6 +201,7 @@ def write_packed(
 
 def read_packed(spark, folder: str) -> DataFrame:
     """Per document of the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``; reads whole files block by block."""
+    ready_for_python(spark)
     files, place = open_folder(folder)
     manifest = json.loads(files.open_input_file(f"{place}/manifest.json").read())
 

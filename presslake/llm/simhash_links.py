@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presslake.llm.components import components
-from presslake.llm.staging import binary, bounded_batches, forget, written
+from presslake.llm.staging import binary, ready_for_python, forget, written
 from presslake.llm.words import word_bounds
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -55,7 +55,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``fp`` (the fingerprint as a signed long) of every row; null texts have fingerprint zero."""
-    bounded_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

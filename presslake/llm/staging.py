@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import math
 import uuid
+import zipfile
+from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
@@ -12,6 +15,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import presslake
 from presslake.session import work_dir
 
 #: Rows that may be broadcast; every broadcast here is counted against it first.
@@ -20,9 +24,27 @@ BROADCAST_ROWS = 200_000
 BATCH_BYTES = 8 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Limits Arrow batches by bytes, so that long texts do not pile up in a Python worker."""
+_shipped: set[str] = set()
+
+
+def ready_for_python(spark: SparkSession) -> None:
+    """Call before work in Python: limits Arrow batches by bytes, so that long texts do not pile
+    up in a worker, and sends this package to the executors, once per application."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    packed, root = io.BytesIO(), Path(presslake.__file__).parent
+    with zipfile.ZipFile(packed, "w") as code:
+        for file in sorted(root.rglob("*.py")):
+            code.write(file, str(file.relative_to(root.parent)))
+    folder = new_folder(spark, "code")
+    files, place = open_folder(folder)
+    files.create_dir(place, recursive=True)
+    with files.open_output_stream(f"{place}/presslake.zip") as out:
+        out.write(packed.getvalue())
+    context.addPyFile(f"{folder}/presslake.zip")
+    _shipped.add(context.applicationId)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presslake.llm.encoding import default_tokenizer, encoder
-from presslake.llm.staging import bounded_batches, written
+from presslake.llm.staging import ready_for_python, written
 
 #: Lengths of one block of the suffix sums.
 BLOCK = 1024
@@ -18,7 +18,7 @@ BLOCK = 1024
 def encoded_lengths(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:
     """One row ``n_tokens`` per row of ``docs``; null and empty texts have 0 tokens."""
     path = tokenizer or default_tokenizer()
-    bounded_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslake.llm.staging import bounded_batches, new_folder, open_folder, publish, range_bounds, range_shard, shards_for, written
+from presslake.llm.staging import ready_for_python, new_folder, open_folder, publish, range_bounds, range_shard, shards_for, written
 
 #: Payload bytes of a shard and compressed bytes of a file.
 SHARD_BYTES, FILE_BYTES = 64 << 20, 32 << 20
@@ -124,7 +124,7 @@ def write_warc(
     digests are grouped: a payload that many pages share leaves each task as one row.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
+    ready_for_python(spark)
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
@@ -176,6 +176,7 @@ def write_warc(
 
 def read_warc(spark, folder: str) -> DataFrame:
     """A row per record of the files in the manifest: payload length and digest, type and reference."""
+    ready_for_python(spark)
     files, place = open_folder(folder)
     manifest = json.loads(files.open_input_file(f"{place}/manifest.json").read())
 
