@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from presslake.operators import search, stats, summary
 from presslake.operators.export import export_rows
 from presslake.plans.ingest import ingest
+from presslake.schema import STORED_SCHEMA
 from presslake.sources.mentions_table import read_mentions
 
 # Ids follow the order of the list, from 1. Three stories share a time, two have no usable one.
@@ -67,9 +68,10 @@ def test_no_rows_no_pages(spark, table):
     assert ids == [] and (page["total"], page["total_pages"], page["has_previous"]) == (0, 0, False)
 
 
-def test_a_page_is_found_on_narrow_rows(spark, table):
+def test_a_page_is_found_on_narrow_rows(spark, tmp_path):
     """The sort that finds a page does not carry the texts."""
-    rows = read_mentions(spark, table.inputFiles()[0].rsplit("/mentions/", 1)[0])
+    spark.createDataFrame([], STORED_SCHEMA).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.schema(STORED_SCHEMA).parquet(f"{tmp_path}/rows")
     plan = search.page_of(rows, 900, 100)._jdf.queryExecution().optimizedPlan().toString()
     narrow = plan[plan.index("GlobalLimit") :]
     assert "Project [published_at" in narrow and "Relation" in narrow
