@@ -3,7 +3,7 @@
 Five transducers are composed. The lexical one reads characters and writes harm symbols
 (insults and threats with their learned weights); three more mark targets, negations and
 reported speech in the clause around a harm; the last reads the marked clause and writes one
-of ``KINDS``. A document is scored by the clauses it matches, never by words outside them.
+of ``KINDS`` and its modifier. A document is scored by the clauses it matches, never by words outside them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presslake.llm.staging import bounded_batches, forget, written
+from presslake.llm.staging import ready_for_python, forget, written
 
 #: Labelled rows that the lexicon and the clause weights are learned from: those with the
 #: smallest hashes of their ids. A bound on training only; every document is scored.
@@ -37,9 +37,10 @@ NEGATIONS = set("not no never nor isn't aren't don't doesn't wasn't without nich
 REPORTS = set("said says say told wrote quoted claimed called reported according sagte sagt schrieb behauptete dit disait écrit selon dijo dice según escribió".split())
 THREATS = set("kill hurt destroy beat burn shoot stab hang töten umbringen verletzen tuer frapper brûler matar golpear quemar".split())
 
-KINDS = ["insult", "insult_targeted", "insult_negated", "insult_reported", "threat_targeted", "threat_held_back"]
-#: What the clause weights are drawn to where labels are few.
-PRIOR = np.array([-3.0, 2.0, 3.0, 0.5, 0.5, 3.0, 0.2])
+#: Symbols of a matched clause: its harm, and what else the clause says about it.
+KINDS = ["insult", "insult_targeted", "insult_negated", "insult_reported", "threat", "threat_held_back"]
+#: What the constant and the weights of the symbols are drawn to where labels are few.
+PRIOR = np.array([-3.0, 3.0, 1.0, -1.5, -1.5, 4.0, -3.5])
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 CLAUSE_END = re.compile(r"[.,;:!?\n]")
 QUOTES = "\"“”«»„"
@@ -79,7 +80,7 @@ class Grammar:
         return [found[k] for k in sorted(found)]
 
     def clauses(self, text: str) -> Counter:
-        """Number of matched clauses of each kind."""
+        """Number of matched clauses that have each symbol."""
         text = text.lower()
         harms, out, at = self.harms(text), Counter(), 0
         while at < len(harms):
@@ -92,13 +93,12 @@ class Grammar:
             while at < len(harms) and harms[at][0] < high:
                 inside.append(harms[at])
                 at += 1
-            out[self._kind(text, low, high, inside)] += 1
-        out.pop(None, None)
+            out.update(self._kinds(text, low, high, inside))
         return out
 
     @staticmethod
-    def _kind(text: str, low: int, high: int, harms: list[tuple[int, int, int]]) -> str | None:
-        """State of the clause automaton after reading targets, negations, reports and harms in order."""
+    def _kinds(text: str, low: int, high: int, harms: list[tuple[int, int, int]]) -> list[str]:
+        """What the clause automaton writes after reading targets, negations, reports and harms in order."""
         first = harms[0][0]
         before = WORD.findall(text, low, first)
         around = before + WORD.findall(text, harms[-1][1], high)
@@ -107,10 +107,11 @@ class Grammar:
         reported = not REPORTS.isdisjoint(before) and any(q in text[low:high] for q in QUOTES)
         negated = not NEGATIONS.isdisjoint(before[-3:])
         if insult:
-            return "insult_reported" if reported else "insult_negated" if negated else "insult_targeted" if targeted else "insult"
+            said = "insult_reported" if reported else "insult_negated" if negated else "insult_targeted" if targeted else None
+            return ["insult", said] if said else ["insult"]
         if targeted:
-            return "threat_held_back" if negated or reported else "threat_targeted"
-        return None
+            return ["threat", "threat_held_back"] if negated or reported else ["threat"]
+        return []
 
     def features(self, text: str) -> tuple[int, ...]:
         found = self.clauses(text)
@@ -178,7 +179,7 @@ def learned_lexicon(training: DataFrame) -> dict[str, float]:
 
 def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", training_rows: int = TRAINING_ROWS) -> DataFrame:
     """All columns of ``docs`` and the score of ``text``, learned from the labelled rows among them."""
-    bounded_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
     training = written(_training(docs, labels, training_rows), "toxic-training")
     lexicon = learned_lexicon(training)
 
