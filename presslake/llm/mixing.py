@@ -7,14 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslake.llm.staging import forget, small_side, written
+from presslake.llm.staging import forget, ready_for_python, small_side, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2
 #: Words that the knapsack fits; what lies above is spread evenly over all lengths.
 FITTED = 1 << 16
 #: Distinct lengths and pieces of a length that the knapsack may use.
-FIT_LENGTHS, FIT_COUNT = 256, 64
+FIT_LENGTHS, FIT_COUNT = 256, 1 << 14
 #: Documents of one source and length that are ranked together.
 RANKED = 1 << 16
 KEY = ["no_source", "source"]
@@ -119,6 +119,7 @@ def mixed(
     its size. Null texts have size 0; null ids are hashed as null; repeated rows count as rows;
     an empty table gives no rows; other columns are ignored.
     """
+    ready_for_python(docs.sparkSession)
     sizes = written(
         docs.select(
             F.col("doc_id"), F.col("source").isNull().alias("no_source"),
