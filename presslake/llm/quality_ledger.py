@@ -54,8 +54,6 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_words", F.array_remove(F.split("_text", f"{SPACE}+"), "")).withColumn(
         "_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     )
-    word = [F.get("_words", F.lit(k)) for k in range(WINDOW)]  # shows the shape; the lambda below shifts it
-    assert len(word) == WINDOW
     df = df.withColumn(
         "_windows",
         F.expr(
