@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from presslake.functions.variants import is_object, number_text, script_type_sql
+from presslake.functions.variants import number_text, script_type_sql
 from presslake.schema import CHECKED_FIELDS, COUNT_ALIASES, DATE_ALIASES, TEXT_ALIASES
 
 # Reasons given for a refused record.
@@ -36,12 +36,12 @@ def _first_usable(aliases: list[str], value: str) -> Column:
 
 def with_types(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``_type_<alias>`` and ``_text_<alias>`` (strings and booleans) for
-    every alias, as SQL text: one call each instead of a dozen."""
-    df = df.withColumns({
-        f"_type_{f}": F.expr(script_type_sql(f"schema_of_variant(variant_get({raw}, '$.{f}', 'variant'))")) for f in CHECKED_FIELDS
-    })
+    every alias, and ``_fields``, the record as a map (null if it is no object). The
+    record is taken apart once; every alias is then looked up in the map."""
+    df = df.withColumn("_fields", F.expr(f"try_cast({raw} AS MAP<STRING, VARIANT>)"))
+    df = df.withColumns({f"_type_{f}": F.expr(script_type_sql(f"schema_of_variant(_fields['{f}'])")) for f in CHECKED_FIELDS})
     return df.withColumns({
-        f"_text_{f}": F.expr(f"CASE WHEN _type_{f} IN ('string', 'boolean') THEN variant_get({raw}, '$.{f}', 'string') END")
+        f"_text_{f}": F.expr(f"CASE WHEN _type_{f} IN ('string', 'boolean') THEN CAST(_fields['{f}'] AS STRING) END")
         for f in CHECKED_FIELDS
     })
 
@@ -51,13 +51,13 @@ def with_inputs(df: DataFrame, raw: str = "raw") -> DataFrame:
     ``in_published_number`` and ``in_engagement_number`` (double)."""
     df = with_types(df, raw)
     refused = ", ".join(f"CASE WHEN {_wrong_type(f)} THEN '{f}: {BAD_TYPE}' END" for f in CHECKED_FIELDS)
-    number = f"CASE WHEN _type_{{0}} = 'number' THEN variant_get({raw}, '$.{{0}}', 'double') END"
+    number = "CASE WHEN _type_{0} = 'number' THEN CAST(_fields['{0}'] AS DOUBLE) END"
     df = df.withColumns({
-        "type_reason": F.when(~is_object(F.schema_of_variant(F.col(raw))), F.lit(NOT_AN_OBJECT)).otherwise(F.expr(f"coalesce({refused})")),
+        "type_reason": F.when(F.col("_fields").isNull(), F.lit(NOT_AN_OBJECT)).otherwise(F.expr(f"coalesce({refused})")),
         **{f"_words_{name}": _first_usable(aliases, "_text_{}") for name, aliases in CONCEPTS.items()},
         **{f"_number_{name}": _first_usable(aliases, number) for name, aliases in CONCEPTS.items()},
     })
-    df = df.drop(*[f"_{kind}_{f}" for kind in ("type", "text") for f in CHECKED_FIELDS])
+    df = df.drop("_fields", *[f"_{kind}_{f}" for kind in ("type", "text") for f in CHECKED_FIELDS])
     df = df.withColumns({
         **{f"in_{n}": F.coalesce(F.col(f"_words_{n}"), number_text(f"_number_{n}")) for n in CONCEPTS},
         "in_published_number": F.col("_number_published"),
