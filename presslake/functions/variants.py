@@ -15,15 +15,6 @@ def script_type_sql(type_name: str) -> str:
     )
 
 
-def script_type(variant: str) -> Column:
-    """JSON type of a VARIANT column given by name."""
-    return F.expr(script_type_sql(f"schema_of_variant({variant})"))
-
-
-def is_object(type_name: Column) -> Column:
-    return F.coalesce(type_name.startswith("OBJECT"), F.lit(False))
-
-
 def number_text(column: str) -> Column:
     """A double column, given by name, the way a script prints it: no trailing
     zeros, plain digits from 1e-6 up to 1e21, exponents beyond."""

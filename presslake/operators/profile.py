@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from presslake.functions.dates import with_published_at
 from presslake.functions.names import with_source
 from presslake.functions.text import WS, looks_like_html
-from presslake.functions.variants import is_object, number_text, script_type, script_type_sql
+from presslake.functions.variants import number_text, script_type_sql
 from presslake.schema import DATE_ALIASES, TEXT_ALIASES
 
 # What looks like a number, and how many rows a report shows.
@@ -25,26 +25,27 @@ def field_facts(raw: DataFrame) -> DataFrame:
     """One row per top-level field of each object, and one per other record with
     a null key: ``key, type, html, numeric, spelling, date_state, date_json``."""
     # An unreadable document holds no records; it has no value at all, not a JSON null.
-    df = raw.where(F.col("raw").isNotNull()).select(F.col("raw"), F.schema_of_variant("raw").alias("_shape"))
-    df = df.withColumn("_object", is_object(F.col("_shape")))
-    others = df.where(~F.col("_object")).select(
-        F.lit(None).cast("string").alias("key"),
-        F.when(F.col("_shape").startswith("ARRAY"), F.lit("array"))
-        .when(F.col("_shape") == "VOID", F.lit("object"))
-        .otherwise(F.expr(script_type_sql("_shape"))).alias("type"),
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("raw").alias("value")))
+    entries = F.coalesce(F.map_entries(F.col("raw").try_cast("map<string,variant>")), whole)
+    fields = raw.where(F.col("raw").isNotNull()).select(F.explode(entries).alias("_entry"))
+    fields = fields.select(F.col("_entry.key").alias("key"), F.col("_entry.value").alias("_value"))
+    fields = fields.withColumn("_shape", F.schema_of_variant("_value"))
+    alone = F.col("key").isNull()
+    fields = fields.withColumn(
+        "type",
+        F.when(alone & F.col("_shape").startswith("ARRAY"), F.lit("array")).when(alone & (F.col("_shape") == "VOID"), F.lit("object"))
+        .otherwise(F.expr(script_type_sql("_shape"))),
     )
-    fields = df.where(F.col("_object")).select(F.explode(F.col("raw").try_cast("map<string,variant>")).alias("key", "_value"))
-    fields = fields.withColumn("type", script_type("_value"))
     is_date = F.col("key").isin(DATE_ALIASES)
     fields = fields.withColumns({
-        "_text": F.when(F.col("type") == "string", F.variant_get("_value", "$", "string")),
+        "_text": F.when(~alone & (F.col("type") == "string"), F.variant_get("_value", "$", "string")),
         "_number": F.when(is_date & (F.col("type") == "number"), F.variant_get("_value", "$", "double")),
     })
     fields = fields.withColumn("_date_text", F.when(is_date, F.col("_text")))
     fields = with_published_at(fields, "_date_text", "_number", out="_date")
     missing = (F.col("type") == "null") | (F.coalesce(F.col("_text"), F.lit("x")) == "")
     fields = fields.withColumn("date_state", F.when(is_date, F.when(missing, "missing").when(F.col("_date").isNull(), "unparsable").otherwise("parsed")))
-    fields = fields.select(
+    return fields.select(
         "key", "type",
         F.coalesce(looks_like_html(F.col("_text")), F.lit(False)).alias("html"),
         F.coalesce(F.col("_text").rlike(NUMERIC_TEXT), F.lit(False)).alias("numeric"),
@@ -52,7 +53,6 @@ def field_facts(raw: DataFrame) -> DataFrame:
         "date_state",
         F.when(F.col("date_state") == "unparsable", F.coalesce(number_text("_number"), F.to_json("_value"))).alias("date_json"),
     )
-    return fields.unionByName(others, allowMissingColumns=True)
 
 
 def field_frequency(facts: DataFrame) -> DataFrame:
