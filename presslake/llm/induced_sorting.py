@@ -48,8 +48,8 @@ class Store:
 class BlockQueue:
     """Rows ``(key, position)`` by range of symbols; key is symbol << 32 | order."""
 
-    def __init__(self, store: Store, edges: np.ndarray) -> None:
-        self.store, self.edges = store, edges  # first symbol of each range but the first
+    def __init__(self, store: Store, edges: np.ndarray, single: bool) -> None:
+        self.store, self.edges, self.single = store, edges, single  # first symbol of each range but the first
         self.blocks: list[list] = [[] for _ in range(len(edges) + 1)]
         self.file, self.written, self.rows = tempfile.TemporaryFile(dir=store.folder.name), 0, 0
 
@@ -57,7 +57,10 @@ class BlockQueue:
         """Rows whose keys do not fall for equal symbols, neither here nor against earlier calls."""
         if not len(keys):
             return
-        where = np.searchsorted(self.edges, keys >> 32, side="right")
+        symbols = keys >> 32
+        # Numbers of one or two bytes are sorted by counting.
+        where = symbols if self.single else np.searchsorted(self.edges, symbols, side="right")
+        where = where.astype(np.uint8 if len(self.blocks) <= 256 else np.uint16)
         order = np.argsort(where, kind="stable")
         where, rows = where[order], np.column_stack((keys[order], positions[order]))
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1, [len(where)]))
@@ -79,11 +82,7 @@ class BlockQueue:
         self.store.spilled += self.rows
         self.rows = 0
 
-    def _load(self, block: np.ndarray | tuple[int, int], most: int) -> Iterator[np.ndarray]:
-        if isinstance(block, np.ndarray):
-            self.rows -= len(block)
-            yield block
-            return
+    def _load(self, block: tuple[int, int], most: int) -> Iterator[np.ndarray]:
         at, rows = block
         for first in range(0, rows, most):
             n = min(most, rows - first)
@@ -91,9 +90,15 @@ class BlockQueue:
             yield np.frombuffer(self.file.read(16 * n), np.int64).reshape(n, 2)
 
     def stream(self, r: int) -> Iterator[np.ndarray]:
-        """The blocks of a range in turn, those that enter meanwhile included."""
+        """The rows of a range in turn, those that enter meanwhile included."""
         while self.blocks[r]:
-            yield from self._load(self.blocks[r].pop(0), self.store.memory_rows)
+            held, self.blocks[r] = self.blocks[r], []
+            fresh = [b for b in held if isinstance(b, np.ndarray)]  # always after what was spilled
+            self.rows -= sum(map(len, fresh))
+            for block in held[: len(held) - len(fresh)]:
+                yield from self._load(block, self.store.memory_rows)
+            if fresh:
+                yield np.concatenate(fresh) if len(fresh) > 1 else fresh[0]
 
     def all(self, r: int) -> np.ndarray:
         parts = [np.zeros((0, 2), np.int64), *self.stream(r)]
@@ -105,7 +110,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one (S); the last symbol counts as S."""
     n = len(text)
     differs = np.flatnonzero(text[:-1] != text[1:])
-    nearest = differs[np.searchsorted(differs, np.arange(n - 1))]  # the end differs from all
+    nearest = np.repeat(differs, np.diff(differs, prepend=-1))  # the end differs from all
     out = np.ones(n, bool)
     out[:-1] = text[nearest] < text[nearest + 1]
     return out
@@ -130,9 +135,9 @@ class Sweep:
 
     def run(self, seeds: np.ndarray, seed_common: np.ndarray | None) -> None:
         """Seeds in order, and the common prefix of each with the seed before (where their symbols agree)."""
-        queue = BlockQueue(self.store, self.edges)
+        queue = BlockQueue(self.store, self.edges, self.single)
         self.seed_common = seed_common
-        late = BlockQueue(self.store, self.edges)  # seeds leave after the induced rows of their symbol
+        late = BlockQueue(self.store, self.edges, self.single)  # seeds leave after the induced rows of their symbol
         for a in range(0, len(seeds), self.store.memory_rows):
             part = np.asarray(seeds[a : a + self.store.memory_rows])
             late.push(self.symbols[part].astype(np.int64) << 32 | (SEED + a + np.arange(len(part))), part)
@@ -201,6 +206,21 @@ class Sweep:
         return int(other[0]) if len(other) else len(part)
 
 
+def _refined(place: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Splits groups of equal ``place`` (the number of smaller elements) by key; ``active``
+    is in order of place and key. Returns which of them are still tied."""
+    group = place[active]
+    begins = np.concatenate(([True], group[1:] != group[:-1]))
+    parts = begins.copy()
+    parts[1:] |= key[1:] != key[:-1]
+    edges = np.flatnonzero(parts)
+    counts = np.diff(edges, append=len(active))
+    begin = np.flatnonzero(begins)
+    at_group = np.repeat(begin, np.diff(begin, append=len(active)))
+    place[active] = group + np.repeat(edges, counts) - at_group
+    return np.repeat(counts > 1, counts)
+
+
 def _names(store: Store, text: np.ndarray, is_s: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For the substrings between leftmost S positions (both included): numbers from 1 in their order, equal ones equal."""
     width = (2 * int(text.max()) + 2).bit_length()
@@ -220,56 +240,59 @@ def _names(store: Store, text: np.ndarray, is_s: np.ndarray, starts: np.ndarray)
                 i = np.minimum(at + t, len(text) - 1)
                 pair = text[i].astype(np.int64) * 2 + is_s[i] + 1
                 key = key << width | np.where(offset + t < sizes[own[active]], pair, 0)
-            order = np.lexsort((key, name[active]))
-            group, key = name[active][order], key[order]
-            begins = np.concatenate(([True], group[1:] != group[:-1]))
-            parts = begins | np.concatenate(([True], key[1:] != key[:-1]))
-            at_part = np.maximum.accumulate(np.where(parts, np.arange(len(order)), 0))
-            at_group = np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))
-            fresh = group + at_part - at_group
-            name[active[order]] = fresh
-            counts = np.diff(np.append(np.flatnonzero(parts), len(order)))
-            tied = np.repeat(counts > 1, counts)
+            order = np.lexsort((key, name[active])) if offset else np.argsort(key)
             offset += take
-            active = active[order[tied]]
+            active = active[order]
+            active = active[_refined(name, active, key[order])]
             active = active[sizes[own[active]] > offset]
         names[own] = name
         done += len(own)
-    return np.searchsorted(np.unique(names), names) + 1  # dense
+    used = np.zeros(len(names) + 1, np.int64)
+    used[names] = 1
+    return np.cumsum(used)[names]  # dense
+
+
+def _eights(text: np.ndarray) -> np.ndarray:
+    """At every position the next eight one-byte symbols as one number, the first lowest."""
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(text)]).view("<u8").ravel()
 
 
-def _common(text: np.ndarray, left: np.ndarray, right: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, up to ``cap``, symbol by symbol in growing steps."""
+def _common(text: np.ndarray, left: np.ndarray, right: np.ndarray, cap: int, eights: np.ndarray | None) -> np.ndarray:
+    """Common prefixes of pairs of different suffixes, up to ``cap``; ``eights`` compares eight symbols at once.
+
+    Pairs that agree so far have not come to the end, which is a symbol of its own.
+    """
     out = np.zeros(len(left), np.uint16)
-    active, n = np.arange(len(left)), len(text)
-    done, step = 0, 4
+    active, done = np.arange(len(left)), 0
     while len(active) and done < cap:
-        step = min(step, cap - done)
-        offsets = done + np.arange(step)
-        a = text[np.minimum(left[active, None] + offsets, n - 1)]
-        b = text[np.minimum(right[active, None] + offsets, n - 1)]
-        differs = a != b
-        hit = differs.any(1)
-        out[active] = done + np.where(hit, differs.argmax(1), step)
-        active, done = active[~hit], done + step
+        if eights is not None:
+            x = eights[left[active] + done] ^ eights[right[active] + done]
+            equal, same = x == 0, np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3)
+        else:
+            equal = text[left[active] + done] == text[right[active] + done]
+            same = equal
+        out[active] = np.minimum(done + same, cap)
+        active, done = active[equal], done + (1 if eights is None else 8)
     return out
 
 
-def _doubled(text: np.ndarray) -> np.ndarray:
-    """Suffixes of a string that fits into memory, by prefix doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    n, step = len(text), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key)
-        key = key[order]
-        new = np.zeros(n, np.int64)
-        np.cumsum(key[1:] != key[:-1], out=new[1:])
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
+def doubled(text: np.ndarray) -> np.ndarray:
+    """Suffixes in order, for a string of small numbers that fits into memory: prefix
+    doubling of those that are still tied."""
+    counts = np.bincount(text)
+    place = (np.cumsum(counts) - counts)[text]
+    active, n, step = np.flatnonzero(counts[text] > 1), len(text), 1
+    while len(active):
+        key = place[np.minimum(active + step, n - 1)] + 1
+        key[active + step >= n] = 0
+        order = np.argsort(place[active] * (n + 1) + key)
+        active = active[order]
+        active = active[_refined(place, active, key[order])]
         step *= 2
+    out = np.empty(n, np.int64)
+    out[place] = np.arange(n)
+    return out
 
 
 def sorted_suffixes(text: np.ndarray, cap: int = 0, memory_rows: int = MEMORY_ROWS, store: Store | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -286,18 +309,19 @@ def sorted_suffixes(text: np.ndarray, cap: int = 0, memory_rows: int = MEMORY_RO
     starts = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1  # leftmost S; the end is the last of them
     names = _names(own, text, is_s, starts)
     names[-1] = 0
-    if len(np.unique(names)) == len(names):
+    if int(names.max()) == len(names):
         seeds = starts[np.argsort(names)]
     elif len(names) <= memory_rows:
-        seeds = starts[_doubled(names)]
+        seeds = starts[doubled(names)]
     else:
         seeds = starts[sorted_suffixes(names, 0, memory_rows, own)[0]]
     shared = None
     if cap:
         shared = own.array(len(seeds), np.uint16)
+        eights = _eights(text) if text.dtype == np.uint8 and n <= memory_rows else None
         for a in range(1, len(seeds), 1 << 16):
             b = min(a + (1 << 16), len(seeds))
-            shared[a:b] = _common(text, seeds[a - 1 : b - 1], seeds[a:b], cap)
+            shared[a:b] = _common(text, seeds[a - 1 : b - 1], seeds[a:b], cap, eights)
     up = Sweep(own, text, ~is_s, cap)
     up.run(seeds, shared)
     large = ~is_s[up.order[: up.rank]]

@@ -18,7 +18,7 @@ from presslake.llm.passages import Units, covered, repeated_ranges, with_ranges
 from presslake.llm.staging import binary
 
 WINDOW, GRAM = 200, 40
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 18
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -26,9 +26,9 @@ def find_repeats(segments: list[bytes], weights: np.ndarray, window: int, memory
     """Flags of the windows of each segment that occur at least twice in all."""
     sizes = np.array([len(s) for s in segments])
     begin = np.cumsum(sizes + 1) - sizes - 1
-    text = np.frombuffer(b"\0".join([*segments, b""]), np.uint8).astype(np.uint16) + np.uint16(2)
+    text = np.frombuffer(b"\0".join([*segments, b""]), np.uint8) + np.uint8(2)  # bytes of UTF-8 end at 244
     text[begin + sizes] = 1  # a separator after each segment
-    text = np.append(text, np.uint16(0))
+    text = np.append(text, np.uint8(0))
     left = np.append(np.repeat(begin + sizes, sizes + 1) - np.arange(len(text) - 1), 0)  # bytes before the separator
     weight = np.append(np.repeat(weights, sizes + 1), 0)
     store = Store(memory_rows)
