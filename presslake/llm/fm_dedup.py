@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from presslake.llm.induced_sorting import doubled
 from presslake.llm.passages import Units, covered, repeated_ranges, with_ranges
 from presslake.llm.staging import binary
 from presslake.llm.words import word_bounds
@@ -24,23 +25,6 @@ SHARD_BYTES = 12 << 20
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; the last symbol is the only smallest one."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    n, step = len(text), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key)
-        key = key[order]
-        new = np.zeros(n, np.int64)
-        np.cumsum(key[1:] != key[:-1], out=new[1:])
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        step *= 2
-
-
 class BitVector:
     """Bits in 64-bit words with a count before each word."""
 
@@ -90,7 +74,7 @@ class FMIndex:
     def __init__(self, text: np.ndarray, weights: np.ndarray) -> None:
         text, weights = np.append(text, 0), np.append(weights, 0)
         alphabet = int(text.max()) + 1
-        order = suffix_array(text)
+        order = doubled(text)
         self.tree = WaveletTree(text[order - 1], alphabet)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=alphabet))))
         self.weight = np.concatenate(([0], np.cumsum(weights[order])))
