@@ -11,7 +11,8 @@ The queue keeps a first-in-first-out list of blocks for each range of symbols. T
 symbol enter in the order in which they must leave, so lists of one symbol are never sorted;
 ranges of several symbols (only in strings of names) are loaded and sorted when their turn comes.
 Blocks beyond ``memory_rows`` tuples are in a file, as are all arrays with a value per position.
-The files lie in a folder that one task makes, uses alone and deletes.
+These files are scratch of one task: made when memory runs short, read by no other task, and
+without a name, so that nothing stays when the task or its executor ends.
 """
 
 from __future__ import annotations
@@ -27,22 +28,26 @@ RANGES = 512
 
 
 class Store:
-    """Arrays in memory while short, else mapped from files of one temporary folder."""
+    """Arrays in memory while short, else mapped from files without a name, which go with the process at the latest."""
 
     def __init__(self, memory_rows: int) -> None:
-        self.memory_rows, self.folder = memory_rows, tempfile.TemporaryDirectory(prefix="induced-")
-        self.spilled = 0
+        self.memory_rows, self.files, self.spilled = memory_rows, [], 0
+
+    def file(self):
+        self.files.append(tempfile.TemporaryFile(prefix="induced-"))
+        return self.files[-1]
 
     def array(self, size: int, dtype: type) -> np.ndarray:
         if size <= self.memory_rows:
             return np.zeros(size, dtype)
         self.spilled += size
-        file = tempfile.TemporaryFile(dir=self.folder.name)
+        file = self.file()
         file.truncate(size * np.dtype(dtype).itemsize)
         return np.memmap(file, dtype, "r+", shape=(size,))
 
     def close(self) -> None:
-        self.folder.cleanup()
+        for file in self.files:
+            file.close()
 
 
 class BlockQueue:
@@ -51,7 +56,7 @@ class BlockQueue:
     def __init__(self, store: Store, edges: np.ndarray, single: bool) -> None:
         self.store, self.edges, self.single = store, edges, single  # first symbol of each range but the first
         self.blocks: list[list] = [[] for _ in range(len(edges) + 1)]
-        self.file, self.written, self.rows = tempfile.TemporaryFile(dir=store.folder.name), 0, 0
+        self.file, self.written, self.rows = None, 0, 0
 
     def push(self, keys: np.ndarray, positions: np.ndarray) -> None:
         """Rows whose keys do not fall for equal symbols, neither here nor against earlier calls."""
@@ -71,6 +76,7 @@ class BlockQueue:
             self._spill()
 
     def _spill(self) -> None:
+        self.file = self.file or self.store.file()
         for blocks in self.blocks:
             held = [b for b in blocks if isinstance(b, np.ndarray)]
             if held:
