@@ -136,7 +136,7 @@ def fitted_weights(rows: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
 
 
 def _training(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Texts and labels of at most ``rows`` labelled documents outside the held-out fold."""
+    """Distinct texts and labels of at most ``rows`` labelled documents outside the held-out fold."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id IS NOT NULL AND toxic IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
@@ -144,7 +144,8 @@ def _training(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    return texts.join(F.broadcast(known), "doc_id").select("text", "toxic")
+    # A text counts once: its copies are no further evidence.
+    return texts.join(F.broadcast(known), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def learned_lexicon(training: DataFrame) -> dict[str, float]:
@@ -166,11 +167,12 @@ def learned_lexicon(training: DataFrame) -> dict[str, float]:
         return {}
     counted = written(training.mapInArrow(count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "toxic-terms")
     base, tested = bad / total, math.log(max(counted.count(), 1))
+    least = max(3.0, 0.5 * math.log(2 * (total - bad)))  # grows with the clean texts that could have held the term
     p = F.col("toxic") / F.col("n")
     surprise = F.col("toxic") * F.log(p / base) + F.when(p < 1, (F.col("n") - F.col("toxic")) * F.log((1 - p) / (1 - base))).otherwise(0)
     odds = F.log((F.col("toxic") + 0.5) / bad) - F.log((F.col("n") - F.col("toxic") + 0.5) / (total - bad))
     rows = (
-        counted.where("toxic > 0").withColumn("odds", odds).where((p > 0.5) & (surprise > tested + 2.3) & (F.col("odds") > 3))
+        counted.where("toxic > 0").withColumn("odds", odds).where((p > 0.5) & (surprise > tested + 2.3) & (F.col("odds") > least) & (F.col("toxic") >= 0.01 * bad))
         .orderBy(F.desc("odds"), "term").limit(LEXICON_ROWS).select("term", "odds").collect()
     )
     forget(counted)
