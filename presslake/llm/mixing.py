@@ -13,8 +13,6 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2
 #: Words that the knapsack fits; what lies above is spread evenly over all lengths.
 FITTED = 1 << 16
-#: Distinct lengths and pieces of a length that the knapsack may use.
-FIT_LENGTHS, FIT_COUNT = 256, 1 << 14
 #: Documents of one source and length that are ranked together.
 RANKED = 1 << 16
 KEY = ["no_source", "source"]
@@ -27,9 +25,9 @@ def word_count(text: Column) -> Column:
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come closest to ``budget`` from below.
 
-    All but about ``FITTED`` words are spread evenly over the lengths; a bounded knapsack over
-    up to ``FIT_LENGTHS`` of the lengths that are left then fits the rest, by sets of reachable
-    sums held as bits of one integer.
+    All but about ``FITTED`` words are spread evenly over the lengths; a bounded knapsack over all
+    lengths and documents that are left then fits the rest, which is at most ``2 * FITTED``. For
+    each sum it holds the step that first reached it, so memory does not grow with the lengths.
     """
     order = np.argsort(-lengths, kind="stable")
     size, left = lengths[order].astype(np.int64), counts[order].astype(np.int64)
@@ -51,21 +49,29 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         more = min(int(left[i]), (rest - FITTED) // int(size[i]))
         taken[i], left[i], rest = taken[i] + more, left[i] - more, rest - more * int(size[i])
     usable = np.flatnonzero((left > 0) & (size <= rest))
-    if len(usable) > FIT_LENGTHS:
-        usable = usable[np.linspace(0, len(usable) - 1, FIT_LENGTHS).astype(int)]
-    window, reachable, steps = (1 << (rest + 1)) - 1, 1, []
+    if rest > 2 * FITTED:  # what is left is longer than rest - FITTED, so one document fits at most
+        taken[usable[:1]] += 1
+        usable = usable[:0]
+        rest = 0
+    reached, step_of, steps = np.zeros(rest + 1, bool), np.zeros(rest + 1, np.int64), []
+    reached[0] = True
     for i in usable.tolist():
-        many, piece = min(int(left[i]), FIT_COUNT), 1
-        while many > 0 and not reachable >> rest & 1:
+        many, piece = min(int(left[i]), rest // int(size[i])), 1
+        while many > 0 and not reached[rest]:
             piece_count = min(piece, many)
-            steps.append((i, piece_count, reachable))
-            reachable |= reachable << (piece_count * int(size[i])) & window
+            words = piece_count * int(size[i])
+            new = words + np.flatnonzero(reached[: rest + 1 - words] & ~reached[words:])
+            step_of[new] = len(steps)
+            reached[new] = True
+            steps.append((i, piece_count, words))
             many, piece = many - piece_count, piece * 2
-    at = reachable.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += n
-            at -= n * int(size[i])
+        if reached[rest]:
+            break
+    at = int(np.flatnonzero(reached)[-1])
+    while at > 0:  # the sum before a step was reached by an earlier one
+        i, n, words = steps[step_of[at]]
+        taken[i] += n
+        at -= words
     out = np.zeros(len(lengths), np.int64)
     out[order] = taken
     return out

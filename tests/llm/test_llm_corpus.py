@@ -63,6 +63,20 @@ def test_fitted_counts(seed):
             assert budget - (lengths * k).sum() <= max(lengths.min(), budget // 1000)
 
 
+@pytest.mark.parametrize("lengths, counts, budget", [
+    (np.arange(1, 401), np.full(400, 2), 155_000),  # more lengths than the knapsack once used
+    (np.array([1]), np.array([100_000]), 90_000),  # more documents of one length
+    (np.array([2, 3]), np.array([60_000, 60_000]), 200_001),
+    (np.arange(2, 3000, 2), np.full(1499, 1), 2_000_001),  # odd: one word below is the closest
+    (np.array([400_000, 300_000, 5]), np.array([1, 1, 2]), 350_003),  # documents longer than the fitted part
+])
+def test_fit_uses_all_that_is_left(lengths, counts, budget):
+    k = mixing.fit_counts(lengths, counts, budget)
+    assert np.all((k >= 0) & (k <= counts))
+    short = {2_000_001: 1, 350_003: 50_003 - 10}.get(budget, 0)
+    assert budget - (lengths * k).sum() == short
+
+
 def test_hot_lengths_are_ranked_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANKED", 7)
     docs = spark.createDataFrame([(i, "a b c", "s") for i in range(100)] + [(i, "a b", "t") for i in range(100, 130)], "doc_id long, text string, source string")
