@@ -4,7 +4,8 @@ Items are partitioned by their number of shingles. For the class of up to u shin
 is cut into domains of 2u shingles, each beginning u after the one before: a passage of an item's
 length lies whole in one of them, however long the document, so the Jaccard similarity of an
 item and its domain has a floor set by the class and not by the document. The minima of all
-classes are put together from those of blocks of ``BLOCK`` shingles.
+classes are put together from those of blocks of ``BLOCK`` shingles. Items of few distinct
+shingles have no such floor; every shingle of a document is looked up among theirs instead.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from presslake.llm.words import LONG, WORDS, mixed, prefix_sums, range_hashes, w
 
 SHINGLE = 5
 CONTAINED = 0.8
-#: Minima of an item and a domain; one that agrees makes a candidate. At a containment of 0.8
-#: the least similar domain has a Jaccard similarity of 0.8 / (4 + 0.2) = 0.19, so all HASHES
-#: differ with a chance of 0.81 ** 48, about 4e-5; for a whole item it is 0.75 ** 48, 1e-6.
+#: Minima of an item and a domain; one that agrees makes a candidate. Items searched so have more
+#: distinct shingles than half their class bound. At a containment of 0.8 in one passage of the
+#: item's length the least similar domain has a Jaccard similarity of 0.8 / (4 + 0.2) = 0.19, so
+#: all HASHES differ with a chance of 0.81 ** 48, about 4e-5; for a whole item it is 0.75 ** 48, 1e-6.
 HASHES = 48
 BLOCK = 8
+#: Items of at most so many distinct shingles, or of at most half their class bound, are looked up exactly.
+FEW = 8
 #: Items and bytes of one pass; more items are searched in several passes over the documents.
 PASS_ITEMS, PASS_BYTES = 20_000, 16 << 20
 
@@ -70,20 +74,54 @@ class _Table:
                 yield position, item
 
 
+class _Lookup:
+    """All shingle hashes of the items of few distinct shingles, and a filter of their low bits."""
+
+    def __init__(self, members: list[tuple[int, np.ndarray]]) -> None:
+        hashes = np.concatenate([h for _, h in members])
+        items = np.repeat([i for i, _ in members], [len(h) for _, h in members])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.items = hashes[order], items[order]
+        self.sizes = np.zeros(int(items.max()) + 1, np.int64)
+        self.sizes[[i for i, _ in members]] = [len(h) for _, h in members]
+        self.mask = np.uint32((1 << max(16, len(hashes).bit_length() + 3)) - 1)
+        self.filter = np.zeros(int(self.mask) + 1, bool)
+        self.filter[hashes & self.mask] = True
+
+    def hits(self, hashes: np.ndarray, owner: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+        """Owners of hashes with the items of which they have a share of at least ``least``."""
+        at = np.flatnonzero(self.filter[hashes & self.mask])
+        at = at[self.hashes[np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)] == hashes[at]]
+        pairs = np.unique((owner[at].astype(np.uint64) << np.uint64(32)) | hashes[at])
+        owners, found = (pairs >> np.uint64(32)).astype(np.int64), pairs.astype(np.uint32)
+        low, high = (np.searchsorted(self.hashes, found, side=side) for side in ("left", "right"))
+        many = high - low
+        entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - low, many)
+        both, shared = np.unique(np.repeat(owners, many) * len(self.sizes) + self.items[entry], return_counts=True)
+        owners, items = np.divmod(both, len(self.sizes))
+        enough = shared >= least * self.sizes[items]
+        yield from zip(owners[enough].tolist(), items[enough].tolist())
+
+
 class ItemIndex:
-    """Minima of items by width and class, and their shingles for the exact check."""
+    """Minima of items by width and class, hashes of those of few shingles, and all their shingles for the exact check."""
 
     def __init__(self, items: list[tuple[int | None, bytes]]) -> None:
-        self.items, by_class = [], {}
+        self.items, by_class, few = [], {}, {}
         for item_id, text in items:
             words = text.lower().split()
             width = min(SHINGLE, len(words))
             if width:
-                wanted = shingles(words, width)
-                hashes = self._short(_shingle_hashes(b" ".join(words), width))
-                minima = np.array([(hashes * f).min() for f in _FACTORS], np.uint32)
-                by_class.setdefault(width, {}).setdefault(size_class(len(words) - width + 1), []).append((len(self.items), minima))
+                wanted, bound = shingles(words, width), size_class(len(words) - width + 1)
+                hashes = _shingle_hashes(b" ".join(words), width)
+                if len(wanted) <= max(FEW, bound // 2):
+                    few.setdefault(width, []).append((len(self.items), self._short(np.unique(hashes))))
+                else:
+                    hashes = self._short(hashes)
+                    minima = np.array([(hashes * f).min() for f in _FACTORS], np.uint32)
+                    by_class.setdefault(width, {}).setdefault(bound, []).append((len(self.items), minima))
                 self.items.append((item_id, width, wanted))
+        self.lookups = {width: _Lookup(members) for width, members in few.items()}
         self.tables = {}
         for width, classes in by_class.items():
             for bound, members in sorted(classes.items()):
@@ -94,16 +132,22 @@ class ItemIndex:
     def _short(hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(32)).astype(np.uint32)
 
-    def candidates(self, texts: list[bytes]) -> set[tuple[int, int]]:
-        """Positions of lower-cased texts and of items that agree in a minimum of some domain."""
+    def candidates(self, texts: list[bytes], least: float) -> set[tuple[int, int]]:
+        """Positions of lower-cased texts and of items that agree in a minimum of some domain, or in enough shingle hashes."""
         found: set[tuple[int, int]] = set()
-        for width, classes in self.tables.items():
+        for width in self.tables.keys() | self.lookups.keys():
+            classes = self.tables.get(width, {})
             parts = [self._short(_shingle_hashes(t, width)) for t in texts]
             sizes = np.array([len(x) for x in parts])
             filled = np.flatnonzero(sizes)
             if not len(filled):
                 continue
             hashes, sizes = np.concatenate(parts), sizes[filled]
+            if width in self.lookups:
+                owner = np.repeat(filled, sizes)
+                found.update(self.lookups[width].hits(hashes, owner, least))
+            if not classes:
+                continue
             blocks = -(-sizes // BLOCK)
             first = np.cumsum(blocks) - blocks  # number of each text's first block
             text = np.repeat(np.arange(len(sizes)), blocks)
@@ -134,7 +178,7 @@ class ItemIndex:
         """Position of the text, item, shared and all shingles, of the items that a text contains."""
         texts = [t.lower() for t in texts]
         out, at, own = [], None, {}
-        for text, i in sorted(self.candidates(texts)):
+        for text, i in sorted(self.candidates(texts, least)):
             if text != at:
                 at, words, own = text, texts[text].split(), {}
             item_id, width, wanted = self.items[i]

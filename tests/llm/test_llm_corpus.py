@@ -121,6 +121,16 @@ def test_contained_items(spark):
     assert contamination.contained_items(table_.limit(0), benchmark).collect() == []
 
 
+def test_items_of_few_shingles_are_never_missed():
+    """One and two shingles, and repeated words, in documents of which one domain holds them."""
+    r = random.Random(12)
+    items = [(i, " ".join("q%d" % r.randrange(10**6) for _ in range(5 + i % 2))) for i in range(600)]
+    items += [(600 + i, " ".join(["r%d" % i] * 54)) for i in range(200)]
+    index = contamination.ItemIndex([(i, t.encode()) for i, t in items])
+    texts = [(t + " " + prose(r, 60)).encode() for _, t in items]
+    assert [(at, i) for at, i, *_ in index.matches(texts, 0.8)] == [(i, i) for i, _ in items]
+
+
 def test_items_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(contamination, "PASS_ITEMS", 2)
     r = random.Random(6)
