@@ -32,8 +32,8 @@ from presslake.llm.words import BYTES, WORDS, prefix_sums, range_hashes, sliding
 #: that occurs at least twice, weights counted.
 Finder = Callable[[list[bytes], np.ndarray, int], list[np.ndarray]]
 
-KEY = ["d", "th"]
-RUN = "d long, th int, start long, n long, anchor long, hash long, twice boolean"
+KEY = ["d", "th", "tl"]
+RUN = "d long, th long, tl long, start long, n long, anchor long, hash long, twice boolean"
 
 
 @dataclass(frozen=True)
@@ -85,10 +85,15 @@ class Units:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with a key that tells rows with the same id apart unless their texts agree too."""
+    """Documents with a key that tells rows with the same id apart unless their texts agree too.
+
+    The key holds two 64-bit hashes of the text, the second seeded by its length, so that
+    different texts under one id agree with a chance of 2 ** -128 a pair.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     number = F.col("doc_id").cast("long")
-    return docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(-(1 << 63))).alias("d"), F.hash(text).alias("th"), text.alias("text"))
+    hashes = F.xxhash64(text).alias("th"), F.xxhash64(F.octet_length(text), text).alias("tl")
+    return docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(-(1 << 63))).alias("d"), *hashes, text.alias("text"))
 
 
 def _runs(keyed: DataFrame, units: Units) -> DataFrame:
@@ -101,11 +106,11 @@ def _runs(keyed: DataFrame, units: Units) -> DataFrame:
             starts, sizes, anchors, hashes, twice = (np.concatenate([f[i] for f in found]) for i in range(5))
             row = np.repeat(np.arange(len(found)), counts)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(starts), pa.array(sizes),
+                *(batch.column(i).take(pa.array(row)) for i in range(len(KEY))), pa.array(starts), pa.array(sizes),
                 pa.array(anchors.astype(np.uint64).view(np.int64)), pa.array(hashes.astype(np.uint64).view(np.int64)), pa.array(twice.astype(bool)),
-            ], ["d", "th", "start", "n", "anchor", "hash", "twice"])
+            ], [*KEY, "start", "n", "anchor", "hash", "twice"])
 
-    return keyed.select("d", "th", "text").mapInArrow(cut, RUN)
+    return keyed.select(*KEY, "text").mapInArrow(cut, RUN)
 
 
 def _segments(keyed: DataFrame, chosen: DataFrame, units: Units) -> DataFrame:
@@ -113,19 +118,23 @@ def _segments(keyed: DataFrame, chosen: DataFrame, units: Units) -> DataFrame:
     lists = chosen.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "anchor", "hash", "weight")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows that are equal give their segments once a task
         for batch in batches:
             rows = []
-            for text, runs in zip(binary(batch, "text"), batch.column(1).to_pylist()):
+            for text, runs, *key in zip(binary(batch, "text"), *(batch.column(i).to_pylist() for i in range(1, 2 + len(KEY)))):
+                if tuple(key) in seen:
+                    continue
+                seen.add(tuple(key))
                 starts, ends = units.bounds(text)
                 for r in runs:
                     last = r["start"] + r["n"] + units.window - 1
                     rows.append((r["anchor"], r["hash"], r["weight"], r["n"], units.segment(text, starts, ends, r["start"], last)))
-            columns = list(zip(*rows))
+            columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.binary())], ["anchor", "hash", "weight", "n", "segment"]
             )
 
-    return keyed.select(*KEY, "text").join(lists, KEY).select("text", "runs").mapInArrow(cut, "anchor long, hash long, weight long, n long, segment binary")
+    return keyed.select(*KEY, "text").join(lists, KEY).select("text", "runs", *KEY).mapInArrow(cut, "anchor long, hash long, weight long, n long, segment binary")
 
 
 def _searched(segments: DataFrame, units: Units, find: Finder, shard_bytes: int) -> DataFrame:
@@ -186,7 +195,7 @@ def _searched_hot(hot: DataFrame, units: Units, find: Finder, shard_bytes: int)
 def repeated_ranges(
     docs: DataFrame, units: Units, find: Finder, shard_bytes: int, hot_segments: int = 4096
 ) -> tuple[DataFrame, DataFrame]:
-    """The documents with their keys ``d, th``, and ranges ``a, b`` of window starts that occur elsewhere too."""
+    """The documents with their keys, and ranges ``a, b`` of window starts that occur elsewhere too."""
     ready_for_python(docs.sparkSession)
     keyed = _keyed(docs)
     runs = written(_runs(keyed, units), "passages-runs")
@@ -194,8 +203,8 @@ def repeated_ranges(
     anchors = runs.groupBy("anchor").agg(seen.alias("seen")).where("seen > 1").select("anchor")
     again = written(runs.join(anchors, "anchor").select(*KEY, "start", "n", "anchor", "hash"), "passages-again")
     forget(runs)
-    # One run stands for all with its segment. A row that the table holds several times gives
-    # its segments as often; the search takes one of them, the weight counts all.
+    # One run stands for all with its segment. A row that the table holds several times may give
+    # its segments once a task; the search takes one of them, the weight counts all.
     chosen = again.groupBy("anchor", "hash").agg(F.count("*").alias("weight"), F.min(F.struct(*KEY, "start", "n")).alias("r")).select("r.*", "anchor", "hash", "weight")
     segments = written(_segments(keyed, chosen, units), "passages-segments")
     per_anchor = segments.groupBy("anchor").agg(F.count("*").alias("segments")).where(F.col("segments") > hot_segments).select("anchor")
@@ -216,8 +225,8 @@ def repeated_ranges(
 
 
 def with_ranges(keyed: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Documents and, per row, the list of their ranges. A list has no more ranges than its document has windows."""
-    pieces = ranges.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    """Documents and, per row, the list of their ranges. Equal rows share one list, which has no more ranges than a document has windows."""
+    pieces = ranges.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     few = ranges.limit(200_001).count() <= 200_000
     return keyed.join(F.broadcast(pieces) if few else pieces, KEY, "left")
 

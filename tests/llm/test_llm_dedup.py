@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 import xxhash
 from llm_data import repeated_units, rows, table, words
-from presslake.llm import fm_dedup, simhash_links, suffix_dedup
+from presslake.llm import fm_dedup, passages, simhash_links, suffix_dedup
 from presslake.llm.components import components
 from presslake.llm.induced_sorting import Store, sorted_suffixes
+from pyspark.sql import functions as F
 
 
 def plain_sort(text, cap):
@@ -64,6 +65,24 @@ def test_bytes_removed(spark, hot, memory):
     assert Counter(map(tuple, got.collect())) == want
 
 
+def test_rows_without_an_id_whose_short_hashes_agree(spark):
+    """Texts with one 32-bit hash keep their own ranges, and equal rows share one list of them."""
+    def known(i):
+        return " ".join("w%d" % (i * 131 + j * j) for j in range(50))
+
+    numbered = spark.range(300_000).selectExpr("id", "concat_ws(' ', transform(sequence(0, 49), j -> concat('w', cast(id * 131 + j * j AS string)))) AS text")
+    pair = numbered.groupBy(F.hash("text").alias("h")).agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").orderBy("h").first()["ids"][:2]
+    first, second = map(known, sorted(pair))
+    data = [(None, first), (None, second + " end")] + [(None, second)] * 20 + [(1, "before " + first)]
+    assert len({r[0] for r in spark.createDataFrame(data[:3:2], "d long, t string").select(F.hash("t")).collect()}) == 1
+    got = fm_dedup.without_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    assert Counter((r["n_words"], r["n_removed"]) for r in got.collect()) == {(50, 50): 21, (51, 50): 2}
+    units = passages.Units(words=True, window=35, gram=10)
+    keyed, ranges = passages.repeated_ranges(spark.createDataFrame(data, "doc_id long, text string"), units, fm_dedup.find_repeats, 20_000)
+    listed = passages.with_ranges(keyed, ranges).collect()
+    assert all(len(set(map(tuple, r["ranges"]))) == len(r["ranges"]) for r in listed)
+
+
 def test_removal_from_nothing(spark):
     assert fm_dedup.without_repeats(table(spark, [])).collect() == []
     assert suffix_dedup.without_repeated_bytes(table(spark, [])).collect() == []
