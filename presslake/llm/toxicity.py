@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers are composed. The lexical one reads characters and writes harm symbols
-(insults and threats with their learned weights); three more mark targets, negations and
-reported speech in the clause around a harm; the last reads the marked clause and writes one
-of ``KINDS`` and its modifier. A document is scored by the clauses it matches, never by words outside them.
+The lexical transducer reads characters and writes harm symbols, insults with their learned
+weights; the tokens of the clause around them become symbols too. Three machines for the scope
+of a negation, for reported speech and for a target are composed into one automaton (``ARCS``)
+that reads these symbols once, in order. Its harm arcs carry the weight of the term; the sums of
+the weights on a clause's path are its features by ``KINDS``. A document is scored by the clauses
+it matches, never by words outside them.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ TRAINING_ROWS = 20_000
 #: Entries of the learned lexicon.
 LEXICON_ROWS = 20_000
 PREFIXES = (4, 5, 6)
-#: A clause counts at most so often per kind.
-MOST_CLAUSES = 5
+#: The harms of a document count at most as so many average ones per kind, in steps of 1 / STEPS.
+MOST_HARMS, STEPS = 5, 8
 
 # Closed classes of the grammar, in four languages.
 TARGETS = set("you your yours yourself they them their he him she her people everyone du dich dir dein ihr euch sie ihnen tu te toi vous votre ils elles lui usted ustedes tus vosotros ellos ellas".split())
@@ -42,8 +44,19 @@ KINDS = ["insult", "insult_targeted", "insult_negated", "insult_reported", "thre
 #: What the constant and the weights of the symbols are drawn to where labels are few.
 PRIOR = np.array([-3.0, 3.0, 1.0, -1.5, -1.5, 4.0, -3.5])
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+TOKEN = re.compile(WORD.pattern + r"|[\"“”«»„]")
 CLAUSE_END = re.compile(r"[.,;:!?\n]")
 QUOTES = "\"“”«»„"
+#: The component machines: from a state and a symbol (target, negation, report, quote, other word, harm) to the next state.
+SCOPE = {(s, x): 3 if x == "negation" else s if x == "quote" else max(s - 1, 0) for s in range(4) for x in ("target", "negation", "report", "quote", "word", "harm")}
+REPORT = {(s, x): max(s, 1) if x == "report" else (0, 2, 1)[s] if x == "quote" else s for s in range(3) for x in ("target", "negation", "report", "quote", "word", "harm")}
+TARGET = {(s, x): int(s or x == "target") for s in range(2) for x in ("target", "negation", "report", "quote", "word", "harm")}
+#: Their composition: next state, and the mark that a harm read there gets.
+ARCS = {
+    ((a, b, c), x): ((SCOPE[a, x], REPORT[b, x], TARGET[c, x]), "reported" if b == 2 else "negated" if a else "plain")
+    for a in range(4) for b in range(3) for c in range(2) for x in ("target", "negation", "report", "quote", "word", "harm")
+}
+SYMBOLS = {w: x for x, closed in (("target", TARGETS), ("report", REPORTS), ("negation", NEGATIONS), ("quote", QUOTES)) for w in closed}
 
 
 def terms(text: str) -> set[str]:
@@ -57,65 +70,83 @@ class Grammar:
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.automaton = ahocorasick.Automaton()
-        entries: dict[str, list[tuple[int, bool]]] = {}
+        entries: dict[str, list[tuple[int, bool, float]]] = {}
+        average = sum(lexicon.values()) / len(lexicon) if lexicon else 1.0
         for term in sorted(lexicon):
-            entries.setdefault(term.rstrip("*"), []).append((0, term.endswith("*")))
+            entries.setdefault(term.rstrip("*"), []).append((0, term.endswith("*"), lexicon[term] / average))
         for term in THREATS - entries.keys():
-            entries[term] = [(1, False)]
+            entries[term] = [(1, False, 1.0)]
         for term, found in entries.items():
             self.automaton.add_word(term, (len(term), found))
         self.automaton.make_automaton()
 
-    def harms(self, text: str) -> list[tuple[int, int, int]]:
-        """Start, end and class (0 insult, 1 threat) of the harms in lower-cased text."""
+    def harms(self, text: str) -> list[tuple[int, int, int, float]]:
+        """Start, end, class (0 insult, 1 threat) and weight (1 on average) of the harms in lower-cased text."""
         found = {}
         for last, (size, entries) in self.automaton.iter(text):
             start, end = last - size + 1, last + 1
             if start and (text[start - 1].isalnum() or text[start - 1] == "'"):
                 continue
             inside = end < len(text) and text[end].isalnum()
-            for kind, prefix in entries:
+            for kind, prefix, weight in entries:
                 if prefix if inside else not prefix:
-                    found[start] = (start, end, kind)
+                    found[start] = (start, end, kind, weight)
         return [found[k] for k in sorted(found)]
 
-    def clauses(self, text: str) -> Counter:
-        """Number of matched clauses that have each symbol."""
+    def paths(self, text: str) -> Iterator[dict[str, float]]:
+        """For each clause with a harm that matches, the weights on its path by kind."""
         text = text.lower()
-        harms, out, at = self.harms(text), Counter(), 0
+        harms, at = self.harms(text), 0
         while at < len(harms):
-            start, end, _ = harms[at]
+            start, end = harms[at][:2]
             ends = [m.end() for m in CLAUSE_END.finditer(text, max(0, start - 400), start)]
             low = ends[-1] if ends else max(0, start - 400)
             stop = CLAUSE_END.search(text, end, end + 400)
             high = stop.start() if stop else min(len(text), end + 400)
-            inside = []
+            inside = {}
             while at < len(harms) and harms[at][0] < high:
-                inside.append(harms[at])
+                inside[harms[at][0]] = harms[at][2:]
                 at += 1
-            out.update(self._kinds(text, low, high, inside))
-        return out
+            kinds = self._path(text, low, high, inside)
+            if kinds:
+                yield kinds
 
     @staticmethod
-    def _kinds(text: str, low: int, high: int, harms: list[tuple[int, int, int]]) -> list[str]:
-        """What the clause automaton writes after reading targets, negations, reports and harms in order."""
-        first = harms[0][0]
-        before = WORD.findall(text, low, first)
-        around = before + WORD.findall(text, harms[-1][1], high)
-        insult = any(kind == 0 for _, _, kind in harms)
-        targeted = not TARGETS.isdisjoint(around)
-        reported = not REPORTS.isdisjoint(before) and any(q in text[low:high] for q in QUOTES)
-        negated = not NEGATIONS.isdisjoint(before[-3:])
+    def _path(text: str, low: int, high: int, harms: dict[int, tuple[int, float]]) -> dict[str, float]:
+        """What the composed automaton writes for a clause, from its harms (class and weight by position)."""
+        state, read = (0, 0, 0), [Counter(), Counter()]
+        for m in TOKEN.finditer(text, low, high):
+            harm = harms.get(m.start())
+            state, mark = ARCS[state, "harm" if harm else SYMBOLS.get(m.group(), "word")]
+            if harm:
+                read[harm[0]][mark] += harm[1]
+        insult, threat = read
+        out = {}
         if insult:
-            said = "insult_reported" if reported else "insult_negated" if negated else "insult_targeted" if targeted else None
-            return ["insult", said] if said else ["insult"]
-        if targeted:
-            return ["threat", "threat_held_back"] if negated or reported else ["threat"]
-        return []
+            out["insult"] = insult.total()
+            out |= {f"insult_{mark}": insult[mark] for mark in ("negated", "reported") if insult[mark]}
+            if state[2] and insult["plain"]:
+                out["insult_targeted"] = insult["plain"]
+        if threat and state[2]:
+            out["threat"] = threat.total()
+            if threat["negated"] or threat["reported"]:
+                out["threat_held_back"] = threat["negated"] + threat["reported"]
+        return out
+
+    def clauses(self, text: str) -> Counter:
+        """Number of matched clauses that have each symbol."""
+        return Counter(kind for kinds in self.paths(text) for kind in kinds)
 
     def features(self, text: str) -> tuple[int, ...]:
-        found = self.clauses(text)
-        return tuple(min(found[k], MOST_CLAUSES) for k in KINDS)
+        """Weights by kind over all clauses, in steps of 1 / STEPS."""
+        found = Counter()
+        for kinds in self.paths(text):
+            found.update(kinds)
+        return tuple(min(round(found[k] * STEPS), MOST_HARMS * STEPS) for k in KINDS)
+
+
+def _inputs(features: tuple[int, ...]) -> list[float]:
+    return [1.0, *np.sqrt(np.array(features) / STEPS)]
 
 
 def fitted_weights(rows: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
@@ -123,7 +154,7 @@ def fitted_weights(rows: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
     w = PRIOR.copy()
     if not rows:
         return w
-    x = np.array([[1, *np.sqrt(f)] for f, _, _ in rows], float)
+    x = np.array([_inputs(f) for f, _, _ in rows], float)
     n, y = (np.array([r[i] for r in rows], float) for i in (1, 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -206,7 +237,7 @@ def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", training
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)
         for batch in batches:
-            x = np.array([[1, *np.sqrt(grammar.features(t or ""))] for t in batch.column(at).to_pylist()], float).reshape(-1, len(PRIOR))
+            x = np.array([_inputs(grammar.features(t or "")) for t in batch.column(at).to_pylist()], float).reshape(-1, len(PRIOR))
             score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 

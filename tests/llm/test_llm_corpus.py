@@ -185,6 +185,16 @@ def test_clauses_of_the_grammar():
     assert grammar.clauses("blar azurk zurky " + "word " * 300) == {}
 
 
+def test_learned_weights_and_order_count():
+    grammar = toxicity.Grammar({"zurk": 6.0, "blarg": 2.0})
+    strong, weak = (grammar.features(f"a {word} here") for word in ("zurk", "blarg"))
+    assert strong[0] == 3 * weak[0] > 0
+    assert list(grammar.paths("you blarg zurk")) == [{"insult": 2.0, "insult_targeted": 2.0}]
+    # A quote that is closed, or opened after the harm, does not report it.
+    assert grammar.clauses("he said \"hello\" to the zurk") == {"insult": 1, "insult_targeted": 1}
+    assert grammar.clauses("one wrote zurk on \"paper\"") == {"insult": 1}
+
+
 def _copies(spark, n, tmp_path):
     docs, labels, _ = labelled(spark, n)
     extra = spark.createDataFrame([r[:5] for r in rows()], "doc_id long, text string, lang string, source string, n_chars long")
