@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslake.llm.contamination import contained_items
+from presslake.llm.conversation_repair import repaired
 from presslake.llm.merkle import manifest
 from presslake.llm.fm_dedup import without_repeats
 from presslake.llm.mixing import mixed
@@ -71,10 +72,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_token_counts, op2_source_mixing, op3_fm_index_dedup, op4_benchmark_decontamination, op5_toxicity, op6_warc_writer,
         op7_suffix_array_dedup, op8_simhash_near_dedup, op9_quality_rules, op10_packed_token_ids,
-        op11_merkle_manifest,
+        op11_merkle_manifest, op12_conversation_repair,
     ]
     return {f.__name__: f for f in found}
