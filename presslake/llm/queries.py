@@ -11,6 +11,7 @@ from presslake.llm.contamination import contained_items
 from presslake.llm.conversation_repair import repaired
 from presslake.llm.merkle import manifest
 from presslake.llm.fm_dedup import without_repeats
+from presslake.llm.licenses import licence_scan
 from presslake.llm.mixing import mixed
 from presslake.llm.packed_ids import packed_documents
 from presslake.llm.quality_ledger import judged, ledger
@@ -76,10 +77,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(_table(spark, sf_dir, "conversations"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_token_counts, op2_source_mixing, op3_fm_index_dedup, op4_benchmark_decontamination, op5_toxicity, op6_warc_writer,
         op7_suffix_array_dedup, op8_simhash_near_dedup, op9_quality_rules, op10_packed_token_ids,
-        op11_merkle_manifest, op12_conversation_repair,
+        op11_merkle_manifest, op12_conversation_repair, op13_license_scan,
     ]
     return {f.__name__: f for f in found}
