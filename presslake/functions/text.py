@@ -54,18 +54,112 @@ def null_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+# A character that marks openers which can no longer match (see ``drop_non_content``). Text that
+# already holds it takes the plain path, so results never depend on it.
+MARK = "\ue000"
+_NAMES = NON_CONTENT_ELEMENTS.split("|")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(v)`` with ``v`` evaluated once, however often ``body`` refers to it (a lambda
+    variable of a one-element ``transform``): layers of text work are not computed again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _split_at(c: Column, place: Column) -> tuple[Column, Column]:
+    """Text up to ``place`` (1-based, inclusive) and the rest."""
+    return F.substring(c, F.lit(1), place), F.substring(c, place + 1, F.length(c))
+
+
+def _last_end(c: Column, reversed_pattern: str) -> Column:
+    """1-based place of the last character of the rightmost match, 0 if none; ``reversed_pattern``
+    matches the reversed text, so one forward search from the end finds it."""
+    return _let(F.regexp_instr(F.reverse(c), F.lit(reversed_pattern)),
+                lambda found: F.when(found > 0, F.length(c) - found + 1).otherwise(F.lit(0)))
+
+
+def _last_gt(c: Column) -> Column:
+    return F.length(c) - F.length(F.substring_index(c, ">", -1))
+
+
+def _before_last_gt(c: Column, pattern: str, replacement: str) -> Column:
+    """``regexp_replace`` for a pattern whose matches end at the first ``>`` after their start:
+    none starts after the last ``>``, so only the text up to it is searched. Otherwise every start
+    without a ``>`` after it would scan to the end of the text (quadratic)."""
+    def cut(x: Column) -> Column:
+        return _let(_last_gt(x), lambda place: F.concat(F.regexp_replace(_split_at(x, place)[0], pattern, replacement), _split_at(x, place)[1]))
+
+    return _let(c, cut)
+
+
 def looks_like_html(c: Column) -> Column:
-    return (c.contains("<") & c.rlike(TAG)) | (c.contains("&") & c.rlike(ENTITY))
+    return _let(c, lambda x: (x.contains("<") & F.substring(x, F.lit(1), _last_gt(x)).rlike(TAG)) | (x.contains("&") & x.rlike(ENTITY)))
+
+
+def _marked_dead_elements(c: Column) -> Column:
+    """An opener of script, style, noscript or template after the end of the last closing tag of
+    its name can match nothing; its ``<`` becomes ``MARK`` (one character for one, so places stay)."""
+    def marker(name: str):
+        def mark(x: Column) -> Column:
+            def split(last: Column) -> Column:
+                head, tail = _split_at(x, last)
+                return F.concat(head, F.regexp_replace(tail, rf"(?i)<(?={name}{_WORD_END})", MARK))
+
+            return _let(_last_end(x, rf"(?i)>{WS}*{name[::-1]}/<"), split)
+
+        return mark
+
+    for name in _NAMES:
+        c = _let(c, marker(name))
+    return c
+
+
+def _marked_dead_comments(c: Column) -> Column:
+    """A ``<!--`` that has no ``-->`` starting four or more characters after it can match nothing."""
+    def mark(x: Column) -> Column:
+        found = F.instr(F.reverse(x), ">--")
+        cut = F.when(found > 0, F.greatest(F.length(x) - found - 5, F.lit(0))).otherwise(F.lit(0))
+
+        def split(place: Column) -> Column:
+            head, tail = _split_at(x, place)
+            return F.concat(head, F.regexp_replace(tail, "<!--", MARK + "!--"))
+
+        return _let(cut, split)
+
+    return _let(c, mark)
+
+
+def _code_out(x: Column, fast: bool) -> Column:
+    if not fast:
+        return F.regexp_replace(x, _NON_CONTENT, " ")
+    return F.translate(F.regexp_replace(_marked_dead_elements(x), _NON_CONTENT, " "), MARK, "<")
 
 
 def drop_non_content(c: Column) -> Column:
-    return F.regexp_replace(c, _NON_CONTENT, " ")
+    """Script, style, noscript and template elements replaced by a space.
+
+    Linear in the text: an opener whose element never closes would make the lazy pattern scan the
+    rest of the text once per opener, so such openers are marked first and unmarked after. Text
+    that holds ``MARK`` itself takes the plain pattern (same result, not linear).
+    """
+    return _let(c, lambda x: F.when(x.contains(MARK), _code_out(x, False)).otherwise(_code_out(x, True)))
 
 
 def drop_tags(c: Column) -> Column:
-    """Code, block tags, comments, other tags; each pass sees the one before."""
-    spaced = F.regexp_replace(drop_non_content(c), _BLOCK_TAG, " ")
-    return F.regexp_replace(F.regexp_replace(spaced, COMMENT, " "), TAG, "")
+    """Code, block tags, comments, other tags; each pass sees the one before.
+
+    Every pass is linear in the text (see ``drop_non_content``, ``_before_last_gt``); comments
+    that never close are marked like code elements.
+    """
+    def passes(x: Column, fast: bool) -> Column:
+        spaced = _before_last_gt(_code_out(x, fast), _BLOCK_TAG, " ")
+        if fast:
+            spaced = F.translate(F.regexp_replace(_marked_dead_comments(spaced), COMMENT, " "), MARK, "<")
+        else:
+            spaced = F.regexp_replace(spaced, COMMENT, " ")
+        return _before_last_gt(spaced, TAG, "")
+
+    return _let(c, lambda x: F.when(x.contains(MARK), passes(x, False)).otherwise(passes(x, True)))
 
 
 def _code_point(token: str) -> str:

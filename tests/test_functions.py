@@ -187,3 +187,52 @@ def test_content_prefix_counts_utf16_units(spark, body):
 def test_schemeless(spark):
     check(spark, [("http://dock.io/q", "dock.io/q"), ("https://dock.io", "dock.io")],
           lambda df: df.withColumn("got", fingerprints.schemeless(F.col("given"))))
+
+
+# The patterns as plain regular expressions: the cleaning must give exactly their results.
+def _plain_code(c):
+    return F.regexp_replace(c, text._NON_CONTENT, " ")
+
+
+def _plain_tags(c):
+    spaced = F.regexp_replace(_plain_code(c), text._BLOCK_TAG, " ")
+    return F.regexp_replace(F.regexp_replace(spaced, text.COMMENT, " "), text.TAG, "")
+
+
+_PIECES = [
+    "<script>", "</script>", "<SCRIPT a='x'>", "</Script >", "<style>", "</style>", "<noscript>", "</noscript>", "<template>",
+    "</template>", "<!--", "-->", "<!-->", "<p>", "</p>", "<div class=a>", "<br/>", "<a href='x'>", "</a>", "<b", ">", "<", "x",
+    " y ", "&amp;", "\n", "<scripts>", "<script a='</script>", "<!---->", "é", "<script <style>", "</style\t>", "", text.MARK,
+]
+
+
+def test_html_cleaning_equals_plain_patterns(spark):
+    import random
+
+    r = random.Random(17)
+    rows = [("".join(r.choice(_PIECES) for _ in range(r.randrange(0, 40))),) for _ in range(3000)] + [(None,), ("",)]
+    got = spark.createDataFrame(rows, "h string").select(
+        text.drop_non_content(F.col("h")).alias("a"), _plain_code(F.col("h")).alias("b"),
+        text.drop_tags(F.col("h")).alias("c"), _plain_tags(F.col("h")).alias("d"),
+        text.looks_like_html(F.col("h")).alias("e"),
+        ((F.col("h").contains("<") & F.col("h").rlike(text.TAG)) | (F.col("h").contains("&") & F.col("h").rlike(text.ENTITY))).alias("f"),
+    ).collect()
+    assert all(row.a == row.b and row.c == row.d and row.e == row.f for row in got)
+
+
+def test_html_cleaning_grows_linearly(spark):
+    import time
+
+    units = ["<script>", "<!-- ", "<a", "<p ", "<style>", "<template "]
+    seconds = {}
+    for n in (20_000, 80_000):
+        # Openers that never close, then the closing tag of another element.
+        rows = [(unit * n + "<script>x</script>",) for unit in units]
+        df = spark.createDataFrame(rows, "h string").select("h")
+        started = time.time()
+        df.select(F.sum(F.length(text.drop_tags(F.col("h")))), F.sum(F.length(text.drop_non_content(F.col("h"))))).collect()
+        text_clean = text.with_clean_text(df, {"body": "h"}).select(F.sum(F.length("body"))).collect()
+        seconds[n] = time.time() - started
+        assert text_clean
+    # Four times the text: far less than sixteen times the time (plain patterns take minutes at 80,000).
+    assert seconds[80_000] < 4 * seconds[20_000] + 10
