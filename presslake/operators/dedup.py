@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # Row keys of up to this many rows (8 to 40 bytes each) may be broadcast.
 BROADCAST_ROWS = 1_000_000
+# Buckets of a stored fingerprint index: files per write, and tasks of a join against it.
+FINGERPRINT_BUCKETS = 64
 
 
 def first_by_fingerprint(df: DataFrame, order: list[str]) -> DataFrame:
@@ -34,11 +36,27 @@ def canonical_mentions(stored: DataFrame) -> DataFrame:
     return first_wins(stored, ["created_at", "batch_id", "ordinal"])
 
 
+def write_fingerprint_index(stored: DataFrame, table: str, buckets: int = FINGERPRINT_BUCKETS) -> DataFrame:
+    """Appends the stored rows' fingerprints, with ``published_at`` for the dated filter, to a
+    catalog table bucketed and sorted by fingerprint, and returns that table.
+
+    A join on the fingerprint then finds the stored side already partitioned as it needs, so
+    only the batch is shuffled; the rows are dealt to their bucket before the write, so that a
+    write adds one file per bucket.
+    """
+    rows = stored.select("fingerprint", "published_at").where(F.col("fingerprint").isNotNull())
+    (rows.repartition(buckets, "fingerprint").write.bucketBy(buckets, "fingerprint").sortBy("fingerprint")
+     .mode("append").format("parquet").saveAsTable(table))
+    return stored.sparkSession.table(table)
+
+
 def already_stored(firsts: DataFrame, stored: DataFrame, firsts_rows: int | None = None) -> DataFrame:
     """Fingerprints of the batch that are stored already.
 
     The stored side is only scanned for its fingerprint column. A batch of known,
-    small size is sent to that scan instead of shuffling the whole table.
+    small size is sent to that scan instead of shuffling the whole table. Given the index of
+    ``write_fingerprint_index``, a larger batch is shuffled to the index's buckets and the index
+    is read in place.
     """
     probe = firsts.select("fingerprint")
     if firsts_rows is not None and firsts_rows <= BROADCAST_ROWS:

@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
+from presslake.operators.dedup import write_fingerprint_index
 from presslake.operators.profile import field_facts
 from presslake.plans.ingest import ingest, stage, stage_name
 from presslake.session import apply_settings, work_dir
@@ -65,6 +66,14 @@ def stored_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_mentions(spark, feed_table(spark, sf_dir))
 
 
+def stored_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored feed's fingerprints as a table bucketed by fingerprint (``dedup.write_fingerprint_index``)."""
+    app = "".join(ch if ch.isalnum() else "_" for ch in spark.sparkContext.applicationId)
+    name = f"presslake_fingerprints_{_name(sf_dir).replace('-', '_')}_{app}"
+    _once(spark, sf_dir, "fingerprints", lambda: write_fingerprint_index(stored_feed(spark, sf_dir), name))
+    return spark.table(name)
+
+
 def feed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"{_name(sf_dir)}/facts"
     _once(spark, sf_dir, "facts", lambda: stage(spark, field_facts(raw_feed(spark, sf_dir)), name))

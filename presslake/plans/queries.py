@@ -14,7 +14,7 @@ from presslake.operators.constraints import constraint_violations
 from presslake.operators.export import export_rows, listing
 from presslake.operators.normalize import normalize, rejected
 from presslake.plans import ingest as ingestion
-from presslake.plans.feed_store import CREATED_AT, feed_facts, feed_table, normalized_feed, raw_feed, stored_feed
+from presslake.plans.feed_store import CREATED_AT, feed_facts, feed_table, normalized_feed, raw_feed, stored_feed, stored_fingerprints
 from presslake.session import apply_settings, work_dir
 from presslake.plans import feed
 from presslake.sources import batches
@@ -314,12 +314,12 @@ def canonical_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def not_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First rows of the feed whose fingerprint no dated stored row has."""
     firsts = dedup.first_by_fingerprint(normalized_feed(spark, sf_dir).where(F.col("reason").isNull()), ["ordinal"])
-    return _printable(dedup.not_stored(firsts, search.dated(stored_feed(spark, sf_dir))))
+    return _printable(dedup.not_stored(firsts, search.dated(stored_fingerprints(spark, sf_dir))))
 
 
 def already_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = dedup.first_by_fingerprint(normalized_feed(spark, sf_dir).where(F.col("reason").isNull()), ["ordinal"])
-    return _printable(dedup.already_stored(firsts, search.dated(stored_feed(spark, sf_dir))))
+    return _printable(dedup.already_stored(firsts, search.dated(stored_fingerprints(spark, sf_dir))))
 
 
 def within_batch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,6 +15,8 @@ def spark():
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
+        # Catalog tables of the tests (fingerprint indexes) go to a folder of their own.
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="presslake-warehouse-"),
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
