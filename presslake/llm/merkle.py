@@ -155,11 +155,14 @@ def manifest(documents: DataFrame) -> DataFrame:
     fetched = wanted.join(all_nodes, ["tree", "level", "idx"])
     path = fetched.groupBy(F.col("lang_tree").alias("tree"), "block").agg(
         F.sort_array(F.collect_list(F.struct("phase", "level", "idx", "digest"))).alias("path"))
-    root_h = top_size.select(_heights(F.col("n")).alias("top_h"), F.lit(1).alias("_k"))
+    # Root and height of the top tree for every lang tree, joined on the top tree's id (-1).
+    top_info = (heights.select(F.col("tree").alias("lang_tree"), F.lit(-1).cast("long").alias("tree"))
+                .join(small_side(root.select("tree", F.col("digest").alias("root"))), "tree")
+                .join(small_side(top_size.select("tree", _heights(F.col("n")).alias("top_h"))), "tree")
+                .select(F.col("lang_tree").alias("tree"), "root", "top_h"))
     upper = (blocks.select("tree", "block", "h").join(path, ["tree", "block"], "left")
              .join(small_side(subroots.withColumnRenamed("digest", "subroot")), "tree")
-             .withColumn("_k", F.lit(1)).join(small_side(root.select(F.col("digest").alias("root"), F.lit(1).alias("_k"))), "_k")
-             .join(small_side(root_h), "_k").drop("_k"))
+             .join(small_side(top_info), "tree"))
     upper = written(upper, "merkle-paths")
 
     ready_for_python(spark)
