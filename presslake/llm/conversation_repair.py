@@ -44,7 +44,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,22 +99,23 @@ def repair(initials: list[str], fault: list[int]) -> tuple[int, str, list[tuple[
     keeps; empty for a delete), in order."""
     n = len(initials)
     # Suffix lower bounds: least cost from (row i, state s) to an accepted end.
-    bound = np.full((n + 1, 4), np.iinfo(np.int64).max // 4, np.int64)
-    for s in range(4):
-        bound[n, s] = 0 if s in ACCEPTED else INSERT * (2 if s == 1 else 1)
+    after = [STEP[(s, EXPECTED[s][0])] for s in range(4)]
+    bound = [None] * (n + 1)
+    bound[n] = [0 if s in ACCEPTED else INSERT * (2 if s == 1 else 1) for s in range(4)]
     for i in range(n - 1, -1, -1):
         cut = TRUNCATED if fault[i] == CUT else 0
+        below, here = bound[i + 1], []
         for s in range(4):
-            best = DELETE + bound[i + 1, s]
+            best = DELETE + below[s]
             if fault[i] not in (BLANK, DUPLICATE):
                 kept = STEP.get((s, initials[i]))
                 if kept is not None:
-                    best = min(best, KEEP + cut + bound[i + 1, kept])
-                best = min(best, REROLE + cut + bound[i + 1, STEP[(s, EXPECTED[s][0])]])
-            bound[i, s] = best
+                    best = min(best, KEEP + cut + below[kept])
+                best = min(best, REROLE + cut + below[after[s]])
+            here.append(best)
         for _ in range(4):
-            for s in range(4):
-                bound[i, s] = min(bound[i, s], INSERT + bound[i, STEP[(s, EXPECTED[s][0])]])
+            here = [min(here[s], INSERT + here[after[s]]) for s in range(4)]
+        bound[i] = here
 
     def children(node: tuple) -> list[tuple]:
         """Child prefixes in ASCII order of their edit: D, I, K, R."""
@@ -143,8 +143,8 @@ def repair(initials: list[str], fault: list[int]) -> tuple[int, str, list[tuple[
     root = (0, 0, 0, None, "", "")
     # First incumbent: a dive that follows the bounds, first fitting edit in ASCII order.
     node = root
-    while not (node[0] == n and node[1] in ACCEPTED and node[2] == bound[0, 0]):
-        node = next(c for c in children(node) if c[2] + bound[c[0], c[1]] == bound[0, 0])
+    while not (node[0] == n and node[1] in ACCEPTED and node[2] == bound[0][0]):
+        node = next(c for c in children(node) if c[2] + bound[c[0]][c[1]] == bound[0][0])
     incumbent_cost, incumbent = int(node[2]), audit_of(node)
     letters = "".join(e for e, _ in incumbent)
 
@@ -155,7 +155,7 @@ def repair(initials: list[str], fault: list[int]) -> tuple[int, str, list[tuple[
     while stack:
         node, depth, rel = stack.pop()
         i, s, cost = node[0], node[1], node[2]
-        least = cost + bound[i, s]
+        least = cost + bound[i][s]
         if least > incumbent_cost or (least == incumbent_cost and rel > 0):
             continue
         if table.get((i, s), least + incumbent_cost + 1) <= cost:
@@ -176,24 +176,44 @@ def repair(initials: list[str], fault: list[int]) -> tuple[int, str, list[tuple[
 SCRIPT = "conv_id long, pos long, before string, edit string, role string, cost long, audit string"
 
 
-def _search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("pos", kind="stable")
-    cost, audit, script = repair(rows["initial"].tolist(), rows["fault"].astype(int).tolist())
-    conv = rows["conv_id"].iloc[0]
-    out, before, i, places = [], [], 0, rows["pos"].tolist()
+def _script_rows(conv, places: list, initials: list[str], faults: list[int]) -> list[tuple]:
+    cost, audit, script = repair(initials, faults)
+    out, before, i = [], [], 0
     for edit, role in script:
         if edit == "I":
             before.append(role)
             continue
-        out.append((places[i], "\n".join(before), edit, role))
+        out.append((conv, places[i], "\n".join(before) or None, edit, role, None, None))
         before, i = [], i + 1
-    out.append((None, "\n".join(before), "E", ""))
-    frame = pd.DataFrame(out, columns=["pos", "before", "edit", "role"])
-    frame.insert(0, "conv_id", conv)
-    frame["cost"], frame["audit"] = None, None
-    frame.loc[frame.index[-1], ["cost", "audit"]] = [cost, audit]
-    frame["before"] = frame["before"].where(frame["before"] != "", None)
-    return frame.astype({"conv_id": "Int64", "pos": "Int64", "cost": "Int64"})
+    out.append((conv, None, "\n".join(before) or None, "E", "", cost, audit))
+    return out
+
+
+def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams rows sorted by (conversation, place): the script of each conversation, and one row
+    (edit ``E``) with its inserts at the end, cost and audit. Only the codes of one conversation
+    are held."""
+    columns = [c.split()[0] for c in SCRIPT.split(", ")]
+    current, places, initials, faults, done = None, [], [], [], []
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64", "pos": "Int64", "cost": "Int64"})
+
+    for batch in batches:
+        for null, conv, pos, initial, fault in zip(batch["_null"], batch["_conv"], batch["pos"], batch["initial"], batch["fault"]):
+            key = (bool(null), int(conv))
+            if key != current:
+                if current is not None:
+                    done += _script_rows(None if current[0] else current[1], places, initials, faults)
+                current, places, initials, faults = key, [], [], []
+            places.append(int(pos))
+            initials.append(initial)
+            faults.append(int(fault))
+        if done:
+            yield frame(done)
+            done = []
+    if current is not None:
+        yield frame(_script_rows(None if current[0] else current[1], places, initials, faults))
 
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +256,9 @@ def repaired(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).alias("gaps"))
 
     ready_for_python(spark)
-    scripts = written(rows.select("conv_id", "pos", "initial", "fault").groupBy("conv_id").applyInPandas(_search, SCRIPT), "conversation-scripts")
+    codes = rows.select(F.col("conv_id").isNull().alias("_null"), F.coalesce(F.col("conv_id"), F.lit(0)).alias("_conv"), "pos", "initial", "fault")
+    scripts = written(codes.repartition("_null", "_conv").sortWithinPartitions("_null", "_conv", "pos").mapInPandas(_search, SCRIPT),
+                      "conversation-scripts")
     summary = scripts.where("edit = 'E'").select("conv_id", "cost", "audit")
     lines = scripts.join(rows.select(F.col("conv_id").alias("_c"), F.col("pos").alias("_p"), F.col("role").alias("_role"), "text"),
                          scripts["conv_id"].eqNullSafe(F.col("_c")) & (scripts["pos"] == F.col("_p")), "left")
