@@ -33,7 +33,9 @@ from presslake.llm.words import BYTES, WORDS, prefix_sums, range_hashes, sliding
 Finder = Callable[[list[bytes], np.ndarray, int], list[np.ndarray]]
 
 KEY = ["d", "th", "tl"]
-RUN = "d long, th long, tl long, start long, n long, anchor long, hash long, twice boolean"
+RUN = "d long, th long, tl long, start long, n long, anchor long, hash long, hash2 long, twice boolean"
+#: A segment is known by its anchor and a 128-bit BLAKE2b digest of its bytes in the text (two longs).
+SEGMENT = ["anchor", "hash", "hash2"]
 
 
 @dataclass(frozen=True)
@@ -67,7 +69,7 @@ class Units:
         sums, powers = self.sums(text)
         units = len(sums) - 1
         if units < self.window:
-            return (np.zeros(0, np.int64),) * 5
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros((0, 2), np.int64), np.zeros(0, bool))
         at = np.arange(units - self.gram + 1)
         grams = range_hashes(sums, at, at + self.gram, powers)
         width = self.window - self.gram + 1
@@ -80,7 +82,21 @@ class Units:
         again = chosen[1:][chosen[1:] == chosen[:-1]]
         anchors = least[starts]
         twice = np.isin(anchors, again) if len(again) else np.zeros(len(anchors), bool)
-        hashes = range_hashes(sums, starts, starts + sizes + self.window - 1, powers)
+        # Identity of a segment: a 128-bit digest of the bytes its units span in the text. Equal
+        # bytes are equal segments; equal segments written with other spaces stay apart, which
+        # costs work but no result.
+        if self.words:
+            first, after = word_bounds(text)
+        else:
+            first = after = None
+        last = starts + sizes + self.window - 2
+        spans = zip(starts.tolist(), last.tolist())
+        view = memoryview(text)
+        if self.words:
+            digests = b"".join(hashlib.blake2b(view[first[a] : after[b]], digest_size=16).digest() for a, b in spans)
+        else:
+            digests = b"".join(hashlib.blake2b(view[a : b + 1], digest_size=16).digest() for a, b in spans)
+        hashes = np.frombuffer(digests, "<i8").reshape(-1, 2)
         return starts, sizes, anchors, hashes, twice
 
 
@@ -104,18 +120,20 @@ def _runs(keyed: DataFrame, units: Units) -> DataFrame:
             if not sum(counts):
                 continue
             starts, sizes, anchors, hashes, twice = (np.concatenate([f[i] for f in found]) for i in range(5))
+            hashes = hashes.reshape(-1, 2)
             row = np.repeat(np.arange(len(found)), counts)
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(i).take(pa.array(row)) for i in range(len(KEY))), pa.array(starts), pa.array(sizes),
-                pa.array(anchors.astype(np.uint64).view(np.int64)), pa.array(hashes.astype(np.uint64).view(np.int64)), pa.array(twice.astype(bool)),
-            ], [*KEY, "start", "n", "anchor", "hash", "twice"])
+                pa.array(anchors.astype(np.uint64).view(np.int64)), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()),
+                pa.array(twice.astype(bool)),
+            ], [*KEY, "start", "n", "anchor", "hash", "hash2", "twice"])
 
     return keyed.select(*KEY, "text").mapInArrow(cut, RUN)
 
 
 def _segments(keyed: DataFrame, chosen: DataFrame, units: Units) -> DataFrame:
-    """Reads the texts of chosen runs (``d, th, start, n, anchor, hash, weight``)."""
-    lists = chosen.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "anchor", "hash", "weight")).alias("runs"))
+    """Reads the texts of chosen runs (``d, th, start, n, anchor, hash, hash2, weight``)."""
+    lists = chosen.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", *SEGMENT, "weight")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # rows that are equal give their segments once a task
@@ -128,22 +146,23 @@ def _segments(keyed: DataFrame, chosen: DataFrame, units: Units) -> DataFrame:
                 starts, ends = units.bounds(text)
                 for r in runs:
                     last = r["start"] + r["n"] + units.window - 1
-                    rows.append((r["anchor"], r["hash"], r["weight"], r["n"], units.segment(text, starts, ends, r["start"], last)))
-            columns = list(zip(*rows)) or [()] * 5
+                    rows.append((r["anchor"], r["hash"], r["hash2"], r["weight"], r["n"], units.segment(text, starts, ends, r["start"], last)))
+            columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.binary())], ["anchor", "hash", "weight", "n", "segment"]
+                [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.binary())], [*SEGMENT, "weight", "n", "segment"]
             )
 
-    return keyed.select(*KEY, "text").join(lists, KEY).select("text", "runs", *KEY).mapInArrow(cut, "anchor long, hash long, weight long, n long, segment binary")
+    return keyed.select(*KEY, "text").join(lists, KEY).select("text", "runs", *KEY).mapInArrow(
+        cut, "anchor long, hash long, hash2 long, weight long, n long, segment binary")
 
 
 def _searched(segments: DataFrame, units: Units, find: Finder, shard_bytes: int) -> DataFrame:
-    """Runs ``first, count`` of repeated windows in each segment (``anchor, hash``), shard by shard."""
+    """Runs ``first, count`` of repeated windows in each segment (``anchor, hash, hash2``), shard by shard."""
     total = segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["anchor", "hash"])
+        group = group.drop_duplicates(SEGMENT)
         flags = find(group["segment"].tolist(), group["weight"].to_numpy(), units.window)
         rows = []
         for i, f in enumerate(flags):
@@ -151,16 +170,16 @@ def _searched(segments: DataFrame, units: Units, find: Finder, shard_bytes: int)
             rows += [(i, a, b - a) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
         at = [r[0] for r in rows]
         return pd.DataFrame({
-            "anchor": group["anchor"].to_numpy()[at], "hash": group["hash"].to_numpy()[at],
+            "anchor": group["anchor"].to_numpy()[at], "hash": group["hash"].to_numpy()[at], "hash2": group["hash2"].to_numpy()[at],
             "first": np.array([r[1] for r in rows], np.int64), "count": np.array([r[2] for r in rows], np.int64),
         })
 
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(search, "anchor long, hash long, first long, count long")
+    return dealt.groupBy("shard").applyInPandas(search, "anchor long, hash long, hash2 long, first long, count long")
 
 
 def _windows(segments: DataFrame, units: Units) -> DataFrame:
-    """Every window of the segments by a 128-bit digest: ``anchor, hash, off, weight, wide, narrow``."""
+    """Every window of the segments by a 128-bit digest: ``anchor, hash, hash2, off, weight, wide, narrow``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,26 +189,28 @@ def _windows(segments: DataFrame, units: Units) -> DataFrame:
                 ids = np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=16).digest() for t in texts]), "<i8").reshape(-1, 2)
                 same = lambda x: pa.array(np.full(r["n"], x, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [same(r["anchor"]), same(r["hash"]), pa.array(np.arange(r["n"])), same(r["weight"]), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(texts, pa.binary())],
-                    ["anchor", "hash", "off", "weight", "wide", "narrow", "segment"],
+                    [same(r["anchor"]), same(r["hash"]), same(r["hash2"]), pa.array(np.arange(r["n"])), same(r["weight"]), pa.array(ids[:, 0].copy()),
+                     pa.array(ids[:, 1].copy()), pa.array(texts, pa.binary())],
+                    [*SEGMENT, "off", "weight", "wide", "narrow", "segment"],
                 )
 
-    return segments.mapInArrow(cut, "anchor long, hash long, off long, weight long, wide long, narrow long, segment binary")
+    return segments.mapInArrow(cut, "anchor long, hash long, hash2 long, off long, weight long, wide long, narrow long, segment binary")
 
 
 def _searched_hot(hot: DataFrame, units: Units, find: Finder, shard_bytes: int) -> DataFrame:
     """As ``_searched`` for segments of frequent anchors, cut to windows that are dealt by their own digest."""
     windows = _windows(hot, units)
     ids = ["wide", "narrow"]
-    counted = windows.groupBy(*ids).agg(F.sum("weight").alias("weight"), F.min(F.struct("anchor", "hash", "off")).alias("at")).where("weight > 1")
+    counted = windows.groupBy(*ids).agg(F.sum("weight").alias("weight"), F.min(F.struct(*SEGMENT, "off")).alias("at")).where("weight > 1")
     counted = written(counted, "passages-windows")
     taken = windows.drop("weight").join(
-        counted.select("weight", F.col("at.anchor").alias("anchor"), F.col("at.hash").alias("hash"), F.col("at.off").alias("off")), ["anchor", "hash", "off"]
+        counted.select("weight", *[F.col(f"at.{c}").alias(c) for c in SEGMENT], F.col("at.off").alias("off")), [*SEGMENT, "off"]
     )
-    alone = taken.select(F.col("wide").alias("anchor"), F.col("narrow").alias("hash"), "weight", F.lit(1).cast("long").alias("n"), "segment")
+    alone = taken.select(F.col("wide").alias("anchor"), F.col("narrow").alias("hash"), F.lit(0).cast("long").alias("hash2"), "weight",
+                         F.lit(1).cast("long").alias("n"), "segment")
     found = _searched(written(alone, "passages-frequent"), units, find, shard_bytes)
     hits = found.select(F.col("anchor").alias("wide"), F.col("hash").alias("narrow"))
-    return windows.select("anchor", "hash", "off", *ids).join(hits, ids).select("anchor", "hash", F.col("off").alias("first"), F.lit(1).cast("long").alias("count"))
+    return windows.select(*SEGMENT, "off", *ids).join(hits, ids).select(*SEGMENT, F.col("off").alias("first"), F.lit(1).cast("long").alias("count"))
 
 
 def repeated_ranges(
@@ -201,11 +222,11 @@ def repeated_ranges(
     runs = written(_runs(keyed, units), "passages-runs")
     seen = F.sum(F.when(F.col("twice"), 2).otherwise(1))
     anchors = runs.groupBy("anchor").agg(seen.alias("seen")).where("seen > 1").select("anchor")
-    again = written(runs.join(anchors, "anchor").select(*KEY, "start", "n", "anchor", "hash"), "passages-again")
+    again = written(runs.join(anchors, "anchor").select(*KEY, "start", "n", *SEGMENT), "passages-again")
     forget(runs)
     # One run stands for all with its segment. A row that the table holds several times may give
     # its segments once a task; the search takes one of them, the weight counts all.
-    chosen = again.groupBy("anchor", "hash").agg(F.count("*").alias("weight"), F.min(F.struct(*KEY, "start", "n")).alias("r")).select("r.*", "anchor", "hash", "weight")
+    chosen = again.groupBy(*SEGMENT).agg(F.count("*").alias("weight"), F.min(F.struct(*KEY, "start", "n")).alias("r")).select("r.*", *SEGMENT, "weight")
     segments = written(_segments(keyed, chosen, units), "passages-segments")
     per_anchor = segments.groupBy("anchor").agg(F.count("*").alias("segments")).where(F.col("segments") > hot_segments).select("anchor")
     hot_anchors = written(per_anchor, "passages-hot")
@@ -217,7 +238,7 @@ def repeated_ranges(
         found = _searched(usual, units, find, shard_bytes).unionByName(_searched_hot(hot, units, find, shard_bytes))
     found = written(found, "passages-found")
     forget(segments)
-    where = again.join(found, ["anchor", "hash"])
+    where = again.join(found, SEGMENT)
     ranges = where.select(*KEY, (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("first") + F.col("count")).alias("b"))
     ranges = written(ranges, "passages-ranges")
     forget(again, found)

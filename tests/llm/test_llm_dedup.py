@@ -83,6 +83,37 @@ def test_rows_without_an_id_whose_short_hashes_agree(spark):
     assert all(len(set(map(tuple, r["ranges"]))) == len(r["ranges"]) for r in listed)
 
 
+def _thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_segments_whose_polynomial_hashes_agree(spark):
+    # A Thue-Morse word and its complement of 1024 letters agree in every 64-bit polynomial hash;
+    # segments are told apart by a digest of their bytes, so the unique middle word stays.
+    x = _thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    shared_w = " ".join(f"w{i}" for i in range(40))
+    shared_v = " ".join(f"v{i}" for i in range(40))
+    data = [(1, f"{shared_w} {x} {shared_v}"), (2, f"{shared_w} {y} {shared_v}")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in fm_dedup.without_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: (81, 80), 2: (81, 80)}
+    raw = [(1, f"{'p' * 300}{x}{'q' * 300}"), (2, f"{'p' * 300}{y}{'q' * 300}")]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.without_repeated_bytes(spark.createDataFrame(raw, "doc_id long, text string")).collect()}
+    texts = [t.encode() for _, t in raw]
+    seen = {}
+    for t in texts:
+        for i in range(len(t) - 199):
+            seen[t[i : i + 200]] = seen.get(t[i : i + 200], 0) + 1
+    expected = {}
+    for (doc_id, _), t in zip(raw, texts):
+        flags = [False] * len(t)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                flags[i : i + 200] = [True] * 200
+        expected[doc_id] = sum(flags)
+    assert got == expected
+
+
 def test_removal_from_nothing(spark):
     assert fm_dedup.without_repeats(table(spark, [])).collect() == []
     assert suffix_dedup.without_repeated_bytes(table(spark, [])).collect() == []
