@@ -26,14 +26,23 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return with_score(docs.select(COLUMNS), labels, "toxicity").where(F.col("toxicity") < TOXIC).select(COLUMNS)
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each near-duplicate component, the document whose id names it; rows repeated whole become one.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with ``_row``, an id of each row, fixed by writing them once."""
+    return written(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+
 
-    Rows without an id cannot name a component; all of them stay.
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each near-duplicate component: that of the smallest doc_id (null last;
+    equal ids: the first row). Components are found over rows, not ids, so rows that share an id
+    but not a text are apart, rows without an id are grouped like any other, and rows repeated
+    whole become one.
     """
-    named = near_duplicates(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(named, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(COLUMNS)
-    return kept.unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+    rows = _numbered(docs)
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    grouped = rows.join(groups.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("first")
+    kept = grouped.groupBy("component_id").agg(first).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +51,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; those not taken go."""
-    key = ["doc_id", "text_hash"]
-    keyed = docs.select(COLUMNS).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(key)
-    taken = mixed(docs).where("copies > 0").groupBy(*key).agg(F.sum("copies").alias("copies"))
-    same = keyed["doc_id"].eqNullSafe(taken["doc_id"]) & (keyed["text_hash"] == taken["text_hash"])
-    each = keyed.join(taken, same).select(*[keyed[c] for c in COLUMNS], taken["copies"])
+    """Repeats each row as often as the mix takes it; those not taken go. The mix sees each row
+    under its own ``_row`` id, so its decisions go back to that very row."""
+    rows = _numbered(docs)
+    taken = mixed(rows.select(F.col("_row").alias("doc_id"), "text", "lang", "source", "n_chars"))
+    taken = taken.where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
+    each = rows.join(taken, "_row")
     return each.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(COLUMNS)
 
 
