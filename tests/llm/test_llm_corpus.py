@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
-from llm_data import prose, rows, table, words
+from llm_data import WORD, prose, rows, table, words
 from oracle_check import connect, difference
 from presslake.llm import contamination, mixing, queries, toxicity
 from presslake.llm.oracles import oracle_sql
@@ -219,18 +219,37 @@ def test_pipeline_stages(spark, tmp_path):
     # Of the three rows without an id, one is toxic.
     assert {**{k: v for k, v in ids[0].items() if k not in toxic}, None: ids[0][None] - 1} == ids[1] and None in toxic
     from presslake.llm.simhash_links import near_duplicates
-    groups = {r["component_id"] for r in near_duplicates(steps[1]).where("component_id IS NOT NULL").collect()}
-    assert {d for d in ids[2] if d is not None} == groups and sum(ids[2].values()) < sum(ids[1].values())
+    whole = [Counter(tuple(r) for r in s.select(corpus_pipeline.COLUMNS).collect()) for s in steps[:5]]
+    # Near duplicates: whole rows of the stage before, one in each component of its rows.
+    numbered = steps[1].withColumn("row", F.monotonically_increasing_id())
+    groups = near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    component = {tuple(r[c] for c in corpus_pipeline.COLUMNS): r["component_id"] for r in numbered.join(groups, "row").collect()}
+    assert not whole[2] - whole[1] and set(whole[2].values()) == {1}
+    assert sorted(component[row] for row in whole[2]) == sorted(set(component.values()))
     leaks = {r["doc_id"] for r in contamination.contained_items(steps[2], spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()}
     assert set(ids[2]) - set(ids[3]) == leaks and leaks
-    copies = defaultdict(int)
-    for r in mixing.mixed(steps[3]).collect():
-        copies[r["doc_id"]] += r["copies"]
-    assert ids[4] == {d: n for d, n in copies.items() if n}
-    assert ids[5] == ids[4]
+    # Mixing: whole rows of the stage before; the words the mix takes do not depend on which rows.
+    assert not set(whole[4]) - set(whole[3])
+    words = sum(n * len(WORD.findall(row[1] or "")) for row, n in whole[4].items())
+    assert words == sum(r["taken"] for r in mixing.mixed(steps[3]).collect())
+    assert words > 0 and ids[5] == ids[4]
     assert sum(r["n_tokens"] for r in steps[5].collect()) > 0
 
 
+def test_pipeline_keeps_whole_rows(spark, tmp_path):
+    """Rows that share an id but not a text, copies under another id, rows without an id, and one
+    text under two sources: decided row by row."""
+    text_a, text_b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    text_c = " ".join(f"gamma{i}" for i in range(60))
+    data = [(3, text_a, "en", "s", 1), (7, text_a, "en", "s", 1), (7, text_b, "en", "s", 1), (None, text_c, "en", "s", 1), (None, text_c, "en", "s", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()), key=str)
+    assert kept == sorted([data[0], data[2], data[3]], key=str)
+    pair = [(1, text_a, "en", "s", 1), (1, text_a, "de", "t", 1)]
+    mixed_rows = corpus_pipeline.to_target_weights(spark, spark.createDataFrame(pair, docs.schema), str(tmp_path)).collect()
+    assert {tuple(r) for r in mixed_rows} <= set(pair) and {r["source"] for r in mixed_rows} == {"s", "t"}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     _copies(spark, 6, tmp_path)
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
