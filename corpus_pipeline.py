@@ -13,22 +13,41 @@ from presslake.llm.contamination import without_items
 from presslake.llm.mixing import mixed
 from presslake.llm.packed_ids import packed_documents
 from presslake.llm.simhash_links import near_duplicates
-from presslake.llm.staging import written
+from presslake.llm.staging import forget, written
 from presslake.llm.toxicity import with_score
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.5
 
+#: Tables a stage wrote for its own use. Once a stage's output is written and read again, no
+#: later stage reads them.
+_scratch: list[DataFrame] = []
+
+
+def _release(docs: DataFrame | None = None) -> None:
+    """Deletes the scratch tables of earlier stages that ``docs`` does not read, so that they do
+    not pile up in the shared folder over the whole run. A stage handed unwritten output of an
+    earlier one keeps the tables it reads."""
+    needed = set(docs.inputFiles()) if docs is not None else set()
+    for table in list(_scratch):
+        if needed.isdisjoint(table.inputFiles()):
+            _scratch.remove(table)
+            forget(table)
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.5 or more."""
+    _release(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return with_score(docs.select(COLUMNS), labels, "toxicity").where(F.col("toxicity") < TOXIC).select(COLUMNS)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents with ``_row``, an id of each row, fixed by writing them once."""
-    return written(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    """The documents with ``_row``, an id of each row, fixed by writing them once; the table is
+    deleted when the next stage starts."""
+    rows = written(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    _scratch.append(rows)
+    return rows
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +56,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     but not a text are apart, rows without an id are grouped like any other, and rows repeated
     whole become one.
     """
+    _release(docs)
     rows = _numbered(docs)
     groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
     grouped = rows.join(groups.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
@@ -47,12 +67,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
+    _release(docs)
     return without_items(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each row as often as the mix takes it; those not taken go. The mix sees each row
     under its own ``_row`` id, so its decisions go back to that very row."""
+    _release(docs)
     rows = _numbered(docs)
     taken = mixed(rows.select(F.col("_row").alias("doc_id"), "text", "lang", "source", "n_chars"))
     taken = taken.where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
@@ -62,6 +84,7 @@ def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of every document, read back from the files."""
+    _release(docs)
     return packed_documents(docs)
 
 
@@ -81,4 +104,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    _release(docs)
     return docs
