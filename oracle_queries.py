@@ -301,7 +301,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT page_id, 1, {_BASE_LINK} || '?a=%C3%A9+b%7E&a=2&flag=&z=' || page_id, {_MESSY_LINK} FROM pages
             UNION ALL SELECT page_id, form, 'http://' || host || '/' || page_id, 'http://' || written || '/' || page_id
             FROM pages, (VALUES (2, '127.0.0.1', '0x0000000000000007f.0.0.1'), (3, '[::1]', '[0:0:0:0:0:0:0:1]'),
-                (4, 'straße.de', 'Straße.de')) h(form, host, written)""",
+                (4, 'xn--strae-oqa.de', 'Straße.de')) h(form, host, written)""",
         "epoch_dates": _dates("CASE WHEN event_id % 3 = 0 THEN date_trunc('second', t) ELSE date_trunc('millisecond', t) END"),
         "iso_dates": _dates("""CASE event_id % 6 WHEN 0 THEN date_trunc('second', t) WHEN 1 THEN date_trunc('second', t)
             WHEN 2 THEN date_trunc('millisecond', t) WHEN 3 THEN date_trunc('minute', t) WHEN 4 THEN date_trunc('day', t)::TIMESTAMP END"""),

@@ -24,9 +24,11 @@ PATH_ESCAPED = r"[\x00-\x20\"#<>?^`{}\x{7f}-\x{10ffff}]"
 USER_ESCAPED = r"[\x00-\x20\"#<>?^`{}/:;=@\[\]\\|\x{7f}-\x{10ffff}]"
 HOST_FORBIDDEN = r"[\x00-\x20#/:<>?@\[\]\\^|%\x{7f}-\x{10ffff}]"
 DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|\z)"
-# Characters that the JDK's host encoder (the 2003 rules) folds away or drops, which
-# would make one host of two. Hosts with them stay in their own letters.
-DEVIATING = r"[\x{df}\x{1e9e}\x{3c2}\x{200c}\x{200d}]"
+# Bootstring parameters of Punycode (RFC 3492) and its digits in order.
+PUNY_BASE, PUNY_TMIN, PUNY_TMAX, PUNY_SKEW, PUNY_DAMP, PUNY_BIAS, PUNY_N = 36, 1, 26, 38, 700, 72, 128
+PUNY_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+# Dots that UTS-46 maps to a full stop (ideographic, fullwidth, halfwidth).
+LABEL_DOTS = "\u3002\uff0e\uff61"
 NUMERIC_HOST = r"(?:\A|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z"
 
 _PLUS_KEPT = "replace(_url_host, '+', '%2B')"
@@ -131,6 +133,109 @@ def address_host(host: str) -> str:
     return f"concat('[', {value}, ']')"
 
 
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _literal(text: str) -> str:
+    """Text escaped for a quoted SQL string."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def _puny_digit(d: str) -> str:
+    return f"substring('{PUNY_DIGITS}', CAST({d} AS INT) + 1, 1)"
+
+
+def _puny_number(q: str, bias: str) -> str:
+    """SQL: ``q`` as a generalised variable-length integer under ``bias`` (RFC 3492, 6.3).
+    Each digit divides what is left by at least 10, so 20 digits cover any long."""
+    t = f"least(greatest({PUNY_BASE} * i - {bias}, {PUNY_TMIN}), {PUNY_TMAX})"
+    step = (
+        f"CASE WHEN a.done THEN a WHEN a.q < {t} THEN {_struct({'q': 'a.q', 'out': f'concat(a.out, {_puny_digit('a.q')})', 'done': 'true'})}"
+        f" ELSE {_struct({'q': f'(a.q - {t}) div ({PUNY_BASE} - {t})', 'out': f'concat(a.out, {_puny_digit(f'{t} + (a.q - {t}) % ({PUNY_BASE} - {t})')})', 'done': 'false'})} END"
+    )
+    return f"aggregate(sequence(1, 20), {_struct({'q': q, 'out': "''", 'done': 'false'})}, (a, i) -> {step}).out"
+
+
+def _puny_adapt(delta: str, points: str, first: str) -> str:
+    """SQL: the next bias (RFC 3492, 6.1). Each round divides by 35, so 20 rounds cover any long."""
+    start = f"(CASE WHEN {first} THEN {delta} div {PUNY_DAMP} ELSE {delta} div 2 END)"
+    start = f"({start} + {start} div ({points}))"
+    limit = ((PUNY_BASE - PUNY_TMIN) * PUNY_TMAX) // 2
+    rounds = (
+        f"aggregate(sequence(1, 20), named_struct('d', {start}, 'k', 0L), (r, ri) -> CASE WHEN r.d > {limit}"
+        f" THEN named_struct('d', r.d div {PUNY_BASE - PUNY_TMIN}, 'k', r.k + {PUNY_BASE}) ELSE r END)"
+    )
+    return _let(rounds, "ad", f"ad.k + ({PUNY_BASE - PUNY_TMIN + 1} * ad.d) div (ad.d + {PUNY_SKEW})")
+
+
+def punycode(label: str) -> str:
+    """SQL: the Punycode (RFC 3492) form of a label, without the ``xn--`` prefix.
+
+    The encoder walks one event per pair (code point m above those done, position j), which is
+    the two loops of the RFC laid flat; the state carries n, delta, bias, h and the output.
+    Labels are at most a few dozen characters, so the events are few.
+    """
+    cps = f"transform(regexp_extract_all({label}, '(?s)(.)', 1), ch -> ascii(ch))"
+    basic = f"array_join(filter(regexp_extract_all({label}, '(?s)(.)', 1), ch -> ascii(ch) < {PUNY_N}), '')"
+    start = _struct({
+        "n": f"{PUNY_N}L", "delta": "0L", "bias": f"{PUNY_BIAS}L", "h": "CAST(length(bs) AS BIGINT)",
+        "out": f"CASE WHEN length(bs) > 0 THEN concat(bs, '-') ELSE '' END",
+    })
+    events = (
+        f"flatten(transform(array_sort(array_distinct(filter(cp, c -> c >= {PUNY_N}))),"
+        f" m -> transform(sequence(1, size(cp)), j -> named_struct('m', CAST(m AS BIGINT), 'j', j))))"
+    )
+    # Before the first position of a new code point: skip the deltas of those below it.
+    s1 = (
+        f"CASE WHEN e.j = 1 THEN {_struct({'n': 'e.m', 'delta': 's.delta + (e.m - s.n) * (s.h + 1)', 'bias': 's.bias', 'h': 's.h', 'out': 's.out'})}"
+        " ELSE s END"
+    )
+    # At each position: count smaller code points, write a delta at equal ones.
+    emit = _struct({
+        "n": "t.n", "delta": "0L", "bias": _puny_adapt("t.delta", "t.h + 1", "t.h = length(bs)"), "h": "t.h + 1",
+        "out": f"concat(t.out, {_puny_number('t.delta', 't.bias')})",
+    })
+    s2 = (
+        f"CASE WHEN element_at(cp, e.j) < t.n THEN {_struct({'n': 't.n', 'delta': 't.delta + 1', 'bias': 't.bias', 'h': 't.h', 'out': 't.out'})}"
+        f" WHEN element_at(cp, e.j) = t.n THEN {emit} ELSE t END"
+    )
+    # After the last position: on to the next code point.
+    s3 = f"CASE WHEN e.j = size(cp) THEN {_struct({'n': 'u.n + 1', 'delta': 'u.delta + 1', 'bias': 'u.bias', 'h': 'u.h', 'out': 'u.out'})} ELSE u END"
+    step = _let(_let(s1, "t", s2), "u", s3)
+    walk = f"aggregate({events}, {start}, (s, e) -> {step}).out"
+    return _let(cps, "cp", _let(basic, "bs", walk))
+
+
+def uts46_host(host: str) -> str:
+    """SQL: a host as UTS-46 nontransitional processing and Punycode write it, as browsers do.
+
+    Mapping: fullwidth ASCII to ASCII, the three other full stops to ``.``, capital sharp s to
+    ``ss``, capital sigma to small sigma, then lower case. The deviation letters (sharp s, final sigma, zero-width joiners) stay,
+    so ``straße.de`` is ``xn--strae-oqa.de`` and differs from ``strasse.de``. Every label with
+    a letter beyond ASCII becomes ``xn--`` and its Punycode. Not done: NFC composition (a letter
+    written as base and combining mark stays two code points) and the disallowed code points
+    of UTS-46, which are encoded like any other.
+    """
+    # Capital sigma to the plain small one: lower() would write a final sigma at a word's end.
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u03a3"
+    narrow = "".join(chr(c) for c in range(0x21, 0x7F)) + "\u03c3"
+    mapped = (
+        f"lower(replace(translate(translate({host}, '{_literal(wide)}', '{_literal(narrow)}'), '{LABEL_DOTS}', '...'),"
+        " '\u1e9e', 'ss'))"
+    )
+    labels = (
+        f"transform(split(hm, '[.]', -1), lb -> CASE WHEN lb RLIKE '[^\\x00-\\x7f]' THEN concat('xn--', {punycode('lb')})"
+        " ELSE lb END)"
+    )
+    return _let(mapped, "hm", f"array_join({labels}, '.')")
+
+
 def with_canonical_url(df: DataFrame, link: str, out: str = "url", raw_out: str = "url_raw") -> DataFrame:
     """Adds the canonical link and the collapsed spelling; both null if the
     value is no http or https address."""
@@ -155,19 +260,16 @@ def with_canonical_url(df: DataFrame, link: str, out: str = "url", raw_out: str
         "_url_host": F.regexp_extract(c("_url_place"), place, 1),
         "_url_port": F.regexp_replace(F.regexp_extract(c("_url_place"), place, 2), r"\A0+(?=[0-9])", ""),
     })
-    # Percent signs first, then letters of other scripts by the JDK's own encoder.
+    # Percent signs first, then letters of other scripts by UTS-46 and Punycode.
     df = df.withColumn("_url_ascii_host", F.expr(
         f"CASE WHEN contains(_url_host, '%') THEN {_decode(_PLUS_KEPT)} ELSE _url_host END"
     ))
     df = df.withColumn("_url_ascii_host", F.expr(
-        rf"lower(CASE WHEN _url_ascii_host RLIKE r'{DEVIATING}' THEN _url_ascii_host"
-        r" WHEN _url_ascii_host RLIKE r'[^\x00-\x7f]' THEN try_reflect('java.net.IDN', 'toASCII', _url_ascii_host)"
-        " ELSE _url_ascii_host END)"
+        rf"CASE WHEN _url_ascii_host RLIKE r'[^\x00-\x7f]' THEN {uts46_host('_url_ascii_host')} ELSE lower(_url_ascii_host) END"
     ))
     df = df.withColumn("_url_final_host", F.expr(
         rf"CASE WHEN _url_ascii_host RLIKE r'\A\[[0-9a-f:.]+\]\z' THEN {address_host('_url_ascii_host')}"
-        rf" WHEN _url_ascii_host = '' OR regexp_replace(_url_ascii_host, CASE WHEN _url_ascii_host RLIKE r'{DEVIATING}'"
-        rf" THEN r'[\x{{80}}-\x{{10ffff}}]' ELSE r'\A\z' END, '') RLIKE r'{HOST_FORBIDDEN}' THEN NULL WHEN _url_ascii_host RLIKE r'{NUMERIC_HOST}' THEN {numeric_host('_url_ascii_host')}"
+        rf" WHEN _url_ascii_host = '' OR _url_ascii_host RLIKE r'{HOST_FORBIDDEN}' THEN NULL WHEN _url_ascii_host RLIKE r'{NUMERIC_HOST}' THEN {numeric_host('_url_ascii_host')}"
         r" ELSE regexp_replace(_url_ascii_host, r'\Awww\.(?=.)', '') END"
     ))
     word = _escape("substring_index(_url_user, ':', 1)", USER_ESCAPED)
