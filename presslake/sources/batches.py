@@ -8,12 +8,19 @@ while one job reads it: write the result once, read it back, and call
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from presslake.session import work_dir
+
 # The split table has one narrow row (three numbers) per input split. Up to this many
 # rows, about 100 MB, it is sent to every executor; that is 500 TB in splits of 128 MB.
 # A larger one is joined by shuffle.
 BROADCAST_SPLITS = 4_000_000
+# Ranges the split table is cut into for its running sums. One total per range goes
+# through the driver, so at most this many numbers.
+ORDER_RANGES = 1024
 
 NOT_JSON = "text is not valid JSON"
 NOT_A_BATCH = "document is neither an array nor an object with a mentions array"
@@ -73,19 +80,41 @@ def natural_order(name: str) -> Column:
     )
 
 
+def _split_offsets(splits: DataFrame) -> DataFrame:
+    """``file, block, _low, _before``: rows of all splits before each one, in input order.
+
+    Two levels of running sums, so that no task sees all splits: the splits are cut into
+    ranges of the input order, summed within each range by a window on the range, and the
+    ranges' totals (one number each, ``ORDER_RANGES`` at most) are summed in order on the
+    driver. The cut is written once, so totals and sums within ranges see the same ranges.
+    """
+    spark = splits.sparkSession
+    ranged = splits.withColumns({"_name": natural_order("file"), "_count": F.col("_high") - F.col("_low") + 1})
+    ranged = ranged.repartitionByRange(ORDER_RANGES, "_name", "file", "block").withColumn("_range", F.spark_partition_id())
+    folder = f"{work_dir(spark)}/split-ranges-{uuid4().hex}"
+    ranged.drop("_high").write.parquet(folder)
+    ranged = spark.read.parquet(folder)
+    totals = sorted((r["_range"], r["_total"]) for r in ranged.groupBy("_range").agg(F.sum("_count").alias("_total")).collect())
+    starts, running = [], 0
+    for number, total in totals:
+        starts.append((number, running))
+        running += total
+    start_of = spark.createDataFrame(starts, "_range int, _start long")
+    before = Window.partitionBy("_range").orderBy("_name", "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.join(F.broadcast(start_of), "_range")
+    return ranged.select("file", "block", "_low", (F.col("_start") + F.coalesce(F.sum("_count").over(before), F.lit(0))).alias("_before"))
+
+
 def with_ordinal(stored: DataFrame) -> DataFrame:
     """Replaces ``file, block, row`` of a stored batch by its 0-based position.
 
     Files follow each other by name, numbers in a name by value (``part-99999`` before
-    ``part-100000``). Only the narrow table of splits is ordered in one task; the rows
+    ``part-100000``). Only the narrow table of splits is ordered, range by range; the rows
     are not moved. Splits are joined by a 64-bit hash of file and block; if two share
     one, by file and block.
     """
     splits = stored.groupBy("file", "block").agg(F.min("row").alias("_low"), F.max("row").alias("_high"))
-    before = Window.orderBy(natural_order("file"), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumns({
-        "_before": F.coalesce(F.sum(F.col("_high") - F.col("_low") + 1).over(before), F.lit(0)), "_split": F.xxhash64("file", "block"),
-    })
+    offsets = _split_offsets(splits).withColumn("_split", F.xxhash64("file", "block"))
     number, distinct = offsets.agg(F.count("*"), F.countDistinct("_split")).first()
     if number == distinct:
         keys = ["_split"]

@@ -211,6 +211,31 @@ def test_lines_keep_their_order_across_splits_and_files(spark, tmp_path, monkeyp
     assert [(v["source"], v["title"]) for v in (r["raw"].toPython() for r in got)] == want
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 7])
+def test_ordinals_add_up_over_ranges_of_splits(spark, tmp_path, monkeypatch, ranges):
+    """Running sums range by range, plus the totals of the ranges before: the same order as
+    one running sum over all splits, and no window without a partition in the plan."""
+    monkeypatch.setattr(batches, "ORDER_RANGES", ranges)
+    want = []
+    for part in (2, 10, 11, 100):
+        records = [{"source": f"s{part}", "n": i} for i in range(40 * part)]
+        put(tmp_path / "in", f"part-{part}.jsonl", as_lines(records))
+        want += [(r["source"], r["n"]) for r in records]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        read_json_lines(spark, str(tmp_path / "in")).write.parquet(str(tmp_path / "stored"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    assert stored.select("file", "block").distinct().count() > 2 * ranges
+    got = with_ordinal(stored).orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in got] == list(range(len(want)))
+    assert [(v["source"], int(v["n"])) for v in (r["raw"].toPython() for r in got)] == want
+    splits = stored.groupBy("file", "block").agg(F.min("row").alias("_low"), F.max("row").alias("_high"))
+    plan = batches._split_offsets(splits)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "SinglePartition" not in plan
+
+
 def test_many_duplicates_take_the_shuffled_way(spark, tmp_path, monkeypatch):
     records = [{"source": "Tide", "content": f"wave {i % 11}"} for i in range(300)]
     small = store(spark, tmp_path, records)
