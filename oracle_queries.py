@@ -247,6 +247,7 @@ def oracle_sql() -> dict[str, str]:
             CASE r WHEN 0 THEN url ELSE page_id::VARCHAR END AS link FROM pages, (VALUES (0), (1)) c(r) WHERE page_id % 11 NOT IN (3, 5)
             UNION ALL SELECT page_id, 0, CASE page_id % 11 WHEN 3 THEN 'text is not valid JSON'
                 ELSE 'document is neither an array nor an object with a mentions array' END, NULL FROM pages WHERE page_id % 11 IN (3, 5)""",
+        "large_array_documents": """SELECT NULL::VARCHAR AS malformed, page_id::BIGINT AS page_id, url AS link FROM pages""",
         "whole_file_documents": """SELECT NULL::VARCHAR AS malformed, url AS link FROM pages WHERE page_id // 100 % 2 = 0
             UNION ALL SELECT 'text is not valid JSON', NULL FROM pages WHERE page_id // 100 % 2 = 1 GROUP BY page_id // 100""",
         "stored_mentions": _stored(f"SELECT {LISTING} FROM stored"),

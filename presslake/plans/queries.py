@@ -73,6 +73,20 @@ def whole_file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("malformed", F.variant_get("raw", "$.link", "string").alias("link"))
 
 
+def large_array_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as JSON arrays of a thousand records a file, read cut at commas by as many tasks as
+    the files have splits, not one task a file."""
+    folder = f"{work_dir(spark)}/arrays-{uuid4().hex}"
+    pages = feed.table(spark, sf_dir, "pages").select(
+        F.floor(F.col("page_id") / 1000).alias("g"), F.struct("page_id", F.col("url").alias("link"), "html").alias("r"),
+    )
+    pages.groupBy("g").agg(F.to_json(F.collect_list("r")).alias("value")).select("g", "value").write.partitionBy("g").text(folder)
+    rows = batches.read_json_arrays(spark, folder)
+    return rows.select(
+        "malformed", F.variant_get("raw", "$.page_id", "bigint").alias("page_id"), F.variant_get("raw", "$.link", "string").alias("link"),
+    )
+
+
 def stored_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _printable(listing(stored_feed(spark, sf_dir)))
 
@@ -512,7 +526,7 @@ def rows_beyond_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
-    json_lines_batch, json_document_batch, whole_file_documents, stored_mentions, surrogate_keys, constraint_check,
+    json_lines_batch, json_document_batch, whole_file_documents, large_array_documents, stored_mentions, surrogate_keys, constraint_check,
     raw_retention, rejected_records, first_rejects, exported_rows, normalized_mentions, coerced_inputs,
     reject_reasons, accept_reject_split, collapsed_whitespace, html_detection, content_elements, cleaned_pages,
     decoded_entities, folded_sources, canonical_links, epoch_dates, iso_dates, numeric_dates, named_month_dates,

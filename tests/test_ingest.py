@@ -11,7 +11,7 @@ from presslake.operators.stats import count_by_day, count_by_source, missing_dat
 from presslake.plans import ingest as ingest_plan
 from presslake.plans.ingest import ingest, refingerprint, refingerprint_table
 from presslake.sources import batches
-from presslake.sources.batches import BatchError, read_json_documents, read_json_lines, with_ordinal
+from presslake.sources.batches import BatchError, read_json_arrays, read_json_documents, read_json_lines, with_ordinal
 from presslake.sources.mentions_table import Log, compact, copy_table, read_log, read_mentions, read_rejects, vacuum
 from presslake.streaming.incremental import ingest_stream
 
@@ -236,6 +236,31 @@ def test_ordinals_add_up_over_ranges_of_splits(spark, tmp_path, monkeypatch, ran
     assert "Window" in plan and "SinglePartition" not in plan
 
 
+def test_one_large_array_is_read_by_many_tasks_as_the_whole_document_is(spark, tmp_path):
+    """Pieces cut at commas, string and depth state from running sums: the same rows as the
+    whole-file reader, for a file of many splits and for documents it must read whole."""
+    records = [{"source": f"s{i}", "title": ["a,b", 'q"u,o\\"te', "[x,{y", "}],", "back\\\\", "é,ü"][i % 6] * (1 + i % 4),
+                "n": [i, {"k": [1, {"z": "]"}]}], "e": {}} for i in range(1500)]
+    docs = {
+        "big.json": json.dumps(records), "pretty.json": json.dumps(records[:40], indent=2), "empty.json": "[]", "spaced.json": "  [ ]  ",
+        "one.json": "[5]", "cut.json": json.dumps(records[:20])[:300], "wrapped.json": json.dumps({"mentions": records[:2]}),
+        "scalar.json": "7", "nothing.json": "", "two.json": "[1],[2]", "trailing.json": "[1,]",
+    }
+    for name, text in docs.items():
+        put(tmp_path / "in", name, text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.option("lineSep", ",").text(str(tmp_path / "in")).rdd.getNumPartitions() > 10
+        got = read_json_arrays(spark, str(tmp_path / "in"))
+        rows = lambda df: sorted(
+            (r.file.rsplit("/", 1)[1], r.row, r.block, r.malformed or "", "" if r.raw is None else json.dumps(r.raw.toPython(), sort_keys=True))
+            for r in df.select("file", "row", "block", "malformed", "raw").collect()
+        )
+        assert rows(got) == rows(read_json_documents(spark, str(tmp_path / "in")))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_many_duplicates_take_the_shuffled_way(spark, tmp_path, monkeypatch):
     records = [{"source": "Tide", "content": f"wave {i % 11}"} for i in range(300)]
     small = store(spark, tmp_path, records)
