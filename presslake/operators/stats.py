@@ -42,8 +42,9 @@ def stats(stored: DataFrame, group_by: str) -> tuple[DataFrame, DataFrame | None
     if group_by == "source":
         return count_by_source(stored), None
     if group_by == "day":
-        # One scan: the few day groups are kept and read twice.
-        days = _days(stored).persist()
+        # One scan: the day groups (one row a calendar day, a few thousand at most) are
+        # brought to the driver once and read twice from there, with nothing left cached.
+        days = stored.sparkSession.createDataFrame(_days(stored).collect(), "day date, count long")
         buckets = days.where("day IS NOT NULL").select(utc_day(F.col("day")).alias("group"), "count").orderBy("group")
         missing = days.agg(F.coalesce(F.sum(F.when(F.col("day").isNull(), F.col("count"))), F.lit(0)).alias("missing_published_at"))
         return buckets, missing
