@@ -313,3 +313,30 @@ def test_contained_items_recall_against_all_pairs(spark):
     missed, extra = truth - found, found - truth
     print(f"recall: {len(truth) - len(missed)} of {len(truth)} pairs found, {len(extra)} reported below 0.8")
     assert len(truth) > 300 and not missed and not extra
+
+
+@needs_tables
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_registered_queries_take_very_long_null_and_empty_texts(spark, tmp_path, name):
+    """Every registered query over the small tables plus a document and a page of about 1 MB,
+    a conversation turn of about 1 MB, and null and empty texts: one row a document (a page,
+    a conversation), no failure. Token counts and contamination give their own shapes."""
+    r = random.Random(3)
+    long_text = prose(r, 170_000)
+    assert len(long_text) > 1_000_000
+    extra = {
+        "documents": [(10**9, long_text, "en", "web", len(long_text)), (10**9 + 1, None, None, None, None), (10**9 + 2, "", "en", "web", 0)],
+        "pages": [(10**9, "http://long.example/", "<html><body><p>" + long_text + "</p></body></html>"), (10**9 + 1, None, None), (10**9 + 2, "", "")],
+        "conversations": [(10**9, 1, "user", long_text), (10**9, 2, "assistant", None), (10**9 + 1, None, None, "")],
+        "labels": [], "benchmark": [],
+    }
+    for table, rows_ in extra.items():
+        given = spark.read.parquet(f"{SF_DIR}/{table}.parquet")
+        given.unionByName(spark.createDataFrame(rows_, given.schema)).write.parquet(str(tmp_path / f"{table}.parquet"))
+    got = queries.queries()[name](spark, str(tmp_path)).count()
+    if name.startswith("op6"):
+        assert got == spark.read.parquet(str(tmp_path / "pages.parquet")).count()
+    elif name.startswith("op12"):
+        assert got == spark.read.parquet(str(tmp_path / "conversations.parquet")).select("conv_id").distinct().count()
+    elif not name.startswith(("op1_", "op4_")):
+        assert got == spark.read.parquet(str(tmp_path / "documents.parquet")).count()
