@@ -12,7 +12,7 @@ from presslake.operators import dedup, profile, search, stats, summary
 from presslake.operators.coercion import with_inputs
 from presslake.operators.constraints import constraint_violations
 from presslake.operators.export import export_rows, listing
-from presslake.operators.normalize import normalize, rejected
+from presslake.operators.normalize import normalize, rejected, spread
 from presslake.plans import ingest as ingestion
 from presslake.plans.feed_store import CREATED_AT, feed_facts, feed_table, normalized_feed, raw_feed, stored_feed, stored_fingerprints
 from presslake.session import apply_settings, work_dir
@@ -137,7 +137,7 @@ def exported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalized_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole narrow pass over the raw records."""
-    return _printable(normalize(raw_feed(spark, sf_dir)).drop("raw"))
+    return _printable(normalize(spread(raw_feed(spark, sf_dir))).drop("raw"))
 
 
 def coerced_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,3 +259,32 @@ def test_html_cleaning_grows_linearly(spark):
         assert text_clean
     # Four times the text: far less than sixteen times the time (plain patterns take minutes at 80,000).
     assert seconds[80_000] < 4 * seconds[20_000] + 10
+
+
+def test_white_space_and_dead_openers_keep_their_results(spark):
+    """The quick ways of white space, code elements and comments against the plain patterns."""
+    draw = random.Random(5)
+    spaces = [" ", " ", "  ", "\t", " \n", "　", "﻿ ", " ", "x", "~", "!", "é", "\u0085"]
+    tags = ["<!--", "-->", "<!-->", "<!--->", "--", ">", "<", "<script>", "</script >", "<STYLE a>", "</style>", "<p", "</p>", "a ", "<b>"]
+    rows = [("".join(draw.choices(spaces, k=12)), "".join(draw.choices(tags, k=draw.randint(1, 14)))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "s string, h string")
+    got = df.select(
+        text.collapse_ws(F.col("s")).eqNullSafe(F.trim(F.regexp_replace("s", text.WS + "+", " "))).alias("a"),
+        text.drop_tags(F.col("h")).eqNullSafe(_plain_tags(F.col("h"))).alias("b"),
+        text.drop_non_content(F.col("h")).eqNullSafe(_plain_code(F.col("h"))).alias("c"),
+    ).where("NOT (a AND b AND c)").count()
+    assert got == 0
+
+
+def test_fingerprint_of_long_content_is_that_of_its_whole_form(spark):
+    """The form of the content's head stands for the whole only where 500 units are certain."""
+    long = [
+        "word " * 900, "Ab, " * 2000, "-" * 5000 + "late", "x" * 499 + " " * 3000 + "yz", "x" * 500 + "." * 3000 + "y", "x" * 501 + "." * 3000 + "y",
+        "😀é" * 700, "z" * 499 + "😀" * 900, "a" * 20 + "Σ" + "ʰ" * 2100 + "a", "Σ " * 1500, "k" * 2000, "k" * 2001, "", " ", "İ" * 1200,
+    ]
+    df = spark.createDataFrame([(i, "s", None, None if i % 2 else "T", c) for i, c in enumerate([None, *long])],
+                               "i int, source string, url string, title string, content string")
+    form = lambda c: fingerprints.comparison_form(F.col(c))
+    whole = fingerprints.identity_text(F.col("source"), F.col("url"), form("title"), form("content"))
+    rows = fingerprints.with_fingerprint(df.withColumn("want", F.unhex(F.sha2(F.encode(whole, "UTF-8"), 256))))
+    assert rows.where("fingerprint <=> want").count() == len(long) + 1

@@ -318,3 +318,20 @@ def test_two_streams_into_one_table(spark, tmp_path):
     _stream(spark, tmp_path / "two", table, tmp_path / "c3")  # a new checkpoint reads all again
     assert read_mentions(spark, table).count() == 7 and read_log(spark, table).count() == 3
     assert len(ACCEPTED) == 10
+
+
+def test_normalizing_deals_costly_rows_over_tasks_by_the_size_of_the_input(spark, tmp_path):
+    """Records that cost much lie in one file; their number of tasks grows with the input, the rows stay."""
+    from presslake.operators.normalize import spread
+
+    spark.range(4000).selectExpr("id AS ordinal", "parse_json(to_json(named_struct('body', repeat(uuid(), 30)))) AS raw").coalesce(1).write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    size = sum(f.stat().st_size for f in (tmp_path / "raw").glob("*.parquet"))
+    dealt = spread(raw, size // 40)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert 40 <= len(sizes) <= 42 and max(sizes) < 250 and sum(sizes) == 4000
+    lines = raw.select(F.to_json("raw"))
+    lines.write.text(f"{tmp_path}/lines")
+    size = sum(f.stat().st_size for f in (tmp_path / "lines").glob("*.txt"))
+    # The variant made on the way does not count: two tasks of half the text, or all cores.
+    assert spread(read_json_lines(spark, f"{tmp_path}/lines"), size // 20).rdd.getNumPartitions() <= 42
