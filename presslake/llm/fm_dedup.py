@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from presslake.llm.induced_sorting import doubled
 from presslake.llm.passages import Units, covered, repeated_ranges, with_ranges
 from presslake.llm.staging import binary
-from presslake.llm.words import word_bounds
+from presslake.llm.words import joined, word_bounds
 
 WINDOW, GRAM = 35, 10
 SHARD_BYTES = 12 << 20
@@ -80,31 +81,55 @@ class FMIndex:
         self.weight = np.concatenate(([0], np.cumsum(weights[order])))
         self.size = len(text)
 
-    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the matches with one symbol put before them."""
-        both = self.tree.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
-        return self.first[symbol] + both[: len(symbol)], self.first[symbol] + both[len(symbol) :]
+    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray, empty: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the matches with one symbol put before them. Before an empty match
+        (``empty``) that is all of the symbol's rows, which needs no rank."""
+        new_low, new_high = self.first[symbol], self.first[symbol + 1]
+        at = np.arange(len(symbol)) if empty is None else np.flatnonzero(~empty)
+        both = self.tree.rank(np.concatenate((symbol[at], symbol[at])), np.concatenate((low[at], high[at])))
+        new_high[at] = new_low[at] + both[len(at) :]
+        new_low[at] += both[: len(at)]
+        return new_low, new_high
 
     def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return self.weight[high] - self.weight[low]
 
+def _ruled_out(index: FMIndex, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, weights: np.ndarray, window: int) -> np.ndarray:
+    """Segments without a repeated window that a short backward search tells: words that all of
+    the segment's windows share, and that occur once, are in no repeated window."""
+    out = np.zeros(len(sizes), bool)
+    # The windows of a segment share its words from the last window's first to the first window's last.
+    which = np.flatnonzero((weights == 1) & (sizes >= window) & (sizes < 2 * window))
+    left, at = (begin + sizes - window)[which], (begin + window)[which]
+    low, high, empty = np.zeros(len(which), np.int64), np.full(len(which), index.size), np.ones(len(which), bool)
+    while len(which):
+        low, high = index.extend(text[at - 1], low, high, empty)
+        single, at = index.occurrences(low, high) <= 1, at - 1
+        out[which[single]] = True
+        keep = ~single & (at > left)
+        which, left, at, low, high = which[keep], left[keep], at[keep], low[keep], high[keep]
+        empty = np.zeros(len(which), bool)
+    return out
+
 
 def find_repeats(segments: list[bytes], weights: np.ndarray, window: int) -> list[np.ndarray]:
     """Flags of the windows of each segment (words joined by one space) that occur at least twice in all."""
-    numbers: dict[bytes, int] = {}
-    lists = [[numbers.setdefault(w, len(numbers) + 2) for w in s.split(b" ")] for s in segments]
-    sizes = np.array([len(x) for x in lists])
+    words = pc.split_pattern(pa.array(segments, pa.large_binary()), b" ")
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1  # a separator, symbol 1, follows each segment
     text = np.ones(int((sizes + 1).sum()), np.int64)
-    for at, x in zip(begin.tolist(), lists):
-        text[at : at + len(x)] = x
+    inside = np.ones(len(text), bool)
+    inside[begin + sizes] = False
+    text[inside] = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 2
     index = FMIndex(text, np.repeat(weights, sizes + 1))
     steps = np.zeros(len(text) + 1, np.int64)  # +1 where flagged windows begin, -1 after them
 
-    start, end, at = begin.copy(), begin + sizes, begin + sizes
-    low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), index.size)
+    open_ = ~_ruled_out(index, text, begin, sizes, weights, window)
+    start, end = begin[open_], (begin + sizes)[open_]
+    at = end.copy()
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), index.size)
     while len(at):
-        new_low, new_high = index.extend(text[at - 1], low, high)
+        new_low, new_high = index.extend(text[at - 1], low, high, at == end)
         longer = index.occurrences(new_low, new_high) > 1
         at = at - longer
         done = ~longer | (at == start)
@@ -138,9 +163,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
             rows = []
             for doc_id, text, found in zip(batch.column(0).to_pylist(), binary(batch, "text"), batch.column(2).to_pylist()):
                 starts, ends = word_bounds(text)
-                keep = ~covered(found, len(starts), window)
-                kept = b" ".join([text[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist())])
-                rows.append((doc_id, len(starts), len(starts) - int(keep.sum()), hashlib.sha256(kept).hexdigest()))
+                keep = np.flatnonzero(~covered(found, len(starts), window))
+                kept = joined(text, starts, ends, keep)
+                rows.append((doc_id, len(starts), len(starts) - len(keep), hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presslake.llm.staging import binary, ready_for_python, forget, written
-from presslake.llm.words import BYTES, WORDS, prefix_sums, range_hashes, sliding_minimum, word_bounds, word_hashes
+from presslake.llm.words import BYTES, WORDS, prefix_sums, range_hashes, sliding_minimum, uneven_gaps, word_bounds, word_hashes
 
 #: From segments, their weights and the window: per segment, a flag for each of its windows
 #: that occurs at least twice, weights counted.
@@ -52,10 +52,10 @@ class Units:
         at = np.arange(len(text))
         return at, at + 1
 
-    def sums(self, text: bytes) -> tuple[np.ndarray, object]:
+    def sums(self, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, object]:
         """Prefix sums over the units, for hashes of unit ranges."""
         if self.words:
-            return prefix_sums(word_hashes(text, *word_bounds(text)), WORDS), WORDS
+            return prefix_sums(word_hashes(text, starts, ends), WORDS), WORDS
         return prefix_sums(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), BYTES), BYTES
 
     def segment(self, text: bytes, starts: np.ndarray, ends: np.ndarray, first: int, last: int) -> bytes:
@@ -64,9 +64,20 @@ class Units:
             return text[first:last]
         return b" ".join([text[a:b] for a, b in zip(starts[first:last].tolist(), ends[first:last].tolist())])
 
+    def segments(self, text: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
+        """``segment`` of many ranges: words with single spaces between them are cut out whole."""
+        if not self.words:
+            return [text[a:b] for a, b in ranges]
+        starts, ends = word_bounds(text)
+        uneven = uneven_gaps(text, starts, ends)
+        return [
+            text[starts[a] : ends[b - 1]] if uneven[a] == uneven[b - 1] else self.segment(text, starts, ends, a, b) for a, b in ranges
+        ]
+
     def runs(self, text: bytes) -> tuple[np.ndarray, ...]:
         """Start and number of windows, anchor and segment hash of each run, and whether the anchor recurs in the text."""
-        sums, powers = self.sums(text)
+        first, after = self.bounds(text) if self.words else (None, None)
+        sums, powers = self.sums(text, first, after)
         units = len(sums) - 1
         if units < self.window:
             return (np.zeros(0, np.int64),) * 3 + (np.zeros((0, 2), np.int64), np.zeros(0, bool))
@@ -85,17 +96,10 @@ class Units:
         # Identity of a segment: a 128-bit digest of the bytes its units span in the text. Equal
         # bytes are equal segments; equal segments written with other spaces stay apart, which
         # costs work but no result.
-        if self.words:
-            first, after = word_bounds(text)
-        else:
-            first = after = None
         last = starts + sizes + self.window - 2
-        spans = zip(starts.tolist(), last.tolist())
-        view = memoryview(text)
-        if self.words:
-            digests = b"".join(hashlib.blake2b(view[first[a] : after[b]], digest_size=16).digest() for a, b in spans)
-        else:
-            digests = b"".join(hashlib.blake2b(view[a : b + 1], digest_size=16).digest() for a, b in spans)
+        begin, end = (first[starts], after[last]) if self.words else (starts, last + 1)
+        view, digest = memoryview(text), hashlib.blake2b
+        digests = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())])
         hashes = np.frombuffer(digests, "<i8").reshape(-1, 2)
         return starts, sizes, anchors, hashes, twice
 
@@ -143,10 +147,8 @@ def _segments(keyed: DataFrame, chosen: DataFrame, units: Units) -> DataFrame:
                 if tuple(key) in seen:
                     continue
                 seen.add(tuple(key))
-                starts, ends = units.bounds(text)
-                for r in runs:
-                    last = r["start"] + r["n"] + units.window - 1
-                    rows.append((r["anchor"], r["hash"], r["hash2"], r["weight"], r["n"], units.segment(text, starts, ends, r["start"], last)))
+                found = units.segments(text, [(r["start"], r["start"] + r["n"] + units.window - 1) for r in runs])
+                rows += [(r["anchor"], r["hash"], r["hash2"], r["weight"], r["n"], s) for r, s in zip(runs, found)]
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.binary())], [*SEGMENT, "weight", "n", "segment"]

@@ -24,6 +24,26 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def uneven_gaps(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per word, how many of the gaps before it are not one single space: words between which the
+    number is the same stand in the text as they are when joined by one space."""
+    out = np.zeros(max(len(starts), 1), np.int64)
+    if len(starts) > 1:
+        gaps = np.frombuffer(data, np.uint8)[ends[:-1]]
+        np.cumsum((gaps != 0x20) | (starts[1:] - ends[:-1] != 1), out=out[1:])
+    return out
+
+
+def joined(data: bytes, starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> bytes:
+    """The chosen words (ascending numbers), joined by one space; stretches with even gaps are cut out whole."""
+    if not len(chosen):
+        return b""
+    uneven = uneven_gaps(data, starts, ends)[chosen]
+    cuts = np.flatnonzero((np.diff(chosen) != 1) | (np.diff(uneven) != 0)) + 1
+    first, last = chosen[np.concatenate(([0], cuts))], chosen[np.concatenate((cuts - 1, [len(chosen) - 1]))]
+    return b" ".join([data[a:b] for a, b in zip(starts[first].tolist(), ends[last].tolist())])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit values over all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -198,3 +198,39 @@ def test_components_of_a_chain(spark):
     labels = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert labels == {**{i: 0 for i in range(201)}, 999: 999, 1000: 999}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_segments_without_repeats_cost_few_steps(monkeypatch):
+    """Backward search of segments whose shared words occur once ends after a few words; the flags are those of a plain count."""
+    draw, window = random.Random(7), 35
+    segments = [" ".join(draw.choices([f"w{i}" for i in range(300)], k=draw.randint(35, 60))).encode() for _ in range(400)]
+    segments += [s.replace(b"w1 ", b"w2 ", 1) for s in segments[:50]] + [b" ".join(segments[60].split(b" ")[3:] + [b"new"] * 5)]
+    segments, asked = [s for s in segments if len(s.split(b" ")) >= window], []
+    weights = np.array([2 if i % 90 == 0 else 1 for i in range(len(segments))])
+    rank = fm_dedup.WaveletTree.rank
+    monkeypatch.setattr(fm_dedup.WaveletTree, "rank", lambda tree, symbol, at: (asked.append(len(symbol)), rank(tree, symbol, at))[1])
+    found = fm_dedup.find_repeats(segments, weights, window)
+    counts = {}
+    for s, n in zip(segments, weights.tolist()):
+        w = s.split(b" ")
+        for i in range(len(w) - window + 1):
+            counts[tuple(w[i : i + window])] = counts.get(tuple(w[i : i + window]), 0) + n
+    for s, flags in zip(segments, found):
+        w = s.split(b" ")
+        assert flags.tolist() == [counts[tuple(w[i : i + window])] > 1 for i in range(len(w) - window + 1)]
+    assert sum(asked) < 16 * len(segments) + 4 * 60 * sum(int(f.any()) for f in found)
+
+
+def test_kept_words_are_joined_by_one_space_whatever_stood_between():
+    from presslake.llm.passages import Units
+    from presslake.llm.words import joined, word_bounds
+
+    draw, units = random.Random(11), Units(words=True, window=3, gram=2)
+    for _ in range(500):
+        text = "".join(draw.choice(["a", "bb", "é", " ", " ", "  ", "\t", "\n"]) for _ in range(draw.randint(0, 40))).encode()
+        starts, ends = word_bounds(text)
+        words = [text[a:b] for a, b in zip(starts, ends)]
+        keep = np.flatnonzero([draw.random() < 0.7 for _ in words])
+        assert joined(text, starts, ends, keep) == b" ".join([words[i] for i in keep])
+        ranges = [(i, j) for i in range(len(words)) for j in range(i + 1, len(words) + 1)]
+        assert units.segments(text, ranges) == [b" ".join(words[i:j]) for i, j in ranges]
