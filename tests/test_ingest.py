@@ -335,3 +335,32 @@ def test_normalizing_deals_costly_rows_over_tasks_by_the_size_of_the_input(spark
     size = sum(f.stat().st_size for f in (tmp_path / "lines").glob("*.txt"))
     # The variant made on the way does not count: two tasks of half the text, or all cores.
     assert spread(read_json_lines(spark, f"{tmp_path}/lines"), size // 20).rdd.getNumPartitions() <= 42
+
+
+def test_lines_of_a_larger_feed_lie_in_more_files(spark, tmp_path, monkeypatch):
+    """A file of lines is one task that writes it: their number grows with the feed, two thirds are the first micro-batch."""
+    from presslake.plans import queries
+
+    made = {
+        "documents": "id AS doc_id, concat('text ', uuid()) AS text, 'en' AS lang, 'src' AS source, 5L AS n_chars",
+        "pages": "id AS page_id, concat('http://a.net/', id) AS url, concat('<title>', id, '</title>') AS html",
+        "conversations": "id AS conv_id, 0L AS turn, 'user' AS role, 'hello' AS text",
+        "events": "id AS event_id, TIMESTAMP '2024-01-05 00:00:00' AS ts, id AS user_id, 'view' AS event_type, 1.5D AS value, '{}' AS props",
+    }
+    for name, columns in made.items():
+        spark.sql(f"SELECT {columns} FROM range(300)").write.parquet(f"{tmp_path}/{name}.parquet")
+    stored = sum(f.stat().st_size for name in ("documents", "pages", "conversations") for f in (tmp_path / f"{name}.parquet").glob("*.parquet"))
+    monkeypatch.setattr(queries, "LINES_FILE_BYTES", stored // 14, raising=False)
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def stream(spark, lines, table, checkpoint, files_per_batch=None, **rest):
+        seen.update(files=len(spark.read.text(lines).inputFiles()), first=files_per_batch, rows=spark.read.text(lines).count())
+        raise Stop
+
+    monkeypatch.setattr(queries, "ingest_stream", stream)
+    with pytest.raises(Stop):
+        queries.incremental_ingest(spark, str(tmp_path))
+    assert seen == {"files": 15, "first": 10, "rows": 300 * 4}
