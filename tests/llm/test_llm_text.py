@@ -4,6 +4,8 @@ import base64
 import hashlib
 import json
 import random
+import re
+import sys
 import zlib
 from collections import Counter
 
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from llm_data import rows, table, words
 from presslake.llm import packed_ids, quality_ledger, token_counts, warc
-from presslake.llm.encoding import PieceEncoder, default_tokenizer
+from presslake.llm.encoding import WHITE_SPACE, PieceEncoder, default_tokenizer, piece_bounds
 from presslake.llm.packed_ids import PackedFile, bits_for, pack, unpack
 from pyspark.sql import functions as F
 
@@ -34,6 +36,27 @@ def test_pieces_give_the_ids_of_the_library(tokenizer):
             assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+def test_pieces_are_cut_in_arrays_as_a_pattern_cuts_them():
+    latin, other = "A-Za-zÀ-ÖØ-öø-ɏ", "!-@\\[-`{-~"
+    pattern = re.compile(f"[{WHITE_SPACE}]*[{latin}]+(?=[{WHITE_SPACE}{other}]|\\Z)|[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+    r = random.Random(5)
+    texts = ["", *("".join(r.choice(WHITE_SPACE + "aZß×÷ÿɏɐб漢𝔸'0.<|>\0\x1c«“ ") for _ in range(r.randrange(40))) for _ in range(3000)), ""]
+    data = b"\xff".join([b"", *(t.encode() for t in texts), b""])
+    starts, ends, upto = piece_bounds(np.frombuffer(data, np.uint8))
+    got = [data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+    assert [got[a:b] for a, b in zip(upto.tolist(), upto[1:].tolist())] == [pattern.findall(t) for t in texts]
+
+
+def test_known_short_pieces_are_no_python_objects():
+    encoder, r = PieceEncoder(default_tokenizer()), random.Random(6)
+    fresh = [" ".join({"".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(20_000)}) for _ in range(2)]
+    encoder.encode(fresh[:1])
+    held = sys.getallocatedblocks()
+    encoder.encode(fresh[1:])
+    assert encoder.encode(fresh[1:])[0].tolist() == encoder.tokenizer.encode(fresh[1], add_special_tokens=False).ids
+    assert sys.getallocatedblocks() - held < 5_000
+
+
 def test_histogram(spark, tokenizer):
     sizes = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in (r[1] for r in rows())]
     histogram = token_counts.length_histogram(token_counts.encoded_lengths(table(spark)))
