@@ -8,8 +8,9 @@ key. The length of the common prefix of two suffixes that leave one after the ot
 than the least such length between their successors, so it is carried along as ranks are given.
 
 The queue keeps a first-in-first-out list of blocks for each range of symbols. Tuples of one
-symbol enter in the order in which they must leave, so lists of one symbol are never sorted;
-ranges of several symbols (only in strings of names) are loaded and sorted when their turn comes.
+symbol enter in the order in which they must leave, so lists of one symbol are never sorted, and
+their tuples are single numbers (order << 32 | position) without the symbol; ranges of several
+symbols (only in strings of names) are loaded and sorted when their turn comes.
 Blocks beyond ``memory_rows`` tuples are in a file, as are all arrays with a value per position.
 These files are scratch of one task: made when memory runs short, read by no other task, and
 without a name, so that nothing stays when the task or its executor ends.
@@ -51,7 +52,7 @@ class Store:
 
 
 class BlockQueue:
-    """Rows ``(key, position)`` by range of symbols; key is symbol << 32 | order."""
+    """Rows ``(key, position)`` by range of symbols, key is symbol << 32 | order; of single symbols, numbers order << 32 | position."""
 
     def __init__(self, store: Store, edges: np.ndarray, single: bool) -> None:
         self.store, self.edges, self.single = store, edges, single  # first symbol of each range but the first
@@ -62,14 +63,20 @@ class BlockQueue:
         """Rows whose keys do not fall for equal symbols, neither here nor against earlier calls."""
         if not len(keys):
             return
-        symbols = keys >> 32
+        where = np.searchsorted(self.edges, keys >> 32, side="right")
         # Numbers of one or two bytes are sorted by counting.
-        where = symbols if self.single else np.searchsorted(self.edges, symbols, side="right")
         where = where.astype(np.uint8 if len(self.blocks) <= 256 else np.uint16)
         order = np.argsort(where, kind="stable")
-        where, rows = where[order], np.column_stack((keys[order], positions[order]))
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1, [len(where)]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        self._put(where[order], np.column_stack((keys[order], positions[order])))
+
+    def push_single(self, symbols: np.ndarray, rows: np.ndarray) -> None:
+        """Rows in order of their symbols, of which each is a range."""
+        if len(rows):
+            self._put(symbols, rows)
+
+    def _put(self, where: np.ndarray, rows: np.ndarray) -> None:
+        cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), len(where)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
             self.blocks[where[a]].append(rows[a:b])
         self.rows += len(rows)
         if self.rows > self.store.memory_rows:
@@ -90,10 +97,12 @@ class BlockQueue:
 
     def _load(self, block: tuple[int, int], most: int) -> Iterator[np.ndarray]:
         at, rows = block
+        width = 1 if self.single else 2
         for first in range(0, rows, most):
             n = min(most, rows - first)
-            self.file.seek(at + 16 * first)
-            yield np.frombuffer(self.file.read(16 * n), np.int64).reshape(n, 2)
+            self.file.seek(at + 8 * width * first)
+            part = np.frombuffer(self.file.read(8 * width * n), np.int64)
+            yield part if self.single else part.reshape(n, 2)
 
     def stream(self, r: int) -> Iterator[np.ndarray]:
         """The rows of a range in turn, those that enter meanwhile included."""
@@ -137,7 +146,13 @@ class Sweep:
         self.order = store.array(len(symbols), np.int64)
         self.common = store.array(len(symbols) + 1, np.uint16)
         self.rank = 0
-        self.last: tuple[int, int, int] | None = None  # key, position and seed's common prefix of the row before
+        self.last: tuple | None = None  # the row before: key and position, or symbol, order, position and whether a seed
+        if self.single:
+            # The symbol before each position, or their number where there is none to induce.
+            dtype = np.uint8 if len(counts) < 256 else np.uint16
+            self.before = store.array(len(symbols), dtype)
+            self.before[0] = self.none = len(counts)
+            self.before[1:] = np.where(induced[:-1], symbols[:-1], dtype(self.none))
 
     def run(self, seeds: np.ndarray, seed_common: np.ndarray | None) -> None:
         """Seeds in order, and the common prefix of each with the seed before (where their symbols agree)."""
@@ -146,13 +161,18 @@ class Sweep:
         late = BlockQueue(self.store, self.edges, self.single)  # seeds leave after the induced rows of their symbol
         for a in range(0, len(seeds), self.store.memory_rows):
             part = np.asarray(seeds[a : a + self.store.memory_rows])
-            late.push(self.symbols[part].astype(np.int64) << 32 | (SEED + a + np.arange(len(part))), part)
+            if self.single:
+                symbols = self.symbols[part].astype(self.before.dtype)
+                order = np.argsort(symbols, kind="stable")
+                late.push_single(symbols[order], (a + order) << 32 | part[order])
+            else:
+                late.push(self.symbols[part].astype(np.int64) << 32 | (SEED + a + np.arange(len(part))), part)
         for r in range(len(self.edges) + 1):
             if self.single:
                 for rows in queue.stream(r):
-                    queue.push(*self._accept(rows))
+                    queue.push_single(*self._accept_single(rows, r, False))
                 for rows in late.stream(r):
-                    queue.push(*self._accept(rows))
+                    queue.push_single(*self._accept_single(rows, r, True))
                 continue
             rows = np.concatenate((queue.all(r), late.all(r)))
             rows = rows[np.argsort(rows[:, 0], kind="stable")]
@@ -185,6 +205,36 @@ class Sweep:
         keys, good = self._earlier(rows, first)
         return keys[good], rows[good, 1] - 1
 
+    def _accept_single(self, rows: np.ndarray, symbol: int, seed: bool) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_accept`` for rows of one symbol that are all seeds or all induced."""
+        first, n = self.rank, len(rows)
+        positions = rows & 0xFFFFFFFF
+        self.order[first : first + n] = positions
+        if self.cap:
+            self._carry_single(rows >> 32, positions, symbol, seed)
+        self.rank += n
+        before = self.before[positions]
+        order = np.argsort(before, kind="stable")[: np.count_nonzero(before != self.none)]
+        return before[order], (first + order) << 32 | (positions[order] - 1)
+
+    def _carry_single(self, order: np.ndarray, positions: np.ndarray, symbol: int, seed: bool) -> None:
+        out = np.zeros(len(order), np.uint16)
+        if seed:
+            out[1:] = self.seed_common[order[1:]]
+        elif len(order) > 1:
+            least = np.minimum.reduceat(self.common[: order[-1] + 1], order[:-1] + 1)
+            out[1:] = np.minimum(least, self.cap - 1) + 1
+        if self.last is not None and self.last[0] == symbol:
+            _, place, position, last_seed = self.last
+            if seed != last_seed:
+                out[0] = min(self._repeats(position), self._repeats(int(positions[0])))
+            elif seed:
+                out[0] = self.seed_common[order[0]]
+            else:
+                out[0] = min(int(self.common[place + 1 : order[0] + 1].min()) + 1, self.cap)
+        self.common[self.rank : self.rank + len(out)] = out
+        self.last = symbol, int(order[-1]), int(positions[-1]), seed
+
     def _carry(self, rows: np.ndarray, first: int) -> None:
         keys = rows[:, 0] if self.last is None else np.concatenate(([self.last[0]], rows[:, 0]))
         positions = rows[:, 1] if self.last is None else np.concatenate(([self.last[1]], rows[:, 1]))
@@ -203,7 +253,7 @@ class Sweep:
             out[i] = min(self._repeats(int(positions[i])), self._repeats(int(positions[i + 1])))
         at = first if self.last is not None else first + 1
         self.common[at : at + len(out)] = out
-        self.last = int(keys[-1]), int(positions[-1]), 0
+        self.last = int(keys[-1]), int(positions[-1])
 
     def _repeats(self, position: int) -> int:
         """How often the first symbol of a suffix follows itself, up to the cap."""
@@ -227,25 +277,41 @@ def _refined(place: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarr
     return np.repeat(counts > 1, counts)
 
 
+def _packed(text: np.ndarray, is_s: np.ndarray, width: int, take: int) -> np.ndarray:
+    """At every position the next ``take`` symbols with their types as one number, the first highest."""
+    pairs = np.zeros(len(text) + take, np.int64)
+    pairs[: len(text)] = text.astype(np.int64) * 2 + is_s + 1
+    out = pairs[: len(text)].copy()
+    for t in range(1, take):
+        out <<= width
+        out |= pairs[t : t + len(text)]
+    return out
+
+
 def _names(store: Store, text: np.ndarray, is_s: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For the substrings between leftmost S positions (both included): numbers from 1 in their order, equal ones equal."""
     width = (2 * int(text.max()) + 2).bit_length()
     take = max(1, 62 // width)
     sizes = np.diff(starts, append=len(text) - 1) + 1
     names = store.array(len(starts), np.int64)
+    packed = _packed(text, is_s, width, take) if len(text) <= store.memory_rows else None
     first = text[starts]
+    by_first = np.argsort(first, kind="stable")
     done = 0
-    for symbol in np.unique(first):  # substrings of one first symbol at a time
-        own = np.flatnonzero(first == symbol)
+    for own in np.split(by_first, np.flatnonzero(np.diff(first[by_first])) + 1):  # substrings of one first symbol at a time
         name = np.full(len(own), done, np.int64)
         active, offset = np.arange(len(own)), 0
         while len(active):
             at = starts[own[active]] + offset
-            key = np.zeros(len(active), np.int64)
-            for t in range(take):
-                i = np.minimum(at + t, len(text) - 1)
-                pair = text[i].astype(np.int64) * 2 + is_s[i] + 1
-                key = key << width | np.where(offset + t < sizes[own[active]], pair, 0)
+            if packed is not None:
+                outside = width * np.maximum(take + offset - sizes[own[active]], 0)
+                key = packed[at] >> outside << outside
+            else:
+                key = np.zeros(len(active), np.int64)
+                for t in range(take):
+                    i = np.minimum(at + t, len(text) - 1)
+                    pair = text[i].astype(np.int64) * 2 + is_s[i] + 1
+                    key = key << width | np.where(offset + t < sizes[own[active]], pair, 0)
             order = np.lexsort((key, name[active])) if offset else np.argsort(key)
             offset += take
             active = active[order]

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presslake.llm.staging import binary, ready_for_python, forget, written
-from presslake.llm.words import BYTES, WORDS, prefix_sums, range_hashes, sliding_minimum, uneven_gaps, word_bounds, word_hashes
+from presslake.llm.words import BYTES, WORDS, mixed, prefix_sums, range_hashes, sliding_minimum, uneven_gaps, word_bounds, word_hashes
 
 #: From segments, their weights and the window: per segment, a flag for each of its windows
 #: that occurs at least twice, weights counted.
 Finder = Callable[[list[bytes], np.ndarray, int], list[np.ndarray]]
 
 KEY = ["d", "th", "tl"]
+#: Bytes of texts whose runs are found at once.
+CUT_BYTES = 1 << 17
 RUN = "d long, th long, tl long, start long, n long, anchor long, hash long, hash2 long, twice boolean"
 #: A segment is known by its anchor and a 128-bit BLAKE2b digest of its bytes in the text (two longs).
 SEGMENT = ["anchor", "hash", "hash2"]
@@ -74,13 +76,29 @@ class Units:
             text[starts[a] : ends[b - 1]] if uneven[a] == uneven[b - 1] else self.segment(text, starts, ends, a, b) for a, b in ranges
         ]
 
-    def runs(self, text: bytes) -> tuple[np.ndarray, ...]:
-        """Start and number of windows, anchor and segment hash of each run, and whether the anchor recurs in the text."""
-        first, after = self.bounds(text) if self.words else (None, None)
+    def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Runs of all texts: number of the text, start and number of windows, anchor, segment hash, and
+        whether the anchor recurs (in the text; of bytes, in one of the texts cut with it)."""
+        if self.words:
+            parts = [(np.full(len(f[0]), i), *f) for i, f in ((i, self._word_runs(t)) for i, t in enumerate(texts)) if len(f[0])]
+        else:
+            own = [i for i, t in enumerate(texts) if len(t) >= self.window]
+            block = np.cumsum([0] + [len(texts[i]) for i in own])[:-1] // CUT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(own)]
+            parts = []
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    row, *found = self._byte_runs([texts[i] for i in own[a:b]])
+                    parts.append((np.array(own[a:b])[row], *found))
+        empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), np.zeros(0, bool))
+        return tuple(np.concatenate(p) for p in zip(*parts)) if parts else empty
+
+    def _word_runs(self, text: bytes) -> tuple[np.ndarray, ...]:
+        first, after = self.bounds(text)
         sums, powers = self.sums(text, first, after)
         units = len(sums) - 1
         if units < self.window:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros((0, 2), np.int64), np.zeros(0, bool))
+            return (np.zeros(0, np.int64),)
         at = np.arange(units - self.gram + 1)
         grams = range_hashes(sums, at, at + self.gram, powers)
         width = self.window - self.gram + 1
@@ -93,15 +111,59 @@ class Units:
         again = chosen[1:][chosen[1:] == chosen[:-1]]
         anchors = least[starts]
         twice = np.isin(anchors, again) if len(again) else np.zeros(len(anchors), bool)
-        # Identity of a segment: a 128-bit digest of the bytes its units span in the text. Equal
-        # bytes are equal segments; equal segments written with other spaces stay apart, which
-        # costs work but no result.
-        last = starts + sizes + self.window - 2
-        begin, end = (first[starts], after[last]) if self.words else (starts, last + 1)
-        view, digest = memoryview(text), hashlib.blake2b
-        digests = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())])
-        hashes = np.frombuffer(digests, "<i8").reshape(-1, 2)
-        return starts, sizes, anchors, hashes, twice
+        # The bytes its units span are the segment. Equal bytes are equal segments; equal segments
+        # written with other spaces stay apart, which costs work but no result.
+        return starts, sizes, anchors, _digests(text, first[starts], after[starts + sizes + self.window - 2]), twice
+
+    def _byte_runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Runs of a few texts, none shorter than a window, from one pass over all of them."""
+        text = b"".join(texts)
+        lengths = np.array([len(t) for t in texts])
+        after = np.cumsum(lengths)
+        begin, width = after - lengths, self.window - self.gram + 1
+        sums, powers = self.sums(text, None, None)
+        grams = mixed((sums[self.gram :] - sums[: -self.gram]) * powers.get(len(sums))[1][: len(sums) - self.gram]
+                      + np.uint64(self.gram * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        least = sliding_minimum(grams, width)
+        new = np.ones(len(least), bool)
+        new[1:] = least[1:] != least[:-1]
+        new[begin] = True
+        stop = after - self.window + 1  # windows of a text start before it
+        for a, b in zip(stop[:-1].tolist(), begin[1:].tolist()):
+            new[a:b] = False
+        starts = np.flatnonzero(new)
+        row = np.searchsorted(begin, starts, side="right") - 1
+        sizes = np.minimum(np.append(starts[1:], len(least)), stop[row]) - starts
+        anchors = least[starts]
+        return row, starts - begin[row], sizes, anchors, _digests(text, starts, starts + sizes + self.window - 1), np.isin(
+            anchors, self._recurring(grams, starts, anchors, begin, after))
+
+    def _recurring(self, grams: np.ndarray, starts: np.ndarray, anchors: np.ndarray, begin: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Grams at two or more places that are each the least of some window around them."""
+        at = np.flatnonzero(grams <= anchors.max())
+        value = grams[at]
+        order = np.argsort(value, kind="stable")
+        equal = value[order[1:]] == value[order[:-1]]
+        if not equal.any():
+            return value[:0]
+        at = at[order[np.append(equal, False) | np.append(False, equal)]]
+        row = np.searchsorted(begin, at, side="right") - 1
+        inside = at + self.gram <= after[row]
+        at, row = at[inside], row[inside]
+        first = np.maximum(begin[row], at - (self.window - self.gram))  # windows around the gram
+        last = np.minimum(at, after[row] - self.window)
+        runs = [np.searchsorted(starts, x, side="right") for x in (first, last)]
+        # None of their anchors is larger than the gram.
+        most = np.maximum.reduceat(np.append(anchors, np.uint64(0)), np.column_stack((runs[0] - 1, runs[1])).ravel())[::2] if len(at) else grams[:0]
+        value = np.sort(grams[at[most == grams[at]]])
+        return value[1:][value[1:] == value[:-1]]
+
+
+def _digests(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Identity of segments: a 128-bit digest of the bytes of each, as two longs."""
+    view, digest = memoryview(text), hashlib.blake2b
+    digests = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())])
+    return np.frombuffer(digests, "<i8").reshape(-1, 2)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -119,17 +181,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _runs(keyed: DataFrame, units: Units) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [units.runs(t) for t in binary(batch, "text")]
-            counts = [len(f[0]) for f in found]
-            if not sum(counts):
+            row, starts, sizes, anchors, hashes, twice = units.runs(binary(batch, "text"))
+            if not len(row):
                 continue
-            starts, sizes, anchors, hashes, twice = (np.concatenate([f[i] for f in found]) for i in range(5))
-            hashes = hashes.reshape(-1, 2)
-            row = np.repeat(np.arange(len(found)), counts)
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(i).take(pa.array(row)) for i in range(len(KEY))), pa.array(starts), pa.array(sizes),
-                pa.array(anchors.astype(np.uint64).view(np.int64)), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()),
-                pa.array(twice.astype(bool)),
+                pa.array(anchors.view(np.int64)), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()),
+                pa.array(twice),
             ], [*KEY, "start", "n", "anchor", "hash", "hash2", "twice"])
 
     return keyed.select(*KEY, "text").mapInArrow(cut, RUN)

@@ -1,7 +1,10 @@
 """Substring removal, near duplicates and suffix sorting against plain versions."""
 
+import functools
 import hashlib
+import os
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -40,6 +43,53 @@ def test_suffix_order_and_common_prefixes(memory):
     assert (spilled > 0) == (memory < 1000)
 
 
+def test_scratch_bytes_of_a_sort_in_little_memory():
+    text = np.append(np.random.default_rng(4).integers(1, 200, 50_000).astype(np.uint8), np.uint8(0))
+    store = Store(1000)
+    order, common = sorted_suffixes(text, 20, 1000, store)
+    assert (list(order), list(common)) == plain_sort(text.tobytes(), 20)
+    assert sum(os.fstat(f.fileno()).st_size for f in store.files) < 60 * len(text)
+    store.close()
+
+
+@pytest.mark.parametrize("window, gram", [(30, 6), (12, 12), (50, 20)])
+def test_byte_runs_of_many_texts(window, gram):
+    """Texts cut together have the runs of each alone, for few calls; anchors found twice are those of a plain count."""
+    r, units = random.Random(window), passages.Units(words=False, window=window, gram=gram)
+    texts = [bytes(r.choices(b"ab" if i % 3 else b"abcdefghijklmnop", k=r.randrange(0, 3 * window))) for i in range(400)]
+    texts += [b"a" * 700, b"xyz" * 300, b"", texts[7] * 3]
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    row, starts, sizes, anchors, hashes, _ = units.runs(texts)
+    sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 8 * len(row) + 10 * len(texts)
+    at = 0
+    for i, text in enumerate(texts):
+        n = int((row == i).sum())
+        alone = units.runs([text])
+        assert [x[at : at + n].tolist() for x in (starts, sizes, anchors, hashes)] == [x.tolist() for x in alone[1:5]]
+        assert sizes[at : at + n].sum() == max(0, len(text) - window + 1)
+        # The grams that are the least of a window, by their bytes.
+        first = {}
+        for s, size, anchor in zip(*(x[at : at + n].tolist() for x in (starts, sizes, anchors))):
+            for w in range(s, s + size):
+                grams = {p: text[p : p + gram] for p in range(w, w + window - gram + 1)}
+                least = min(grams.values(), key=plain_hash)
+                first.setdefault(anchor, set()).update(p for p, g in grams.items() if g == least)
+        assert {a for a, places in first.items() if len(places) > 1} == set(alone[3][alone[5]].tolist())
+        at += n
+    assert at == len(row)
+
+
+@functools.cache
+def plain_hash(gram):
+    h = sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(gram))
+    x = (h + len(gram) * 0x9E3779B97F4A7C15) % (1 << 64)
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+    return x ^ x >> 31
+
+
 @pytest.mark.parametrize("hot", [4096, 1, 0])
 def test_words_removed(spark, hot):
     units, flags = repeated_units(words, 35)
