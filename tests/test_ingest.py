@@ -364,3 +364,80 @@ def test_lines_of_a_larger_feed_lie_in_more_files(spark, tmp_path, monkeypatch):
     with pytest.raises(Stop):
         queries.incremental_ingest(spark, str(tmp_path))
     assert seen == {"files": 15, "first": 10, "rows": 300 * 4}
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (found.apply(i).getName() for i in range(found.size()))
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def _raw_files(spark, path, records, files):
+    rows = [(i, json.dumps(record)) for i, record in enumerate(records)]
+    df = spark.createDataFrame(rows, "ordinal long, json string").select("ordinal", F.parse_json("json").alias("raw"))
+    df.repartition(files, "ordinal").write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_staging_and_storing_leave_no_shuffle_files_and_compress(spark, tmp_path):
+    """Shuffles of steps that are over do not add up on disk with those of the next."""
+    import time
+
+    before, setting = _shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = spark.range(2000).selectExpr("id", "uuid() AS u").repartition(7, "id")
+    staged = ingest_plan.stage(spark, rows, f"test-{tmp_path.name}")
+    ingest_plan.write_part(rows, str(tmp_path), "mentions", "p")
+    ended = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < ended:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert all(".zstd." in f.name for f in (tmp_path / "mentions/p").glob("*.parquet"))
+    assert staged.count() == spark.read.parquet(f"{tmp_path}/mentions/p").count() == 2000
+
+
+def test_a_staged_batch_is_normalized_in_slices_of_its_files(spark, tmp_path):
+    from presslake.operators.normalize import SLICES, slices
+
+    raw = _raw_files(spark, tmp_path / "raw", MESSY, 4)
+    parts = slices(raw, 1)
+    assert 1 < len(parts) <= SLICES and sum(len(p.inputFiles()) for p in parts) == len(raw.inputFiles())
+    assert sorted(r["ordinal"] for p in parts for r in p.select("ordinal").collect()) == list(range(len(MESSY)))
+    assert len(slices(raw)) == 1 and len(slices(raw.where("ordinal < 5"), 1)) == 1
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 2, 0])
+def test_slices_give_the_same_table_and_report(spark, tmp_path, monkeypatch, broadcast_rows):
+    """Also where losers, or losers and survivors, are too many to broadcast: then each slice is a write of the one part."""
+    from presslake.operators.normalize import slices
+
+    raw = _raw_files(spark, tmp_path / "raw", MESSY + MESSY[:5], 4)
+    whole = ingest(spark, raw, str(tmp_path / "whole"), "b", NOW)
+    monkeypatch.setattr(ingest_plan, "slices", lambda rows: slices(rows, 1))
+    monkeypatch.setattr(ingest_plan, "BROADCAST_ROWS", broadcast_rows)
+    assert ingest(spark, raw, str(tmp_path / "sliced"), "b", NOW) == whole
+    rows = [sorted(map(str, read_mentions(spark, str(tmp_path / t)).drop("raw").collect())) for t in ("whole", "sliced")]
+    assert rows[0] == rows[1] and len(rows[0]) == whole["inserted"] == len(STORED)
+    assert vacuum(spark, str(tmp_path / "sliced")) == []
+    assert ingest(spark, raw, str(tmp_path / "sliced"), "again", NOW)["inserted"] == 0
+
+
+def test_the_stored_feed_keeps_its_text_once(spark, tmp_path):
+    """After the feed's ingestion originals and content lie in the raw stage and in the table, not in a normalized stage as well."""
+    import os
+    from presslake.plans import feed_store
+    from presslake.session import work_dir
+
+    made = {
+        "documents": "id AS doc_id, concat('text ', uuid()) AS text, 'en' AS lang, IF(id % 9 = 4, '', 'src') AS source, 5L AS n_chars",
+        "pages": "id AS page_id, concat('http://a.net/', id) AS url, concat('<title>', id, '</title>', repeat(uuid(), 50)) AS html",
+        "conversations": "id AS conv_id, 0L AS turn, 'user' AS role, 'hello' AS text",
+        "events": "id AS event_id, TIMESTAMP '2024-01-05 00:00:00' AS ts, id AS user_id, 'view' AS event_type, 1.5D AS value, '{}' AS props",
+    }
+    for name, columns in made.items():
+        spark.sql(f"SELECT {columns} FROM range(90)").write.parquet(f"{tmp_path}/{name}.parquet")
+    table, normalized = feed_store.feed_table(spark, str(tmp_path)), feed_store.normalized_feed(spark, str(tmp_path))
+    assert not os.path.exists(f"{work_dir(spark)}/{ingest_plan.stage_name(table, feed_store.BATCH)}")
+    assert normalized.count() == feed_store.raw_feed(spark, str(tmp_path)).count() == 90 * 4
+    assert normalized.where("reason IS NOT NULL AND raw IS NULL").count() == 0 < normalized.where("reason IS NOT NULL").count()
+    assert normalized.where("reason IS NULL AND (raw IS NOT NULL OR fingerprint IS NULL)").count() == 0
