@@ -441,3 +441,30 @@ def test_the_stored_feed_keeps_its_text_once(spark, tmp_path):
     assert normalized.count() == feed_store.raw_feed(spark, str(tmp_path)).count() == 90 * 4
     assert normalized.where("reason IS NOT NULL AND raw IS NULL").count() == 0 < normalized.where("reason IS NOT NULL").count()
     assert normalized.where("reason IS NULL AND (raw IS NOT NULL OR fingerprint IS NULL)").count() == 0
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_a_slice_that_is_stored_keeps_no_text_and_gives_the_same_table(spark, tmp_path, monkeypatch, broadcast_rows):
+    """One file of the second batch is stored already, the other is mostly new; ``repeats`` also repeats ordinals over both."""
+    from presslake.operators.normalize import slices
+
+    new = [{"source": "Fresh", "title": f"Title {i}"} for i in range(6)]
+    seen, lean = [], ingest_plan.without_stored
+    monkeypatch.setattr(ingest_plan, "without_stored", lambda *a: seen.append(lean(*a)) or seen[-1])
+    monkeypatch.setattr(ingest_plan, "BROADCAST_ROWS", broadcast_rows)
+    for name, start in (("plain", 100), ("repeats", 3)):
+        for part, (first, records) in enumerate(((0, MESSY), (start, new + MESSY[:1]))):
+            rows = [(first + i, json.dumps(record)) for i, record in enumerate(records)]
+            df = spark.createDataFrame(rows, "ordinal long, json string").select("ordinal", F.parse_json("json").alias("raw"))
+            df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}-raw")
+        raw, found = spark.read.parquet(f"{tmp_path}/{name}-raw"), []
+        for cut in (1 << 30, 1):
+            table = str(tmp_path / f"{name}-{cut}")
+            ingest(spark, _raw_files(spark, f"{table}-first", MESSY, 1), table, "first", NOW)
+            monkeypatch.setattr(ingest_plan, "slices", lambda rows: slices(rows, cut))
+            report, stored = ingest(spark, raw, table, "second", NOW), read_mentions(spark, table)
+            found.append((report, sorted(map(str, stored.withColumn("raw", F.to_json("raw")).collect()))))
+            assert stored.where("source IS NULL OR raw IS NULL").count() == 0
+        assert found[0] == found[1] and found[0][0]["inserted"] == 6
+    slim = [rows for rows in seen if rows is not None]
+    assert len(seen) == 4 and len(slim) == 2
